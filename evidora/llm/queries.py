@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, simhash
 from .common import table
 
 
@@ -15,5 +16,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of four-word shingles and the near-copy component of each document."""
+    found = simhash.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, radius=4, seed=42)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op9_simhash": op9_simhash}
 ORACLE_SQL: dict[str, str] = {}
