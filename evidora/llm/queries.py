@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, simhash, topk
 from .common import table
 
 
@@ -22,5 +22,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op9_simhash": op9_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all other vectors for every fiftieth one."""
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, every=50)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op9_simhash": op9_simhash, "op10_topk": op10_topk}
+ORACLE_SQL: dict[str, str] = {"op10_topk": topk.ORACLE_SQL}
