@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, topk, unigram
+from . import bpe, simhash, topk, unigram, winnowing
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text and of its edited text, and how alike they are."""
+    return winnowing.compare_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document under the unigram reading of the public piece vocabulary."""
     return unigram.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -32,5 +37,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, every=50)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op7_unigram": op7_unigram, "op9_simhash": op9_simhash, "op10_topk": op10_topk}
+QUERIES = {"op1_bpe": op1_bpe, "op2_winnowing": op2_winnowing, "op7_unigram": op7_unigram, "op9_simhash": op9_simhash, "op10_topk": op10_topk}
 ORACLE_SQL: dict[str, str] = {"op10_topk": topk.ORACLE_SQL}
