@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, topk, unigram, winnowing
+from . import bpe, simhash, topk, toxicity, unigram, winnowing
 from .common import table
 
 
@@ -21,6 +21,12 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of the toxic label for each document, learned from the rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document under the unigram reading of the public piece vocabulary."""
     return unigram.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -37,5 +43,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, every=50)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_winnowing": op2_winnowing, "op7_unigram": op7_unigram, "op9_simhash": op9_simhash, "op10_topk": op10_topk}
+QUERIES = {"op1_bpe": op1_bpe, "op2_winnowing": op2_winnowing, "op6_toxicity": op6_toxicity, "op7_unigram": op7_unigram, "op9_simhash": op9_simhash, "op10_topk": op10_topk}
 ORACLE_SQL: dict[str, str] = {"op10_topk": topk.ORACLE_SQL}
