@@ -35,8 +35,8 @@ from .common import text_slices
 #: Labelled rows that the model is fitted on at most; entries it may keep at most.
 SAMPLE, ENTRIES = 16_000, 20_000
 PREFIXES = range(4, 10)
-#: Total weight of the prior, in documents; least significance of an entry; largest score of a word.
-PRIOR, LEAST_Z, MOST = 100.0, 4.0, 6.0
+#: Total weight of the prior, in documents; least root of an entry's likelihood ratio; largest score of a word.
+PRIOR, LEAST_Z, MOST = 20.0, 4.0, 6.0
 words_of = re.compile(r"[^\W\d_]+").findall
 WORDS_KEPT = 500_000
 
@@ -170,8 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         t1, t0 = float(total["n1"]), float(total["n0"])
         share = (F.col("n1") + F.col("n0")) / (t1 + t0)
         p1, p0 = (F.col("n1") + PRIOR * share) / (t1 + PRIOR), (F.col("n0") + PRIOR * share) / (t0 + PRIOR)
-        spread = F.sqrt(1 / (F.col("n1") + PRIOR * share) + 1 / (F.col("n0") + PRIOR * share))
-        scored = summed.where("entry <> '' AND n1 >= 2").select("entry", F.least(F.log(p1 / p0), F.lit(MOST)).alias("score"), (F.log(p1 / p0) / spread).alias("z"), "n0")
+        surprise = F.col("n1") * F.log(F.col("n1") / (share * t1)) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (share * t0))).otherwise(0.0)
+        scored = summed.where("entry <> '' AND n1 >= 2").select("entry", F.least(F.log(p1 / p0), F.lit(MOST)).alias("score"), F.when(p1 > p0, F.sqrt(2 * F.greatest(surprise, F.lit(0.0)))).alias("z"))
         best = scored.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "entry").limit(ENTRIES).collect()
         summed.unpersist()
         scores, support = {r["entry"]: r["score"] for r in best}, {r["entry"]: r["z"] for r in best}
