@@ -149,6 +149,8 @@ def sample_pages(n: int, seed: int = 7) -> list[tuple[str, list[str]]]:
         name = ""
         if kind:
             name = f' {r.choice(["class", "class", "id"])}="{r.choice(["", word() + "-", "site-"]) if r.random() < 0.4 else ""}{pick(kind)}{r.choice(["", " " + word(), "-" + word()])}"'
+        if tag == "p" and "<" in body:  # blocks would end the paragraph
+            tag = "div"
         return f"<{tag}{name}{' data-k' * k}>{body}</{tag}>"
 
     def links(low: int, high: int) -> str:
@@ -191,7 +193,7 @@ def sample_pages(n: int, seed: int = 7) -> list[tuple[str, list[str]]]:
     def block() -> str:
         x = r.random()
         if x < 0.72:
-            body = r.choice([prose(1, 3), prose(3, 15), prose(10, 60), prose(40, 140)])
+            body = r.choice([prose(1, 1), prose(1, 3), prose(3, 15), prose(10, 60), prose(40, 140)])
             if r.random() < 0.25:
                 body = f'{prose(2, 9)} <a href="#">{prose(1, 4)}</a> {body}'
             if r.random() < 0.2:
@@ -209,10 +211,12 @@ def sample_pages(n: int, seed: int = 7) -> list[tuple[str, list[str]]]:
 
     def article() -> str:
         body = (f"<h1 data-k>{prose(1, 12)}</h1>" if r.random() < 0.75 else "")
-        for _ in range(r.choice([1, 2, 4, 8, 16, 30])):
+        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 16, 60])):
             body += block()
             if r.random() < 0.04:
                 body += r.choice([advert, share, side, notice, form])()
+        if r.random() < 0.15:
+            body = r.choice([prose(1, 4), prose(5, 40)]) + body + r.choice(["", prose(1, 5)])
         x = r.random()
         if x < 0.5:
             return named("article", None if r.random() < 0.7 else "good", True, body)
@@ -232,7 +236,10 @@ def sample_pages(n: int, seed: int = 7) -> list[tuple[str, list[str]]]:
         front = [some(head, 0.4), some(menu, 0.6), some(advert, 0.4), some(notice, 0.25), some(form, 0.15)]
         back = [some(advert, 0.15), some(form, 0.2), some(notice, 0.1), some(share, 0.1), some(foot, 0.7)]
         r.shuffle(front)
-        pages.append(f"<html data-k><head><title>x</title></head><body data-k>{''.join(front)}{around}{''.join(back)}" + r.choice(["</body></html>", ""]))
+        for _ in range(r.choice([0, 0, 0, 1, 2])):
+            around = named(r.choice(["div", "div", "section"]), r.choice(["good", None, None]), True, around)
+        opening = r.choice(["<html data-k><head><title>x</title></head><body data-k>"] * 3 + ["<body data-k>", ""])
+        pages.append(f"{opening}{''.join(front)}{around}{''.join(back)}" + r.choice(["</body></html>" if opening else "", ""]))
     return pages
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, topk, toxicity, unigram, winnowing
+from . import bpe, extraction, simhash, topk, toxicity, unigram, winnowing
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op7_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extract_pages(table(spark, sf_dir, "pages"), extraction.train())
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of four-word shingles and the near-copy component of each document."""
     found = simhash.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, radius=4, seed=42)
@@ -43,5 +48,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, every=50)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_winnowing": op2_winnowing, "op6_toxicity": op6_toxicity, "op7_unigram": op7_unigram, "op9_simhash": op9_simhash, "op10_topk": op10_topk}
+QUERIES = {"op1_bpe": op1_bpe, "op2_winnowing": op2_winnowing, "op6_toxicity": op6_toxicity, "op7_unigram": op7_unigram, "op8_extraction": op8_extraction, "op9_simhash": op9_simhash, "op10_topk": op10_topk}
 ORACLE_SQL: dict[str, str] = {"op10_topk": topk.ORACLE_SQL}
