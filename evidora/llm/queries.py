@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, secrets, simhash, topk, toxicity, unigram, winnowing
+from . import bpe, extraction, repeats, secrets, simhash, topk, toxicity, unigram, winnowing
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), secrets.train())
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the 400-byte strings that also start elsewhere."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of the toxic label for each document, learned from the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,5 +58,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, every=50)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_winnowing": op2_winnowing, "op3_secrets": op3_secrets, "op6_toxicity": op6_toxicity, "op7_unigram": op7_unigram, "op8_extraction": op8_extraction, "op9_simhash": op9_simhash, "op10_topk": op10_topk}
+QUERIES = {"op1_bpe": op1_bpe, "op2_winnowing": op2_winnowing, "op3_secrets": op3_secrets, "op4_repeats": op4_repeats, "op6_toxicity": op6_toxicity, "op7_unigram": op7_unigram, "op8_extraction": op8_extraction, "op9_simhash": op9_simhash, "op10_topk": op10_topk}
 ORACLE_SQL: dict[str, str] = {"op10_topk": topk.ORACLE_SQL}
