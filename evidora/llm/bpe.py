@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -180,6 +182,7 @@ class TextEncoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.cut = vocabulary, regex.compile(pattern).findall
         self._pieces: dict[str, tuple[int, str, bytes]] = {}
+        self._packed: dict[str, bytes] = {}
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.cut(text) for i in self.vocabulary.encode_piece(piece.encode())]
@@ -200,6 +203,18 @@ class TextEncoder:
         return sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
+    def packed(self, text: str) -> bytes:
+        """The ids as 32-bit numbers."""
+        known = self._packed
+        if len(known) >= PIECES_KEPT:
+            known.clear()
+        parts = self.cut(text)
+        for p in parts:
+            if p not in known:
+                known[p] = array("i", self.vocabulary.encode_piece(p.encode())).tobytes()
+        return b"".join([known[p] for p in parts])
+
+
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 
 
@@ -229,7 +244,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: bool = Fals
             columns = [b.column(i) for i in range(len(kept))]
             columns += [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             if with_ids:
-                columns.append(pa.array([own.encode(t) for t in texts], pa.list_(pa.int32())))
+                ids = [np.frombuffer(own.packed(t), np.int32) for t in texts]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))))
             yield pa.RecordBatch.from_arrays(columns, [*kept, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids])
 
     return source.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, repeats, secrets, simhash, topk, toxicity, unigram, winnowing
+from . import bpe, extraction, mixing, repeats, secrets, simhash, topk, toxicity, unigram, winnowing
 from .common import table
 
 
@@ -31,6 +31,12 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated factor and decision of each document."""
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return found.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("__topic").alias("topic"), F.col("__n_tokens").alias("n_tokens"), F.round("__factor", 6).alias("factor"), F.col("__kept").alias("kept"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of the toxic label for each document, learned from the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,5 +64,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, every=50)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_winnowing": op2_winnowing, "op3_secrets": op3_secrets, "op4_repeats": op4_repeats, "op6_toxicity": op6_toxicity, "op7_unigram": op7_unigram, "op8_extraction": op8_extraction, "op9_simhash": op9_simhash, "op10_topk": op10_topk}
-ORACLE_SQL: dict[str, str] = {"op10_topk": topk.ORACLE_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op2_winnowing": op2_winnowing, "op3_secrets": op3_secrets, "op4_repeats": op4_repeats, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_unigram": op7_unigram, "op8_extraction": op8_extraction, "op9_simhash": op9_simhash, "op10_topk": op10_topk}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL, "op10_topk": topk.ORACLE_SQL}

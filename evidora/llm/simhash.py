@@ -29,6 +29,8 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Fingerprints in a group at most (of the mean; groups are dealt by a hash) and the tiles' sizes.
 GROUP, TILE_ROWS, TILE_COLUMNS = 24_576, 256, 2048
 _BIT_ROWS = 1 << 16
+#: Bins of a min-hash sketch, and the value of an empty one; how far an estimate may lie below the likeness asked for.
+BINS, EMPTY, SLACK = 64, 0xFFFF, 0.08
 
 
 def shingle_hashes(text: str, words: int, seed: int) -> list[int]:
@@ -75,16 +77,33 @@ def fold(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed 64-bit number; map-only."""
+def sketches(hashes: list[list[int]]) -> np.ndarray:
+    """One-permutation min-hash: the smallest 16 bits of the hashes in each of BINS bins; EMPTY where none is."""
+    sizes = np.array([len(x) for x in hashes], np.int64)
+    flat = np.fromiter((v for x in hashes for v in x), np.uint64, int(sizes.sum()))
+    out = np.full(len(hashes) * BINS, EMPTY, np.uint16)
+    at = np.repeat(np.arange(len(hashes)), sizes) * BINS + (flat % np.uint64(BINS)).astype(np.int64)
+    np.minimum.at(out, at, ((flat >> np.uint64(8)) % np.uint64(EMPTY)).astype(np.uint16))
+    return out.reshape(-1, BINS)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard likeness of the sketches in each row."""
+    some = (a != EMPTY) | (b != EMPTY)
+    return ((a == b) & some).sum(1) / np.maximum(1, some.sum(1))
+
+
+def fingerprints(docs: DataFrame, words: int = 5, seed: int = 42, sketch: bool = False) -> DataFrame:
+    """(doc_id, fp, sketch) with the fingerprint as a signed 64-bit number; the sketch is empty unless asked for. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, 2 << 20):
-            found = fold([shingle_hashes(t, words, seed) for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            hashes = [shingle_hashes(t, words, seed) for t in b.column(1).to_pylist()]
+            extra = [x.tobytes() for x in sketches(hashes)] if sketch else [b""] * len(hashes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fold(hashes).view(np.int64)), pa.array(extra, pa.binary())], ["doc_id", "fp", "sketch"])
 
     source = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp bigint, sketch binary")
 
 
 class Forest:
@@ -132,15 +151,21 @@ def _ordered(fps: np.ndarray) -> np.ndarray:
     return np.lexsort((*lanes.T, np.bitwise_count(fps)))
 
 
-def tiled_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def tiled_links(left: np.ndarray, right: np.ndarray | None, radius: int, sketch: tuple[np.ndarray, np.ndarray | None] | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (ends of links) of the fingerprints within the radius, by exact comparison.
 
-    ``right`` None: all pairs of ``left``; else pairs between the two.
+    ``right`` None: all pairs of ``left``; else pairs between the two. With sketches, a pair is a link
+    only if its estimated likeness is at least ``least`` as well.
     """
-    left = left[_ordered(left)]
-    both = left if right is None else np.concatenate([left, right := right[_ordered(right)]])
+    order = _ordered(left)
+    left, marks = left[order], sketch[0][order] if sketch else None
+    both, other = left, left
+    if right is not None:
+        order = _ordered(right)
+        other = right[order]
+        both = np.concatenate([left, other])
+        marks = np.concatenate([marks, sketch[1][order]]) if sketch else None
     forest, base = Forest(len(both)), 0 if right is None else len(left)
-    other = left if right is None else right
     columns = _tiles(other, TILE_COLUMNS)
     for i, j, low, high in _tiles(left, TILE_ROWS):
         rows = left[i:j, None]
@@ -154,22 +179,25 @@ def tiled_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tupl
             near = np.bitwise_count(rows ^ other[k:m]) <= radius
             if right is None and k < j:  # the part on and below the diagonal
                 near &= np.arange(k, m)[None, :] > np.arange(i, j)[:, None]
-            if not near.any():
-                continue
-            for axis in (1, 0):  # first one link of each row and column, so that few are left
-                some = np.flatnonzero(near.any(axis))
-                one = near.argmax(axis)[some]
-                a, b = (some, one) if axis else (one, some)
-                forest.link(a + i, b + k + base)
             a, b = np.nonzero(near)
-            forest.link(a + i, b + k + base)
+            a, b = a + i, b + k + base
+            step = 1 << 14
+            for c in range(0, len(a), step):
+                x, y = a[c : c + step], b[c : c + step]
+                apart = forest.root[x] != forest.root[y]
+                x, y = x[apart], y[apart]
+                if marks is not None and len(x):
+                    fits = alike(marks[x], marks[y]) >= least
+                    x, y = x[fits], y[fits]
+                if len(x):
+                    forest.link(x, y)
     root = forest.root
     ends = np.flatnonzero(root != np.arange(len(root)))
     return both[root[ends]], both[ends]
 
 
-def near_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """(a, b): links that connect what lies within the radius among the rows of (fp), which are distinct.
+def near_links(distinct: DataFrame, radius: int, likeness: float | None = None) -> DataFrame:
+    """(a, b): links that connect what lies within the radius among the rows of (fp, sketch), distinct by fp.
 
     Groups are packed into one binary value each, so that the copies for the pairs of groups cost
     bytes but no rows. The driver sees the 65 population counts only.
@@ -181,11 +209,11 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
         return spark.createDataFrame([], "a bigint, b bigint")
     parts = {p: -(-n // GROUP) for p, n in sizes.items()}
     of = F.element_at(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]), F.col("p"))
-    grouped = distinct.select("fp", ones.alias("p")).withColumn("r", F.pmod(F.xxhash64("fp"), of).cast("int"))
+    grouped = distinct.select("fp", "sketch", ones.alias("p")).withColumn("r", F.pmod(F.xxhash64("fp"), of).cast("int"))
 
     def pack(t: pa.Table) -> pa.Table:
-        fps = t.column("fp").to_numpy()
-        return pa.table({"p": t.column("p")[:1], "r": t.column("r")[:1], "payload": pa.array([fps.tobytes()], pa.binary())})
+        payload = t.column("fp").to_numpy().tobytes() + b"".join(t.column("sketch").to_pylist())
+        return pa.table({"p": t.column("p")[:1], "r": t.column("r")[:1], "payload": pa.array([payload], pa.binary())})
 
     packed = materialize(grouped.groupBy("p", "r").applyInArrow(pack, "p int, r int, payload binary"))
     meta = spark.createDataFrame(sorted(parts.items()), "p int, n int").select("p", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("r"))
@@ -195,24 +223,41 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
     two = packed.toDF("p2", "r2", "payload").join(pairs.where("p2 > p1 OR r2 > r1"), ["p2", "r2"]).withColumn("side", F.lit(1))
 
     def meet(t: pa.Table) -> pa.Table:
-        found = [np.frombuffer(x, np.int64).view(np.uint64) for _, x in sorted(zip(t.column("side").to_pylist(), t.column("payload").to_pylist()))]
-        a, b = tiled_links(found[0], found[1] if len(found) > 1 else None, radius)
+        raw = [x for _, x in sorted(zip(t.column("side").to_pylist(), t.column("payload").to_pylist()))]
+        each = 8 + (2 * BINS if likeness is not None else 0)
+        found = [np.frombuffer(x, np.uint64, len(x) // each) for x in raw] + [None]
+        marks = [np.frombuffer(x, np.uint16, offset=len(x) // each * 8).reshape(-1, BINS) for x in raw] + [None] if likeness is not None else None
+        a, b = tiled_links(found[0], found[1], radius, (marks[0], marks[1]) if marks else None, (likeness or 0.0) - SLACK)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     key = ["p1", "r1", "p2", "r2"]
     return one.select(*key, "side", "payload").union(two.select(*key, "side", "payload")).groupBy(*key).applyInArrow(meet, "a bigint, b bigint")
 
 
-def near_components(docs: DataFrame, words: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
+def near_components(docs: DataFrame, words: int = 5, radius: int = 4, seed: int = 42, likeness: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of (doc_id, text).
 
-    The component is the smallest doc_id that links reach. Texts are read once; everything behind
-    the fingerprints is 16 bytes a document.
+    The component is the smallest doc_id that links reach. With ``likeness`` a link also needs a Jaccard
+    likeness of the shingles of about that much, estimated from min-hash sketches that travel with the
+    fingerprints; the radius may then be wide without linking what is merely close by chance. Texts
+    are read once; everything behind the fingerprints is small and fixed in size for each document.
     """
-    prints = materialize(fingerprints(docs, words, seed))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    groups = connected_components(near_links(nodes.select("fp"), radius))
-    roots = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    prints = materialize(fingerprints(docs, words, seed, likeness is not None))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch"))
+    groups = connected_components(near_links(nodes.select("fp", "sketch"), radius, likeness))
+    roots = nodes.select("fp", "least").join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     of = materialize(roots.select("fp", "root").join(least, "root").select("fp", "component_id"))
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 12, likeness: float = 0.8, seed: int = 42) -> DataFrame:
+    """The documents without near copies: of each component the one with the smallest id stays, once.
+
+    Rows are told apart by id and a hash of the text. The texts are shuffled once, to meet the decision.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("__k"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__t")]
+    keyed = docs.select("*", *key)
+    named = keyed.select(F.struct("__k", "__t").alias("doc_id"), "text")
+    found = near_components(named, words, radius, seed, likeness).where("doc_id = component_id").select("doc_id.*").distinct()
+    return keyed.join(found, ["__k", "__t"], "left_semi").dropDuplicates(["__k", "__t"]).select(*[f"`{c}`" for c in docs.columns])
