@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from .common import text_slices
 
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: Entries a worker keeps of pieces, prefixes and token pairs before it starts anew; results don't depend on it.
-PIECES_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 300_000, 800_000, 1_000_000
+PIECES_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 300_000, 600_000, 400_000
 #: Pieces up to so many bytes share one table of prefixes; longer ones get a table of their own.
 SHARED_BYTES = 48
 
@@ -182,7 +181,6 @@ class TextEncoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.cut = vocabulary, regex.compile(pattern).findall
         self._pieces: dict[str, tuple[int, str, bytes]] = {}
-        self._packed: dict[str, bytes] = {}
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.cut(text) for i in self.vocabulary.encode_piece(piece.encode())]
@@ -194,25 +192,14 @@ class TextEncoder:
         got = self._pieces[piece] = (len(ids), " ".join(map(str, ids)), self.vocabulary.decode(ids))
         return got
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the ids in decimal, SHA-256 of the decoded bytes."""
+    def digest(self, text: str, with_ids: bool = False) -> tuple:
+        """Number of tokens, SHA-256 of the ids in decimal, SHA-256 of the decoded bytes; the ids too if asked for."""
         known, new = self._pieces.get, self._piece
         parts = [known(p) or new(p) for p in self.cut(text)]
         ids = " ".join([p[1] for p in parts])
         decoded = b"".join([p[2] for p in parts])
-        return sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
-
-
-    def packed(self, text: str) -> bytes:
-        """The ids as 32-bit numbers."""
-        known = self._packed
-        if len(known) >= PIECES_KEPT:
-            known.clear()
-        parts = self.cut(text)
-        for p in parts:
-            if p not in known:
-                known[p] = array("i", self.vocabulary.encode_piece(p.encode())).tobytes()
-        return b"".join([known[p] for p in parts])
+        found = sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        return (*found, np.fromstring(ids, np.int32, sep=" ")) if with_ids else found
 
 
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
@@ -240,11 +227,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: bool = Fals
         own = encoder(path, pattern)
         for b in text_slices(batches):
             texts = b.column(b.num_columns - 1).to_pylist()
-            found = [own.digest(t) for t in texts]
+            found = [own.digest(t, with_ids) for t in texts]
             columns = [b.column(i) for i in range(len(kept))]
             columns += [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             if with_ids:
-                ids = [np.frombuffer(own.packed(t), np.int32) for t in texts]
+                ids = [x[3] for x in found]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))))
             yield pa.RecordBatch.from_arrays(columns, [*kept, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids])

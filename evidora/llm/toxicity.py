@@ -38,7 +38,7 @@ PREFIXES = range(4, 10)
 #: Total weight of the prior, in documents; least root of an entry's likelihood ratio; largest score of a word.
 PRIOR, LEAST_Z, MOST = 20.0, 4.0, 6.0
 words_of = re.compile(r"[^\W\d_]+").findall
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 
 def entries_of(word: str) -> list[str]:
