@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .text import blank, issue_keys, strip
+from .text import blank, issue_keys, let, strip
 
 
 def has_any(c: Column, cues: list[str]) -> Column:
@@ -28,26 +28,23 @@ def is_cancelled(status: Column, resolution: Column) -> Column:
 
 def category(c: Column, cues: dict[str, list[str]]) -> Column:
     """The category whose cues occur most often, the first of equals; '' if none occurs."""
-    low = F.lower(blank(c))
+    known = F.array(*[F.struct(F.array(*map(F.lit, words)).alias("words"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, words) in enumerate(cues.items())])
 
-    def occurrences(words: list[str]) -> Column:
-        spec = F.array(*[F.lit(w) for w in words])
-        return F.aggregate(spec, F.lit(0), lambda n, w: n + ((F.char_length(low) - F.char_length(F.replace(low, w, F.lit("")))) / F.char_length(w)).cast("int"))
+    def count(low: Column, words: Column) -> Column:
+        return F.aggregate(words, F.lit(0), lambda n, w: n + ((F.char_length(low) - F.char_length(F.replace(low, w, F.lit("")))) / F.char_length(w)).cast("int"))
 
-    scored = F.array(*[F.struct(occurrences(words).alias("n"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, words) in enumerate(cues.items())])
-    best = F.array_max(scored)
-    return F.when(best["n"] > 0, best["name"]).otherwise(F.lit(""))
+    best = let(F.lower(blank(c)), lambda low: F.array_max(F.transform(known, lambda k: F.struct(count(low, k["words"]).alias("n"), k["place"].alias("place"), k["name"].alias("name")))))
+    return let(best, lambda b: F.when(b["n"] > 0, b["name"]).otherwise(F.lit("")))
 
 
 def fix_pattern(c: Column, hint: Column | None = None) -> Column:
-    found, h = category(c, vocab.FIX_PATTERN_CUES), F.lower(blank(hint if hint is not None else F.lit("")))
+    h = F.lower(blank(hint if hint is not None else F.lit("")))
     fallback = F.when(has_any(h, ["sync", "model", "integration"]), "Data Sync-Integration").when(has_any(h, ["config", "environment"]), "Config-Environment").when(has_any(h, ["ui", "frontend"]), "UI-Frontend").when(has_any(h, ["data"]), "Data Cleanup").otherwise("Unknown")
-    return F.when(found != "", found).otherwise(fallback)
+    return let(category(c, vocab.FIX_PATTERN_CUES), lambda found: F.when(found != "", found).otherwise(fallback))
 
 
 def defect_type(c: Column) -> Column:
-    found = category(c, vocab.DEFECT_TYPE_CUES)
-    return F.when(found != "", found).otherwise(F.lit("unknown"))
+    return let(category(c, vocab.DEFECT_TYPE_CUES), lambda found: F.when(found != "", found).otherwise(F.lit("unknown")))
 
 
 def quality(summary: Column, problem: Column, has_comments: Column, root_cause: Column, fix: Column, has_components: Column, error: Column, fixed: Column, cancelled: Column) -> Column:

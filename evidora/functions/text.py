@@ -15,6 +15,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -142,9 +147,9 @@ def first_chars(c: Column, n: int) -> Column:
 
 
 def table_cell(c: Column, most: int = 90) -> Column:
-    """One line, pipes escaped, at most ``most`` characters."""
-    flat = strip(F.replace(F.replace(blank(c), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("/")))
-    return F.when(F.char_length(flat) > most, F.concat(F.left(flat, F.lit(most - 1)), F.lit("…"))).otherwise(flat)
+    """One line with escaped pipes, at most ``most`` characters, n/a where empty."""
+    flat = strip(F.replace(F.replace(blank(c), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")))
+    return F.when(F.char_length(flat) > most, F.concat(F.left(flat, F.lit(most - 1)), F.lit("…"))).when(flat == "", "n/a").otherwise(flat)
 
 
 def normalize_question(c: Column) -> Column:

@@ -5,19 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FLAGSHIP = "vector_topk"
+from . import catalogue_documents, catalogue_records, catalogue_search, catalogue_streams
 
-
-def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose label is smallest; replaced by the retrieval queries as they arrive."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").agg(F.count("*").alias("n"))
+FLAGSHIP = "hybrid_retrieve"
+_PARTS = (catalogue_records, catalogue_search, catalogue_documents, catalogue_streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"vector_topk": vector_topk}
+    return {name: function for part in _PARTS for name, (function, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"vector_topk": "SELECT label, count(*) AS n FROM embeddings GROUP BY label"}
+    return {name: sql for part in _PARTS for name, (_, sql) in part.QUERIES.items() if sql}

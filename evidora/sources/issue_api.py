@@ -1,0 +1,41 @@
+"""A paged issue search as a Spark data source.
+
+A page is a callable (query, token, size) that gives {"issues": [...], "nextPageToken": ..., "isLast": ...};
+a deployment passes its own HTTP client's. Pages follow each other by token, so one reader walks
+them; ``max_results`` caps the walk.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+
+PAGE, MOST = 100, 200
+Search = Callable[[str, str | None, int], dict]
+
+
+def walk(search: Search, query: str, most: int = MOST, page: int = PAGE) -> Iterator[dict]:
+    """Issues of all pages up to ``most``."""
+    token, n = None, 0
+    while n < most:
+        got = search(query, token, min(page, most - n))
+        for issue in got.get("issues", [])[: most - n]:
+            n += 1
+            yield issue
+        token = got.get("nextPageToken")
+        if got.get("isLast", token is None) or not token:
+            return
+
+
+def by_key(search: Search, key: str) -> dict:
+    found = next(walk(search, f"key = {key}", 1), None)
+    if found is None:
+        raise ValueError(f"no issue {key}")
+    return found
+
+
+def issues(spark: SparkSession, search: Search, query: str, most: int = MOST) -> DataFrame:
+    """(raw) JSON texts of the issues a query finds; at most ``most``, which bounds what the driver holds."""
+    return spark.createDataFrame([(json.dumps(x),) for x in walk(search, query, most)], "raw string")
