@@ -165,11 +165,11 @@ def normalize_question(c: Column) -> Column:
         out = strip(F.regexp_replace(out, filler, ""))
     out = strip(F.regexp_replace(out, r"\s{2,}", " "))
     colon = r"(?i)\s*(include[s]?|are|is|consist[s]? of|contain[s]?)?\s*:+\s*$"
-    bare = strip(F.regexp_replace(out, colon, ""))
-    asked = F.concat(F.lit("What are the "), F.lower(F.left(bare, F.lit(1))), F.substring(bare, 2, 1 << 30), F.lit("?"))
-    out = F.when(out.rlike(colon), F.when((bare != "") & ~bare.rlike(r"[?]$"), asked).otherwise(bare)).otherwise(out)
-    out = F.concat(F.upper(F.left(out, F.lit(1))), F.substring(out, 2, 1 << 30))
-    return F.when(F.length(strip(blank(c))) == 0, c).when(out == "", c).otherwise(out)
+    rest = lambda x: F.substring(x, 2, 1 << 30)
+    ask = lambda bare: F.when((bare != "") & ~bare.rlike(r"[?]$"), F.concat(F.lit("What are the "), F.lower(F.left(bare, F.lit(1))), rest(bare), F.lit("?"))).otherwise(bare)
+    asked = let(out, lambda x: F.when(x.rlike(colon), let(strip(F.regexp_replace(x, colon, "")), ask)).otherwise(x))
+    capital = let(asked, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), rest(x)))
+    return let(capital, lambda x: F.when(x == "", c).otherwise(x))
 
 
 def without_no_answer(c: Column) -> Column:

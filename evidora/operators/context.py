@@ -40,8 +40,8 @@ def _siblings(chunks: DataFrame, hits: DataFrame, keys: list[str], most: int) ->
 
 def expand(chunks: DataFrame, hits: DataFrame, extras: DataFrame) -> DataFrame:
     """Hits and extras, each place once, hits first."""
-    both = hits.select(*KEY, F.lit(0).alias("side")).unionByName(extras.select(*KEY, F.lit(1).alias("side")))
-    return both.groupBy(*KEY).agg(F.min("side").alias("side")).join(chunks, KEY)
+    both = hits.select(*KEY, F.lit(0).alias("hit")).distinct().join(extras.select(*KEY).distinct(), KEY, "full_outer")
+    return both.select(*KEY, F.coalesce("hit", F.lit(1)).alias("side")).join(chunks, KEY)
 
 
 def full_first(hits: DataFrame, k: int) -> DataFrame:

@@ -48,4 +48,5 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", t
 
 def updated_frequency(df: DataFrame, added: DataFrame, text: str = "text") -> DataFrame:
     """Document frequencies after adding documents: the sum of two small tables."""
-    return df.unionByName(document_frequency(added, text)).groupBy("term").agg(F.sum("df").alias("df"))
+    more = document_frequency(added, text).withColumnRenamed("df", "more")
+    return df.join(more, "term", "full_outer").select("term", (F.coalesce("df", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("df"))

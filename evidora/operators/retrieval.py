@@ -32,10 +32,9 @@ def keyword_candidates(chunks: DataFrame, queries: DataFrame, most: int = vocab.
 def candidates(chunks: DataFrame, queries: DataFrame, most: int = vocab.CANDIDATES) -> DataFrame:
     """(qid, chunk_id, sem, pos): semantic hits and keyword hits, a semantic one winning over its double."""
     sem = vectors.top_k(queries.select("qid", vectors.embed(F.col("question")).alias("qvec")), chunks.select(F.col("chunk_id").alias("item"), vectors.embed(F.col("text")).alias("vec")), most)
-    sem = sem.select("qid", F.col("item").alias("chunk_id"), F.round("score", 4).alias("sem"), F.lit(0).alias("side"))
-    both = sem.unionByName(keyword_candidates(chunks, queries, most).select("qid", "chunk_id", F.lit(0.0).alias("sem"), F.lit(1).alias("side")))
-    first = both.withColumn("__r", F.row_number().over(Window.partitionBy("qid", "chunk_id").orderBy("side")))
-    return first.where("__r = 1").drop("__r")
+    sem = sem.select("qid", F.col("item").alias("chunk_id"), F.round("score", 4).alias("sem"))
+    found = sem.join(keyword_candidates(chunks, queries, most), ["qid", "chunk_id"], "full_outer")
+    return found.select("qid", "chunk_id", F.coalesce("sem", F.lit(0.0)).alias("sem"), F.when(F.col("sem").isNull(), 1).otherwise(0).alias("side"))
 
 
 def metadata_tokens(df: DataFrame) -> Column:

@@ -15,8 +15,10 @@ def latest(rows: DataFrame, key: list[str], version: str) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """The table without the keys of ``rows``, and ``rows``."""
-    return table.join(rows.select(*key).distinct(), key, "left_anti").unionByName(rows)
+    """The table with ``rows`` put in place of its rows of the same keys. Both hold a key once; one join does it."""
+    fresh = rows.select(*key, F.struct(*[c for c in table.columns if c not in key], F.lit(True).alias("__new")).alias("__r"))
+    joined = table.join(fresh, key, "full_outer")
+    return joined.select(*[F.col(c) if c in key else F.when(F.col("__r.__new"), F.col(f"__r.{c}")).otherwise(F.col(c)).alias(c) for c in table.columns])
 
 
 def delete(table: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
