@@ -46,13 +46,17 @@ def _pairs(hashes: Column, step: int) -> Column:
     return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(step + 1), n), lambda a, b: F.least(a, b))
 
 
+def _paired(hashes: Column, step: int) -> Column:
+    return _let(hashes, lambda x: _pairs(x, step))
+
+
 def winnow(df: DataFrame, text: str, into: str, k: int = K, w: int = W) -> DataFrame:
     """Add the array ``into`` of the chosen (hash, position) numbers of the column ``text``. ``w`` is a power of two."""
     df = df.withColumn(into, gram_hashes(F.col(text), k))
     few = F.when(F.size(into) > 0, F.array(F.array_min(into))).otherwise(F.col(into))
     least, step = F.col(into), 1
     while step < w:
-        least = _pairs(least, step) if step == 1 else _let(least, lambda x, s=step: _pairs(x, s))
+        least = _pairs(least, step) if step == 1 else _paired(least, step)
         step *= 2
     return df.withColumn(into, F.array_distinct(F.when(F.size(into) > w, least).otherwise(few)))
 
