@@ -28,7 +28,7 @@ from .common import text_slices
 
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: Entries a worker keeps of pieces, prefixes and token pairs before it starts anew; results don't depend on it.
-PIECES_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 300_000, 600_000, 400_000
+PIECES_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 600_000, 1_000_000, 400_000
 #: Pieces up to so many bytes share one table of prefixes; longer ones get a table of their own.
 SHARED_BYTES = 48
 
@@ -175,30 +175,38 @@ class PrefixTable:
         return out[::-1]
 
 
+class _Pieces(dict):
+    """Piece to (ids in decimal, decoded bytes); what is missing is encoded, and a full table starts anew."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, piece: str) -> tuple[str, bytes]:
+        ids = self.vocabulary.encode_piece(piece.encode())
+        if len(self) >= PIECES_KEPT:
+            self.clear()
+        got = self[piece] = (" ".join(map(str, ids)), self.vocabulary.decode(ids))
+        return got
+
+
 class TextEncoder:
     """Whole texts: cut by a pattern, encode the pieces, remember those met before."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.cut = vocabulary, regex.compile(pattern).findall
-        self._pieces: dict[str, tuple[int, str, bytes]] = {}
+        self._pieces = _Pieces(vocabulary)
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.cut(text) for i in self.vocabulary.encode_piece(piece.encode())]
 
-    def _piece(self, piece: str) -> tuple[int, str, bytes]:
-        ids = self.vocabulary.encode_piece(piece.encode())
-        if len(self._pieces) >= PIECES_KEPT:
-            self._pieces.clear()
-        got = self._pieces[piece] = (len(ids), " ".join(map(str, ids)), self.vocabulary.decode(ids))
-        return got
-
     def digest(self, text: str, with_ids: bool = False) -> tuple:
         """Number of tokens, SHA-256 of the ids in decimal, SHA-256 of the decoded bytes; the ids too if asked for."""
-        known, new = self._pieces.get, self._piece
-        parts = [known(p) or new(p) for p in self.cut(text)]
-        ids = " ".join([p[1] for p in parts])
-        decoded = b"".join([p[2] for p in parts])
-        found = sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        pieces = self.cut(text)
+        ids, decoded = zip(*map(self._pieces.__getitem__, pieces)) if pieces else ((), ())
+        ids = " ".join(ids)
+        n = ids.count(" ") + 1 if ids else 0
+        found = n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
         return (*found, np.fromstring(ids, np.int32, sep=" ")) if with_ids else found
 
 

@@ -38,7 +38,7 @@ PREFIXES = range(4, 10)
 #: Total weight of the prior, in documents; least root of an entry's likelihood ratio; largest score of a word.
 PRIOR, LEAST_Z, MOST = 20.0, 4.0, 6.0
 words_of = re.compile(r"[^\W\d_]+").findall
-WORDS_KEPT = 200_000
+WORDS_KEPT, COUNTED_AT_ONCE = 200_000, 150_000
 
 
 def entries_of(word: str) -> list[str]:
@@ -141,21 +141,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entry, toxic documents, clean documents, words in clean documents) of one task's rows; '' holds the totals."""
+    """(entry, toxic documents, clean documents, words in clean documents) of one task's rows, in parts; '' holds the totals."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    clean_words: Counter = Counter()
+    clean_words = 0
+
+    def part() -> pa.RecordBatch:
+        nonlocal clean_words
+        keys = list(seen[0].keys() | seen[1].keys())
+        columns = [pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in (seen[1], seen[0])], pa.array([clean_words if k == "" else 0 for k in keys], pa.int64())]
+        seen[0].clear()
+        seen[1].clear()
+        clean_words = 0
+        return pa.RecordBatch.from_arrays(columns, ["entry", "n1", "n0", "words"])
+
     for b in text_slices(batches):
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             found = words_of(text.lower())
-            entries = {e for w in set(found) for e in entries_of(w)}
-            seen[toxic].update(entries)
+            seen[toxic].update({e for w in set(found) for e in entries_of(w)})
             seen[toxic][""] += 1
             if not toxic:
-                clean_words[""] += len(found)
-    keys = list(seen[0].keys() | seen[1].keys())
-    for i in range(0, len(keys), 100_000):
-        part = keys[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([c[k] for k in part], pa.int64()) for c in (seen[1], seen[0], clean_words)]], ["entry", "n1", "n0", "words"])
+                clean_words += len(found)
+            if len(seen[0]) + len(seen[1]) > COUNTED_AT_ONCE:
+                yield part()
+    yield part()
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
