@@ -30,8 +30,11 @@ def keyword_candidates(chunks: DataFrame, queries: DataFrame, most: int = vocab.
 
 
 def candidates(chunks: DataFrame, queries: DataFrame, most: int = vocab.CANDIDATES) -> DataFrame:
-    """(qid, chunk_id, sem, pos): semantic hits and keyword hits, a semantic one winning over its double."""
-    sem = vectors.top_k(queries.select("qid", vectors.embed(F.col("question")).alias("qvec")), chunks.select(F.col("chunk_id").alias("item"), vectors.embed(F.col("text")).alias("vec")), most)
+    """(qid, chunk_id, sem, side): semantic hits and keyword hits, a semantic one winning over its double.
+
+    Chunks that carry their embedding as ``vec`` are not embedded again.
+    """
+    sem = vectors.top_k(queries.select("qid", vectors.embed(F.col("question")).alias("qvec")), chunks.select(F.col("chunk_id").alias("item"), (F.col("vec") if "vec" in chunks.columns else vectors.embed(F.col("text"))).alias("vec")), most)
     sem = sem.select("qid", F.col("item").alias("chunk_id"), F.round("score", 4).alias("sem"))
     found = sem.join(keyword_candidates(chunks, queries, most), ["qid", "chunk_id"], "full_outer")
     return found.select("qid", "chunk_id", F.coalesce("sem", F.lit(0.0)).alias("sem"), F.when(F.col("sem").isNull(), 1).otherwise(0).alias("side"))
@@ -61,7 +64,7 @@ def score_chunks(chunks: DataFrame, issues: DataFrame, queries: DataFrame, diagn
     ``issues`` (search_text) gives term statistics; they are two small tables, not state.
     """
     asked = queries.select("qid", tokens(F.col("question")).alias("q"))
-    found = candidates(chunks, queries, most).join(chunks, "chunk_id").join(asked, "qid")
+    found = candidates(chunks, queries, most).join(chunks.drop("vec"), "chunk_id").join(asked, "qid")
     found = found.withColumn("t", tokens(F.col("text")))
     terms = found.select("qid", "chunk_id", F.explode(F.array_distinct("q")).alias("term"), "q", "t")
     counted = lambda c: F.size(F.filter(c, lambda x: x == F.col("term")))

@@ -165,3 +165,19 @@ def condition_rows(rows: DataFrame, conditions: dict[str, str]) -> DataFrame:
     for name, value in conditions.items():
         rows = rows.where(F.lower(F.coalesce(F.col(name).cast("string"), F.lit(""))) == value.lower())
     return rows
+
+
+def flag_row_text(row: Column) -> Column:
+    """A row of a feature-flag table as a sentence."""
+    flags = F.transform(row["feature_flags"], lambda f: F.concat(f, F.lit(" feature flag.")))
+    parts = F.concat(F.array(F.when(row["description"] != "", F.concat(F.lit("Feature flag row for "), row["description"], F.lit("."))).otherwise("Feature flag row.")), flags, F.array(F.when(row["product"] != "", F.concat(F.lit("Product "), row["product"], F.lit(".")))), F.array(F.when(row["applicable"] != "", F.concat(F.lit("Applicable to "), row["applicable"], F.lit(".")))))
+    return F.array_join(parts, " ")
+
+
+def matrix_row_text(row: Column) -> Column:
+    named = [("user_feature_flag", "User Feature Flag"), ("coexist_feature_flag", "Coexist Feature Flag"), ("energy_default_baseline", "Energy Default Baseline"), ("eo_default_baseline", "EO Default Baseline")]
+    return F.concat_ws(" ", F.lit("Widget matrix row."), *[F.when(row[n] != "", F.concat(F.lit(f"{label} "), row[n], F.lit("."))) for n, label in named])
+
+
+def generic_row_text(headers: Column, cells: Column) -> Column:
+    return F.concat(F.lit("[Table Headers: "), F.array_join(headers, " | "), F.lit("]\n[Row]: "), F.array_join(cells, " | "))

@@ -18,11 +18,12 @@ from ..operators import answers, context, documents, lexical, records, retrieval
 from ..operators.upsert import TableStore
 
 RECORDS = "issue_key string, summary string, description string, status string, resolution string, priority string, components array<string>, labels array<string>, environment string, product string, team string, is_fixed boolean, is_cancelled boolean, root_cause_extracted string, fix_applied_extracted string, workaround_extracted string, key_findings string, fix_pattern string, defect_type string, error_signature string, quality_score double, search_text string, problem_text string"
-CHUNKS = "chunk_id string, issue_key string, chunk_type string, text string, summary string, status string, priority string, components array<string>, labels array<string>, environment string, product string, team string, fix_pattern string, defect_type string, quality_score double, is_fixed boolean, is_cancelled boolean"
-PAGES = "source_file string, sequence_id int, asset_type string, chunk_type string, section string, page_info string, display string, embed_text string"
+CHUNKS = "chunk_id string, issue_key string, chunk_type string, text string, summary string, status string, priority string, components array<string>, labels array<string>, environment string, product string, team string, fix_pattern string, defect_type string, quality_score double, is_fixed boolean, is_cancelled boolean, vec array<double>"
+PAGES = "source_file string, sequence_id int, asset_type string, chunk_type string, section string, page_info string, display string, embed_text string, vec array<double>"
 #: Limits of the public calls.
 MAX_QUESTION, MAX_BULK, MAX_UPLOAD_MB = 2000, 200, 20
-SECTIONS = {"root_cause": "Root Causes", "earlier_fixes": "How Similar Defects Were Fixed Earlier", "fix_steps": "Suggested Fix Steps", "similar": "Similar Fixed Defects"}
+SECTIONS = {"root_cause": ["Root Causes"], "resolve": ["How Similar Defects Were Fixed Earlier", "Suggested Fix Steps"], "similar": ["Similar Fixed Defects"]}
+OPTIONS = [{"id": "root_cause", "label": "Root cause"}, {"id": "resolve", "label": "How to resolve it"}, {"id": "similar", "label": "Earlier similar defects"}]
 HELP = "Ask about an issue, its root cause or similar issues, by text or by key."
 
 
@@ -45,7 +46,7 @@ class Engine:
         normal = records.normalize(found, drop_cancelled=drop_cancelled)
         names = [f.split()[0] for f in RECORDS.split(", ")]
         self.records.apply(normal.select(*names), ["issue_key"])
-        self.chunks.apply(records.chunks(normal).select(*[f.split()[0] for f in CHUNKS.split(", ")]), ["chunk_id"])
+        self.chunks.apply(records.chunks(normal).withColumn("vec", vectors.embed(F.col("text"))).select(*[f.split()[0] for f in CHUNKS.split(", ")]), ["chunk_id"])
         return self.records.count()
 
     def ingest_document(self, pages: DataFrame) -> int:
@@ -60,7 +61,7 @@ class Engine:
         kind = classify.table_type(F.col("headers"), F.col("section"))
         table = parsed.select("source_file", "island", F.lit(0).alias("part"), F.lit("table_whole").alias("chunk_type"), F.lit("TABLE_ROW").alias("element_type"), "section", F.col("page").cast("string").alias("page_info"), F.col("content").alias("display"), tables.table_text(F.col("headers"), F.col("rows"), F.col("section"), F.col("page"), kind).alias("embed_text"))
         numbered = documents.sequence_ids(text.unionByName(table), ["island", "part"]).withColumnRenamed("element_type", "asset_type")
-        fresh = numbered.select(*[f.split()[0] for f in PAGES.split(", ")]).repartition("source_file", "sequence_id")
+        fresh = numbered.withColumn("vec", vectors.embed(F.col("embed_text"))).select(*[f.split()[0] for f in PAGES.split(", ")]).repartition("source_file", "sequence_id")
         old = self.pages.read().join(fresh.select("source_file").distinct(), "source_file", "left_anti")
         v = self.pages.version()
         old.unionByName(fresh).write.mode("overwrite").parquet(f"{self.pages.path}/v{v + 1}")
@@ -89,19 +90,21 @@ class Engine:
         found = retrieval.retrieve_for_key(self.chunks.read(), self.records.read(), keys, self.top_k, self.floor)
         return found.join(self.records.read().drop("search_text", "problem_text"), "issue_key", "left")
 
-    def ask(self, question: str, mode: str = "auto", sections: list[str] | None = None) -> dict:
-        """Intent, answer and similar issues of one question."""
+    def ask(self, question: str, mode: str = "auto", sections: list[str] | None = None, offer_options: bool = False) -> dict:
+        """Intent, answer and similar issues of one question; with ``offer_options`` first the choice of sections."""
         asked = self._question(question)
         row = asked.select(classify.intent(F.col("question"), F.lit(mode)).alias("i"), F.try_element_at(T.issue_keys(F.col("question")), F.lit(1)).alias("k")).first()
         if row["i"] == "GENERAL_HELP":
             return {"intent": row["i"], "answer": HELP, "similar_defects": []}
+        if offer_options and not [s for s in sections or [] if s in SECTIONS]:
+            return {"intent": row["i"], "mode": "options", "options": OPTIONS, "question": question, "similar_defects": []}
         found = self.similar(row["k"]) if row["i"] == "DEFECT_BY_KEY" else self.search(asked)
         found = found.orderBy("rank").cache()
         rows = [r.asDict() for r in found.drop("snippets", "chunk_types").collect()]  # top_k at most
         said = answers.answers(found, self.base_url).first()
         found.unpersist()
         text = said["answer"] if said else answers.fallback("no_chunks_found")
-        wanted = [SECTIONS[s] for s in sections or [] if s in SECTIONS]
+        wanted = [t for s in sections or [] for t in SECTIONS.get(s, [])]
         return {"intent": row["i"], "answer": answers.keep_sections(text, wanted) if wanted and said else text, "similar_defects": rows}
 
     def ask_events(self, question: str, mode: str = "auto", words: int = 6) -> Iterator[dict]:
@@ -126,16 +129,24 @@ class Engine:
         row = q.select("question", classify.doc_route(F.col("question")).alias("route"), classify.missing_conditions(F.col("question")).alias("missing"), classify.conditions(F.col("question")).alias("conditions")).first()
         chunks = self.pages.read()
         named = chunks.withColumn("item", F.concat_ws("||", "source_file", "sequence_id"))
-        hits = vectors.top_k(q.select("qid", vectors.embed(F.col("question")).alias("qvec")), named.select("item", vectors.embed(F.col("embed_text")).alias("vec")), max(50, k + 30))
+        hits = vectors.top_k(q.select("qid", vectors.embed(F.col("question")).alias("qvec")), named.select("item", "vec"), max(50, k + 30))
         found = hits.join(named, "item").withColumn("route", F.lit(row["route"]))
         near = context.neighbours(chunks, found.where("rank <= 3")).select("source_file", "sequence_id")
         extra = chunks.join(near, ["source_file", "sequence_id"]).withColumn("score", F.lit(0.5))
         both = found.select("qid", "route", "score", *chunks.columns).unionByName(extra.join(found.select("source_file", "sequence_id"), ["source_file", "sequence_id"], "left_anti").select(F.lit(1).alias("qid"), F.lit(row["route"]).alias("route"), "score", *chunks.columns))
-        capped = context.smart_cap(both, k).withColumn("page", F.col("page_info"))
+        capped = context.smart_cap(both.drop("vec"), k).withColumn("page", F.col("page_info"))
         text = answers.context_blocks(capped).first()
         reason = None if text else "no_chunks_found"
         return {"question": row["question"], "route": row["route"], "conditions": dict(row["conditions"]), "missing_conditions": list(row["missing"]), "context": text["context"] if text else answers.fallback(reason), "seconds": round(time.perf_counter() - began, 3)}
 
+    @staticmethod
+    def check_upload(name: str, size: int) -> None:
+        """Only PDF files that aren't empty, up to 20 MB."""
+        if not name.lower().endswith(".pdf"):
+            raise ValueError("only .pdf files are accepted")
+        if not 0 < size <= MAX_UPLOAD_MB << 20:
+            raise ValueError(f"the file is empty or larger than {MAX_UPLOAD_MB} MB")
+
     # --- state --------------------------------------------------------------------------------------
     def health(self) -> dict:
         """Never fails: what is there and how much of it."""
