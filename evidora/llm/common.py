@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries have no such call
+    _trim = None
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table through Spark, so that any store Spark can open will do."""
@@ -45,3 +51,11 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iter
                 part = part.slice(0, part.num_rows // 2)
             yield part
             at += part.num_rows
+            give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as a Python worker lives on beside the next tasks' workers and the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
