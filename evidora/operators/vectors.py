@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 from typing import Protocol
 
@@ -83,35 +82,30 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, digits: int = 6, skip_eq
     right = items.where("vec IS NOT NULL").select("item", "vec", width.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
     kinds = {n: t for n, t in queries.select("qid").dtypes + items.select("item").dtypes}
 
-    def meet(a: Iterator[pa.RecordBatch], b: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = pa.Table.from_batches(list(a)) if not isinstance(a, pa.Table) else a
-        matrix = np.stack([np.asarray(v, float) for v in q.column("qvec").to_pylist()]) if q.num_rows else None
-        ids = q.column("qid")
-        for batch in b.to_batches() if isinstance(b, pa.Table) else b:
-            if matrix is None or not batch.num_rows:
-                continue
-            x = np.stack([np.asarray(v, float) for v in batch.column("vec").to_pylist()])
-            names = batch.column("item")
-            score = np.round(matrix @ x.T, digits)
-            order = np.argsort(np.array(names.to_pylist(), dtype=object if pa.types.is_string(names.type) else None), kind="stable")
-            own = ids.to_pylist()
-            item_list = names.to_pylist()
-            rows_q, rows_i, rows_s = [], [], []
-            for i, s in enumerate(score):
-                best = order[np.argsort(-s[order], kind="stable")]
-                if skip_equal:
-                    best = [j for j in best[: k + 1] if item_list[j] != own[i]]
-                for j in best[:k]:
-                    rows_q.append(own[i])
-                    rows_i.append(item_list[j])
-                    rows_s.append(float(s[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(rows_q, ids.type), pa.array(rows_i, names.type), pa.array(rows_s, pa.float64())], ["qid", "item", "score"])
-
-    def meet_tables(a: pa.Table, b: pa.Table) -> pa.Table:
-        schema = pa.schema([("qid", a.schema.field("qid").type), ("item", b.schema.field("item").type), ("score", pa.float64())])
-        return pa.Table.from_batches(list(meet(a, b)), schema)
+    def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
 
-    local = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet_tables, f"qid {kinds['qid']}, item {kinds['item']}, score double")
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        schema = pa.schema([("qid", a.schema.field("qid").type), ("item", b.schema.field("item").type), ("score", pa.float64())])
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        b = b.sort_by("item")  # equal scores then come in order
+        own, names, asked, rows = a.column("qid").to_pylist(), b.column("item"), matrix(a.column("qvec"), a.num_rows), matrix(b.column("vec"), b.num_rows)
+        items, need = names.to_pylist() if skip_equal else None, min(b.num_rows, k + skip_equal)
+        at, of, scores = [], [], []
+        for first in range(0, len(asked), 256):
+            for i, s in enumerate(np.round(asked[first : first + 256] @ rows.T, digits), first):
+                enough = np.flatnonzero(s >= np.partition(s, len(s) - need)[len(s) - need])
+                best = enough[np.argsort(-s[enough], kind="stable")]
+                if skip_equal:
+                    best = best[[items[j] != own[i] for j in best]]
+                best = best[:k]
+                at.append(best)
+                of.append(np.full(len(best), i))
+                scores.append(s[best])
+        return pa.table([a.column("qid").take(pa.array(np.concatenate(of))), names.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(scores))], schema=schema)
+
+    local = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, f"qid {kinds['qid']}, item {kinds['item']}, score double")
     ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "item")))
     return ranked.where(F.col("rank") <= k)
 
