@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import map_texts, text_slices
 
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: Entries a worker keeps of pieces, prefixes and token pairs before it starts anew; results don't depend on it.
@@ -244,4 +244,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: bool = Fals
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))))
             yield pa.RecordBatch.from_arrays(columns, [*kept, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids])
 
-    return source.mapInArrow(run, schema)
+    return map_texts(source, run, schema)

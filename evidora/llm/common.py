@@ -14,6 +14,8 @@ try:
 except (AttributeError, OSError):  # other C libraries have no such call
     _trim = None
 
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table through Spark, so that any store Spark can open will do."""
@@ -38,6 +40,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over rows that hold whole texts: in batches of a few MB, of which JVM and worker both keep copies."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that one holds about ``limit`` bytes; a longer single row stays whole."""
     for batch in batches:

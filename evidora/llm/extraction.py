@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import map_texts, text_slices
 from .dom import Node, Page, kept_text, read
 
 #: Words of class, id and role names by kind.
@@ -280,4 +280,4 @@ def extract_pages(pages: DataFrame, model: Boosted) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     source = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    return source.mapInArrow(run, f"page_id {source.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")
+    return map_texts(source, run, f"page_id {source.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")

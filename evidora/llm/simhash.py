@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import map_texts, materialize, text_slices
 from .components import connected_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, words: int = 5, seed: int = 42, sketch: bool =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fold(hashes).view(np.int64)), pa.array(extra, pa.binary())], ["doc_id", "fp", "sketch"])
 
     source = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp bigint, sketch binary")
+    return map_texts(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp bigint, sketch binary")
 
 
 class Forest:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe, mixing, secrets, simhash, toxicity
-from .common import text_slices
+from .common import map_texts, text_slices
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in text_slices(batches):
             yield b.filter(pa.array([model.probability(t or "") < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
             texts = pa.array([secrets.mask_text(t, field) for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else b.column(i) for i in range(b.num_columns)], b.schema.names)
 
-    masked = docs.mapInArrow(run, docs.schema)
+    masked = map_texts(docs, run, docs.schema)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return masked

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import map_texts, text_slices
 
 #: Labelled rows that the model is fitted on at most; entries it may keep at most.
 SAMPLE, ENTRIES = 16_000, 20_000
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit entries and calibration. What reaches the driver is bounded by ENTRIES and the sample."""
     rows = training_rows(docs, labels, sample).cache()
     try:
-        counted = rows.where("part < 3").select("text", "toxic").mapInArrow(_count, "entry string, n1 bigint, n0 bigint, words bigint")
+        counted = map_texts(rows.where("part < 3").select("text", "toxic"), _count, "entry string, n1 bigint, n0 bigint, words bigint")
         summed = counted.groupBy("entry").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum("words").alias("words")).cache()
         total = summed.where("entry = ''").first()
         if total is None or not total["n1"] or not total["n0"]:
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 found = Counter(round(draft.word(w), 6) for t in b.column(0).to_pylist() for w in words_of(t.lower()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float64()), pa.array(list(found.values()), pa.int64())], ["s", "n"])
 
-        drawn = rows.where("part < 3 AND toxic = 0").select("text").mapInArrow(clean, "s double, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect()
+        drawn = map_texts(rows.where("part < 3 AND toxic = 0").select("text"), clean, "s double, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect()
         everything = sum(r["n"] for r in drawn) or 1
         zero = sum(r["n"] for r in drawn if r["s"] == 0) / everything
         risen = sum(r["n"] * math.exp(r["s"]) for r in drawn if r["s"] > 0) / everything
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 found = [model.evidence(t) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64()), b.column(1)], ["a", "b", "toxic"])
 
-        points = rows.where("part = 3").select("text", "toxic").mapInArrow(seen, "a double, b double, toxic int").orderBy("a", "b", "toxic").collect()
+        points = map_texts(rows.where("part = 3").select("text", "toxic"), seen, "a double, b double, toxic int").orderBy("a", "b", "toxic").collect()
         model.curve = _logistic([(1.0, max(-8.0, min(r["a"], 12.0)), math.log1p(r["b"])) for r in points], [r["toxic"] for r in points])
         return model
     finally:
@@ -235,4 +235,4 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             columns = [b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([len(model.significant(t)) if s >= 0.5 else 0 for t, s in zip(texts, scores)], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "n_segments"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_segments int")
+    return map_texts(source, run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_segments int")

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import map_texts, text_slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -107,4 +107,4 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "n_tokens", "best_score"])
 
     source = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, best_score double")
+    return map_texts(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, best_score double")
