@@ -34,8 +34,8 @@ def candidates(chunks: DataFrame, queries: DataFrame, most: int = vocab.CANDIDAT
 
     Chunks that carry their embedding as ``vec`` are not embedded again.
     """
-    sem = vectors.top_k(queries.select("qid", vectors.embed(F.col("question")).alias("qvec")), chunks.select(F.col("chunk_id").alias("item"), (F.col("vec") if "vec" in chunks.columns else vectors.embed(F.col("text"))).alias("vec")), most)
-    sem = sem.select("qid", F.col("item").alias("chunk_id"), F.round("score", 4).alias("sem"))
+    sem = vectors.top_k(queries.select("qid", vectors.embed(F.col("question")).alias("qvec")), chunks.select(F.col("chunk_id").alias("item"), (F.col("vec") if "vec" in chunks.columns else vectors.embed(F.col("text"))).alias("vec")), most, digits=4)
+    sem = sem.select("qid", F.col("item").alias("chunk_id"), F.col("score").alias("sem"))
     found = sem.join(keyword_candidates(chunks, queries, most), ["qid", "chunk_id"], "full_outer")
     return found.select("qid", "chunk_id", F.coalesce("sem", F.lit(0.0)).alias("sem"), F.when(F.col("sem").isNull(), 1).otherwise(0).alias("side"))
 

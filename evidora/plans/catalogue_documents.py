@@ -82,7 +82,7 @@ def asset_counts_pivot(spark, sf_dir):
     return _sections(spark, sf_dir).groupBy("source_file").agg(F.count_if(F.col("element_type") == "TEXT").alias("n_text"), F.count_if(F.col("element_type") == "TABLE").alias("n_table"), F.max("page_end").alias("pages"))
 
 
-_LINES = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Intro ........... 12' || chr(10) || '.........' || chr(10) || '7' WHEN 1 THEN 'Guide' || chr(10) || '12' WHEN 2 THEN 'Cancel | Compute | Workspace' || chr(10) || '| a | b |' ELSE substr(text, 1, 300) END AS content FROM documents"
+_LINES = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Intro ........... 12' || chr(10) || '.........' || chr(10) || '7' WHEN 1 THEN 'Guide' || chr(10) || '12' WHEN 2 THEN 'Cancel | Compute | Workspace' || chr(10) || '| a | b |' ELSE text END AS content FROM documents"
 _L = f"list_filter(list_transform(string_split(content, chr(10)), lambda x: {D.strip('x')}), lambda x: x <> '')"
 
 
@@ -104,9 +104,9 @@ def ui_table_filter(spark, sf_dir):
     return spark.sql(_LINES).select("doc_id", documents.is_screenshot_table(F.col("content")).alias("is_screenshot"))
 
 
-@query("slugs", "SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(substr(text, 1, 40), '^\\s+|\\s+$', '', 'g')), '[^\\p{L}\\p{N}_\\s\\-]', '', 'g'), '[\\s_\\-]+', '_', 'g'), '^_+|_+$', '', 'g'), 80) AS slug FROM documents WHERE lang = 'en'")
+@query("slugs", "SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '[^\\p{L}\\p{N}_\\s\\-]', '', 'g'), '[\\s_\\-]+', '_', 'g'), '^_+|_+$', '', 'g'), 80) AS slug FROM documents")
 def slugs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", T.slug(F.substring("text", 1, 40)).alias("slug"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("section_numbers", "SELECT doc_id, regexp_extract(t, '^(\\d[\\d.]*)\\s+(.*)', 1) AS number, CASE WHEN regexp_matches(t, '^\\d[\\d.]*\\s+') THEN regexp_extract(t, '^(\\d[\\d.]*)\\s+(.*)', 2) ELSE t END AS title FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 9 + 1 AS VARCHAR) || '.' || CAST(doc_id % 5 AS VARCHAR) || ' Setup of ' || lang ELSE 'Setup of ' || lang END AS t FROM documents) x")
@@ -155,11 +155,11 @@ def full_table_rows(spark, sf_dir):
     return tables.numbered_rows(tables.chains(_fragments(spark, sf_dir))).select("source_file", "chain", "page", "fragment_index", "fragment_row_index", "row_index")
 
 
-@query("header_jaccard", f"SELECT x.frag AS a, y.frag AS b, round(len(list_intersect(list_distinct(string_split(x.headers, ';')), list_distinct(string_split(y.headers, ';'))))::DOUBLE / len(list_distinct(list_concat(string_split(x.headers, ';'), string_split(y.headers, ';')))), 4) AS j FROM ({V.FRAGMENTS}) x JOIN ({V.FRAGMENTS}) y ON x.source_file = 'a.pdf' AND y.source_file = 'a.pdf' AND x.frag < y.frag")
+@query("header_jaccard", f"SELECT x.source_file, x.frag AS a, y.frag AS b, round(len(list_intersect(list_distinct(string_split(x.headers, ';')), list_distinct(string_split(y.headers, ';'))))::DOUBLE / len(list_distinct(list_concat(string_split(x.headers, ';'), string_split(y.headers, ';')))), 4) AS j FROM ({V.FRAGMENTS}) x JOIN ({V.FRAGMENTS}) y ON x.source_file = y.source_file AND x.frag < y.frag")
 def header_jaccard(spark, sf_dir):
-    f = _fragments(spark, sf_dir).where("source_file = 'a.pdf'")
+    f = _fragments(spark, sf_dir)
     a, b = f.select("source_file", F.col("frag").alias("a"), F.col("headers").alias("ha")), f.select("source_file", F.col("frag").alias("b"), F.col("headers").alias("hb"))
-    return a.join(b, "source_file").where("a < b").select("a", "b", F.round(tables.header_likeness(F.col("ha"), F.col("hb")), 4).alias("j"))
+    return a.join(b, "source_file").where("a < b").select("source_file", "a", "b", F.round(tables.header_likeness(F.col("ha"), F.col("hb")), 4).alias("j"))
 
 
 @query("table_chunks")
@@ -184,40 +184,40 @@ def widget_rows(spark, sf_dir):
 
 
 _CHUNKS = f"SELECT source_file, CAST(pdf_page_number AS INTEGER) AS sequence_id, CASE WHEN element_type = 'TEXT' THEN 'TEXT' ELSE 'TABLE_ROW' END AS asset_type, 'S' || CAST(CAST(floor(pdf_page_number / 7.0) AS BIGINT) AS STRING) AS section FROM ({V.ELEMENTS}) e"
-_HITS = f"SELECT * FROM ({_CHUNKS}) c WHERE sequence_id % 11 = 4"
+_HITS = f"SELECT * FROM ({_CHUNKS}) c WHERE sequence_id % 20 = 0"
 
 
 def _chunks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return V.view(spark, sf_dir, _CHUNKS), V.view(spark, sf_dir, _HITS)
 
 
-@query("seq_neighbours_pm3", f"SELECT DISTINCT c.source_file, c.sequence_id FROM ({_CHUNKS}) c JOIN ({_HITS}) h ON c.source_file = h.source_file AND c.sequence_id BETWEEN h.sequence_id - 3 AND h.sequence_id + 3 WHERE c.sequence_id % 11 <> 4")
+@query("seq_neighbours_pm3", f"SELECT DISTINCT c.source_file, c.sequence_id FROM ({_CHUNKS}) c JOIN ({_HITS}) h ON c.source_file = h.source_file AND c.sequence_id BETWEEN h.sequence_id - 3 AND h.sequence_id + 3 WHERE c.sequence_id % 20 <> 0")
 def seq_neighbours_pm3(spark, sf_dir):
     return context.neighbours(*_chunks(spark, sf_dir)).select("source_file", "sequence_id")
 
 
-@query("sequence_span", f"SELECT source_file, sequence_id FROM (SELECT c.*, row_number() OVER (PARTITION BY c.source_file ORDER BY sequence_id) AS r FROM ({_CHUNKS}) c JOIN (SELECT source_file, min(sequence_id) - 5 AS a, max(sequence_id) + 5 AS z FROM ({_HITS}) h GROUP BY source_file) s ON c.source_file = s.source_file AND sequence_id BETWEEN a AND z WHERE asset_type = 'TEXT') x WHERE r <= 50 AND sequence_id % 11 <> 4")
+@query("sequence_span", f"SELECT source_file, sequence_id FROM (SELECT c.*, row_number() OVER (PARTITION BY c.source_file ORDER BY sequence_id) AS r FROM ({_CHUNKS}) c JOIN (SELECT source_file, min(sequence_id) - 5 AS a, max(sequence_id) + 5 AS z FROM ({_HITS}) h GROUP BY source_file) s ON c.source_file = s.source_file AND sequence_id BETWEEN a AND z WHERE asset_type = 'TEXT') x WHERE r <= 50 AND sequence_id % 20 <> 0")
 def sequence_span(spark, sf_dir):
     return context.span(*_chunks(spark, sf_dir)).select("source_file", "sequence_id")
 
 
-@query("section_siblings", f"SELECT source_file, sequence_id FROM (SELECT c.*, row_number() OVER (PARTITION BY source_file, section ORDER BY sequence_id) AS r FROM ({_CHUNKS}) c SEMI JOIN ({_HITS}) h USING (source_file, section) WHERE asset_type = 'TEXT') x WHERE r <= 100 AND sequence_id % 11 <> 4")
+@query("section_siblings", f"SELECT source_file, sequence_id FROM (SELECT c.*, row_number() OVER (PARTITION BY source_file, section ORDER BY sequence_id) AS r FROM ({_CHUNKS}) c SEMI JOIN ({_HITS}) h USING (source_file, section) WHERE asset_type = 'TEXT') x WHERE r <= 100 AND sequence_id % 20 <> 0")
 def section_siblings(spark, sf_dir):
     return context.section_siblings(*_chunks(spark, sf_dir)).select("source_file", "sequence_id")
 
 
-@query("table_siblings", f"SELECT source_file, sequence_id FROM (SELECT c.*, row_number() OVER (PARTITION BY source_file, section ORDER BY sequence_id) AS r FROM ({_CHUNKS}) c SEMI JOIN (SELECT * FROM ({_HITS}) q WHERE asset_type = 'TABLE_ROW') h USING (source_file, section) WHERE asset_type = 'TABLE_ROW') x WHERE r <= 300 AND sequence_id % 11 <> 4")
+@query("table_siblings", f"SELECT source_file, sequence_id FROM (SELECT c.*, row_number() OVER (PARTITION BY source_file, section ORDER BY sequence_id) AS r FROM ({_CHUNKS}) c SEMI JOIN (SELECT * FROM ({_HITS}) q WHERE asset_type = 'TABLE_ROW') h USING (source_file, section) WHERE asset_type = 'TABLE_ROW') x WHERE r <= 300 AND sequence_id % 20 <> 0")
 def table_siblings(spark, sf_dir):
     return context.table_siblings(*_chunks(spark, sf_dir)).select("source_file", "sequence_id")
 
 
-@query("context_union", f"SELECT DISTINCT c.source_file, c.sequence_id, c.sequence_id % 11 <> 4 AS is_extra FROM ({_CHUNKS}) c JOIN ({_HITS}) h ON c.source_file = h.source_file AND c.sequence_id BETWEEN h.sequence_id - 3 AND h.sequence_id + 3")
+@query("context_union", f"SELECT DISTINCT c.source_file, c.sequence_id, c.sequence_id % 20 <> 0 AS is_extra FROM ({_CHUNKS}) c JOIN ({_HITS}) h ON c.source_file = h.source_file AND c.sequence_id BETWEEN h.sequence_id - 3 AND h.sequence_id + 3")
 def context_union(spark, sf_dir):
     chunks, hits = _chunks(spark, sf_dir)
     return context.expand(chunks, hits, context.neighbours(chunks, hits)).select("source_file", "sequence_id", (F.col("side") == 1).alias("is_extra"))
 
 
-_CAPPED = f"SELECT qid, CASE qid WHEN 1 THEN 'text_section' WHEN 2 THEN 'hybrid' ELSE 'table_full' END AS route, source_file, sequence_id, CASE WHEN sequence_id % 13 = 0 THEN 'TABLE_FULL' ELSE asset_type END AS asset_type, CAST((sequence_id * 37 + qid * 11) % 101 AS DOUBLE) AS score FROM ({_CHUNKS}) c CROSS JOIN (VALUES (1), (2), (3)) AS t(qid) WHERE source_file IN ('src1', 'src2') AND sequence_id % 2 = 0"
+_CAPPED = f"SELECT qid, CASE qid WHEN 1 THEN 'text_section' WHEN 2 THEN 'hybrid' ELSE 'table_full' END AS route, source_file, sequence_id, CASE WHEN sequence_id % 13 = 0 THEN 'TABLE_FULL' ELSE asset_type END AS asset_type, CAST((sequence_id * 37 + qid * 11) % 101 AS DOUBLE) AS score FROM ({_CHUNKS}) c CROSS JOIN (VALUES (1), (2), (3)) AS t(qid)"
 
 
 @query("smart_cap", f"""WITH k AS (SELECT *, CASE WHEN asset_type = 'TEXT' THEN 'text' WHEN asset_type = 'TABLE_FULL' THEN 'full' ELSE 'rows' END AS kind FROM ({_CAPPED}) c), t AS (SELECT *, count(*) FILTER (WHERE kind <> 'text') OVER (PARTITION BY qid) AS nt, row_number() OVER (PARTITION BY qid, kind ORDER BY score DESC, source_file, sequence_id) AS place FROM k),

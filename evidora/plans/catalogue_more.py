@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 _DOCS = f"SELECT e.source_file, CAST(e.pdf_page_number AS INTEGER) AS sequence_id, CASE WHEN element_type = 'TEXT' THEN 'TEXT' ELSE 'TABLE_ROW' END AS asset_type, CASE WHEN e.pdf_page_number % 3 = 0 THEN 'section_part' ELSE 'section_full' END AS chunk_type, 'S' || CAST(CAST(floor(e.pdf_page_number / 7.0) AS BIGINT) AS STRING) AS section, CASE WHEN e.pdf_page_number % 2 = 0 THEN 'feature_flags' ELSE 'conditional_matrix' END AS table_type, CASE WHEN e.pdf_page_number % 4 = 0 THEN 'Enabled' ELSE 'Disabled' END AS user_feature_flag, v.embedding FROM ({V.ELEMENTS}) e JOIN embeddings v ON v.vec_id = (CAST(substr(e.source_file, 4) AS BIGINT) * 50 + e.pdf_page_number) % 500"
-_ASKED = "SELECT vec_id AS qid, embedding AS qvec, CASE vec_id % 3 WHEN 0 THEN 'text_section' WHEN 1 THEN 'hybrid' ELSE 'table_full' END AS route FROM embeddings WHERE vec_id % 40 = 7"
+_ASKED = "SELECT vec_id AS qid, embedding AS qvec, CASE vec_id % 3 WHEN 0 THEN 'text_section' WHEN 1 THEN 'hybrid' ELSE 'table_full' END AS route FROM embeddings WHERE vec_id % 20 = 0"
 
 
 def _tables(spark, sf_dir):
@@ -70,7 +70,7 @@ def route_retrieval(spark, sf_dir):
     return routes.route_hits(chunks, asked).select("qid", "route", "source_file", "sequence_id", "score")
 
 
-_FOLLOW = "SELECT event_id % 50 AS qid, event_id // 50 % 6 AS pos, event_type AS candidate, value / 100.0 AS score FROM events WHERE event_id < 3000"
+_FOLLOW = "SELECT event_id % 50 AS qid, event_id // 50 % 6 AS pos, event_type AS candidate, value / 100.0 AS score FROM events"
 
 
 @query("validated_followups", f"WITH h AS ({_FOLLOW}), g AS (SELECT qid, pos FROM h GROUP BY qid, pos HAVING count(*) FILTER (WHERE score >= 0.62) >= 2) SELECT qid, pos, CAST(row_number() OVER (PARTITION BY qid ORDER BY pos) AS INTEGER) AS place FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY pos) <= 3")
@@ -80,7 +80,7 @@ def validated_followups(spark, sf_dir):
     return routes.validated_followups(h.select("qid", "pos").distinct(), h).select("qid", "pos", "place")
 
 
-_GROUPS = "SELECT CAST(l_orderkey % 40 AS STRING) AS group_id, CASE WHEN l_linenumber = 1 THEN 'TABLE_FULL' ELSE 'TABLE_ROW' END AS asset_type, 'f' AS source_file, l_orderkey * 10 + l_linenumber AS sequence_id FROM lineitem WHERE l_orderkey < 4000"
+_GROUPS = "SELECT CAST(l_orderkey % 40 AS STRING) AS group_id, CASE WHEN l_linenumber = 1 THEN 'TABLE_FULL' ELSE 'TABLE_ROW' END AS asset_type, 'f' AS source_file, l_orderkey * 10 + l_linenumber AS sequence_id FROM lineitem"
 
 
 @query("table_group_rows", f"SELECT group_id, asset_type, sequence_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id, asset_type ORDER BY source_file, sequence_id) AS r FROM ({_GROUPS}) g WHERE group_id IN ('1', '7')) x WHERE r <= CASE WHEN asset_type = 'TABLE_FULL' THEN 1 ELSE 20 END")
@@ -154,7 +154,7 @@ def relative_times(spark, sf_dir):
     return e.crossJoin(F.broadcast(now)).select("event_id", conversations.relative_time(F.col("ts"), F.col("now")).alias("ago"))  # one row
 
 
-_PAIRS = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(text, 1, 20) END AS question, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE source END AS answer FROM documents"
+_PAIRS = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS question, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE source END AS answer FROM documents"
 
 
 @query("history_messages", f"SELECT doc_id, 0 AS side, 'user' AS role, {D.strip('question')} AS content FROM ({_PAIRS}) p WHERE {D.strip('question')} <> '' UNION ALL SELECT doc_id, 1, 'assistant', {D.strip('answer')} FROM ({_PAIRS}) p WHERE {D.strip('answer')} <> ''")
@@ -176,9 +176,12 @@ def embedded_texts(spark, sf_dir):
     return d.where("n > 0").select("doc_id", F.round(F.col("n") / total, 6).alias("raw_norm"))
 
 
-@query("mode_override", f"SELECT qid, CASE WHEN q IN ('hello', '', 'xy') THEN 'DEFECT_DIAGNOSTIC' ELSE 'other' END AS intent FROM (SELECT qid, lower(question) AS q FROM ({V.QUESTIONS}) v WHERE qid IN (1004, 1017, 1019)) x")
+_INTENT = catalogue_search.QUERIES["intent_route"][1]
+
+
+@query("mode_override", f"SELECT qid, CASE WHEN intent = 'GENERAL_HELP' THEN 'DEFECT_DIAGNOSTIC' ELSE intent END AS intent FROM ({_INTENT}) x")
 def mode_override(spark, sf_dir):
-    return V.view(spark, sf_dir, V.QUESTIONS).where("qid IN (1004, 1017, 1019)").select("qid", classify.intent(F.col("question"), F.lit("defect")).alias("intent"))
+    return V.view(spark, sf_dir, V.QUESTIONS).select("qid", classify.intent(F.col("question"), F.lit("defect")).alias("intent"))
 
 
 @query("reading_context")

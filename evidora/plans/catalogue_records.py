@@ -44,9 +44,9 @@ def clean_text(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
 
 
-@query("strip_markup", f"""SELECT doc_id, {D.collapse("regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '[*_#>`~]{1,3}', ' ', 'g'), '\\[([^\\]|]+)\\|[^\\]]+\\]', '\\1', 'g'), '\\{[a-z]+(:[^}]*)?\\}', ' ', 'g')")} AS cleaned FROM documents WHERE NOT contains(text, '![')""")
+@query("strip_markup", f"""SELECT doc_id, {D.collapse("regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '[*_#>`~]{1,3}', ' ', 'g'), '\\[([^\\]|]+)\\|[^\\]]+\\]', '\\1', 'g'), '\\{[a-z]+(:[^}]*)?\\}', ' ', 'g')".join(["regexp_replace(", ", '(?i)!\\[[^\\]]*\\]\\([^)]*\\)|!\\[[^\\]]*\\]|![^!\\n]+\\.(?:png|jpg|jpeg|gif)[^!\\n]*!', ' ', 'g')"]))} AS cleaned FROM documents""")
 def strip_markup(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where(~F.contains("text", F.lit("!["))).select("doc_id", T.clean(F.col("text"), masked=False).alias("cleaned"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.clean(F.col("text"), masked=False).alias("cleaned"))
 
 
 @query("tokenize_counts", f"SELECT doc_id, len({D.tokens('text')}) AS n_tokens, len(list_distinct({D.tokens('text')})) AS n_distinct FROM documents")
@@ -60,9 +60,9 @@ def truncate_texts(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.truncate(F.col("text"), 220).alias("short"))
 
 
-@query("extract_keys", f"SELECT issue_key, array_to_string(list_transform(list_sort(list_distinct(list_transform(regexp_extract_all(upper(right(description, 60)), '\\b([A-Z][A-Z0-9]+-\\d{{2,}})\\b', 1), lambda k: k))), lambda k: k), ',') AS keys, split_part(issue_key, '-', 1) AS project FROM ({V.DEFECTS}) d")
+@query("extract_keys", f"SELECT issue_key, array_to_string(list_transform(list_sort(list_distinct(list_transform(regexp_extract_all(upper(description), '\\b([A-Z][A-Z0-9]+-\\d{{2,}})\\b', 1), lambda k: k))), lambda k: k), ',') AS keys, split_part(issue_key, '-', 1) AS project FROM ({V.DEFECTS}) d")
 def extract_keys(spark, sf_dir):
-    return V.view(spark, sf_dir, V.DEFECTS).select("issue_key", F.array_join(F.array_sort(T.issue_keys(F.right("description", F.lit(60)))), ",").alias("keys"), T.project_of(F.col("issue_key")).alias("project"))
+    return V.view(spark, sf_dir, V.DEFECTS).select("issue_key", F.array_join(F.array_sort(T.issue_keys(F.col("description"))), ",").alias("keys"), T.project_of(F.col("issue_key")).alias("project"))
 
 
 _FIXED = f"(list_contains({D.texts(vocab.FIXED_STATUSES)}, lower(status)) OR list_contains({D.texts(vocab.FIXED_RESOLUTIONS)}, lower(resolution)))"
@@ -74,12 +74,12 @@ def classify_status(spark, sf_dir):
     return V.view(spark, sf_dir, V.DEFECTS).select("issue_key", classify.is_fixed(F.col("status"), F.col("resolution")).alias("is_fixed"), classify.is_cancelled(F.col("status"), F.col("resolution")).alias("is_cancelled"))
 
 
-_BLOB = "right(description, 200)"
+_BLOB = "description"
 
 
 @query("classify_pattern", f"SELECT issue_key, CASE WHEN p <> '' THEN p ELSE 'Unknown' END AS fix_pattern, CASE WHEN t <> '' THEN t ELSE 'unknown' END AS defect_type FROM (SELECT issue_key, {D.category('b', vocab.FIX_PATTERN_CUES)} AS p, {D.category('b', vocab.DEFECT_TYPE_CUES)} AS t FROM (SELECT issue_key, {_BLOB} AS b FROM ({V.DEFECTS}) d) x) y")
 def classify_pattern(spark, sf_dir):
-    blob = F.right("description", F.lit(200))
+    blob = F.col("description")
     return V.view(spark, sf_dir, V.DEFECTS).select("issue_key", classify.fix_pattern(blob).alias("fix_pattern"), classify.defect_type(blob).alias("defect_type"))
 
 
@@ -89,7 +89,7 @@ _FOUND = f"list_transform(regexp_extract_all({_BLOB}, {D.text(_ERRORS)}, 1), lam
 
 @query("error_signature", f"SELECT issue_key, array_to_string(list_filter({_FOUND}, lambda x, i: list_position(list_transform({_FOUND}, lambda y: lower(y)), lower(x)) = i)[1:6], '; ') AS signature FROM ({V.DEFECTS}) d")
 def error_signature(spark, sf_dir):
-    return V.view(spark, sf_dir, V.DEFECTS).select("issue_key", T.error_signature(F.right("description", F.lit(200))).alias("signature"))
+    return V.view(spark, sf_dir, V.DEFECTS).select("issue_key", T.error_signature(F.col("description")).alias("signature"))
 
 
 @query("first_sentence_with_cue")
@@ -183,8 +183,8 @@ def rich_text_flatten(spark, sf_dir):
     return d.select("conv_id", "turn", files.rich_text(tree).alias("plain"))
 
 
-_V1 = "SELECT event_id % 500 AS k, event_id AS version, event_type AS body FROM events WHERE event_id < 2000"
-_V2 = "SELECT event_id % 700 AS k, event_id AS version, event_type AS body FROM events WHERE event_id >= 2000 AND event_id < 4000"
+_V1 = "SELECT event_id % 500 AS k, event_id AS version, event_type AS body FROM events WHERE event_id % 2 = 0"
+_V2 = "SELECT event_id % 700 AS k, event_id AS version, event_type AS body FROM events WHERE event_id % 2 = 1"
 
 
 @query("chunk_upsert", f"WITH a AS ({_V1}), b AS ({_V2}), la AS (SELECT k, max(version) AS version, arg_max(body, version) AS body FROM a GROUP BY k), lb AS (SELECT k, max(version) AS version, arg_max(body, version) AS body FROM b GROUP BY k) SELECT * FROM la WHERE k NOT IN (SELECT k FROM lb) UNION ALL SELECT * FROM lb")
@@ -204,9 +204,9 @@ def distinct_sources(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").where("source <> ''").select(F.col("source").alias("source_file")).distinct()
 
 
-@query("payload_projection", "SELECT doc_id, coalesce(nullif(text, ''), source) AS display FROM documents WHERE lang = 'en' AND doc_id BETWEEN 10 AND 400")
+@query("payload_projection", "SELECT doc_id, coalesce(nullif(text, ''), source) AS display FROM documents WHERE lang = 'en' AND n_chars BETWEEN 100 AND 4000")
 def payload_projection(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' AND doc_id BETWEEN 10 AND 400")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' AND n_chars BETWEEN 100 AND 4000")
     return d.select("doc_id", T.first_nonempty(F.col("text"), F.col("source")).alias("display"))
 
 

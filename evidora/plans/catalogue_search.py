@@ -41,19 +41,19 @@ def _asked(spark, sf_dir, where: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(where).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
-@query("vector_topk", _vector_sql("TRUE", "q.vec_id % 10 = 0", 3))
+@query("vector_topk", _vector_sql("TRUE", "q.vec_id % 20 = 0", 3))
 def vector_topk(spark, sf_dir):
-    return vectors.top_k(_asked(spark, sf_dir, "vec_id % 10 = 0"), _vectors(spark, sf_dir), 3, skip_equal=True)
+    return vectors.top_k(_asked(spark, sf_dir, "vec_id % 20 = 0"), _vectors(spark, sf_dir), 3, skip_equal=True)
 
 
-@query("vector_topk_filtered", _vector_sql("c.label = 3", "q.vec_id % 25 = 0", 5))
+@query("vector_topk_filtered", _vector_sql("c.label = 3", "q.vec_id % 20 = 0", 5))
 def vector_topk_filtered(spark, sf_dir):
-    return vectors.top_k(_asked(spark, sf_dir, "vec_id % 25 = 0"), _vectors(spark, sf_dir, "label = 3"), 5, skip_equal=True)
+    return vectors.top_k(_asked(spark, sf_dir, "vec_id % 20 = 0"), _vectors(spark, sf_dir, "label = 3"), 5, skip_equal=True)
 
 
-@query("vector_multi_query_merge", _vector_sql("TRUE", "q.vec_id % 50 = 0", 5, merged=True))
+@query("vector_multi_query_merge", _vector_sql("TRUE", "q.vec_id % 20 = 0", 5, merged=True))
 def vector_multi_query_merge(spark, sf_dir):
-    hits = vectors.top_k(_asked(spark, sf_dir, "vec_id % 50 = 0"), _vectors(spark, sf_dir), 5, skip_equal=True)
+    hits = vectors.top_k(_asked(spark, sf_dir, "vec_id % 20 = 0"), _vectors(spark, sf_dir), 5, skip_equal=True)
     return vectors.merge_best(hits.drop("rank"), "item", ("score", "qid"))
 
 
@@ -71,11 +71,11 @@ def doc_frequency(spark, sf_dir):
     return lexical.document_frequency(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-@query("idf_table", f"SELECT term, round(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df FROM ({_TERMS}) t GROUP BY term) x WHERE df > 1")
+@query("idf_table", f"SELECT term, round(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df FROM ({_TERMS}) t GROUP BY term) x")
 def idf_table(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n = lexical.collection_size(d)
-    return lexical.document_frequency(d).where("df > 1").crossJoin(F.broadcast(n)).select("term", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))  # one row
+    return lexical.document_frequency(d).crossJoin(F.broadcast(n)).select("term", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))  # one row
 
 
 @query("frequency_update", f"SELECT term, count(DISTINCT doc_id) AS df FROM ({_TERMS}) t GROUP BY term")
@@ -135,8 +135,8 @@ _SCORED = f"""WITH ch AS MATERIALIZED (SELECT *, {D.tokens('text')} AS t, {_META
  cb AS MATERIALIZED (SELECT chunk_id, b, count(*)::DOUBLE AS n FROM (SELECT chunk_id, {_B64} AS b FROM (SELECT chunk_id, unnest(t) AS t FROM ch) x) y GROUP BY ALL), cn AS (SELECT chunk_id, sqrt(sum(n * n)) AS norm FROM cb GROUP BY chunk_id),
  qb AS (SELECT qid, b, count(*)::DOUBLE AS n FROM (SELECT qid, {_B64} AS b FROM (SELECT qid, unnest(q) AS t FROM qs) x) y GROUP BY ALL), qn AS (SELECT qid, sqrt(sum(n * n)) AS norm FROM qb GROUP BY qid),
  co AS (SELECT qid, chunk_id, sum(qb.n * cb.n) / any_value(qn.norm) / any_value(cn.norm) AS s FROM qb JOIN cb USING (b) JOIN qn USING (qid) JOIN cn USING (chunk_id) GROUP BY qid, chunk_id),
- al AS (SELECT qs.qid, ch.chunk_id, round(coalesce(co.s, 0), 6) AS s FROM qs CROSS JOIN ch LEFT JOIN co ON co.qid = qs.qid AND co.chunk_id = ch.chunk_id),
- se AS (SELECT qid, chunk_id, round(s, 4) AS sem FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_id) AS r FROM al) x WHERE r <= 60),
+ al AS (SELECT qs.qid, ch.chunk_id, round(coalesce(co.s, 0), 4) AS s FROM qs CROSS JOIN ch LEFT JOIN co ON co.qid = qs.qid AND co.chunk_id = ch.chunk_id),
+ se AS (SELECT qid, chunk_id, s AS sem FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_id) AS r FROM al) x WHERE r <= 60),
  kw AS ({_KEYWORD}), ca AS MATERIALIZED (SELECT qid, chunk_id, sem, 0 AS side FROM se UNION ALL SELECT qid, chunk_id, 0.0, 1 FROM kw ANTI JOIN se USING (qid, chunk_id)),
  df AS (SELECT term, count(*) AS df FROM (SELECT issue_key, unnest(list_distinct({D.tokens("summary || ' ' || description")})) AS term FROM ({V.DEFECTS}) d) x GROUP BY term),
  st AS (SELECT count(*) AS n, avg(len(list_distinct({D.tokens("summary || ' ' || description")})))::DOUBLE AS avgdl FROM ({V.DEFECTS}) d),
@@ -173,18 +173,16 @@ def relevance_cut(spark, sf_dir):
     return found.join(kept, ["qid", "issue_key"], "left").groupBy("qid").agg(F.count("*").alias("n"), F.count("k").alias("n_kept"))
 
 
-@query("metadata_score", f"SELECT qid, issue_key, round(least(1.0::DOUBLE, len(list_intersect(list_distinct({D.tokens('question')}), m)) / 3.0::DOUBLE), 6) AS meta FROM ({V.QUESTIONS}) q JOIN (SELECT issue_key, doc_id, {_META} AS m FROM ({V.DEFECTS}) d) x ON x.doc_id % 28 = q.qid % 28")
+@query("metadata_score", f"SELECT issue_key, round(least(1.0::DOUBLE, len(list_intersect(list_distinct({D.tokens('description')}), m)) / 3.0::DOUBLE), 6) AS meta FROM (SELECT issue_key, description, {_META} AS m FROM ({V.DEFECTS}) d) x")
 def metadata_score(spark, sf_dir):
     d = V.view(spark, sf_dir, V.DEFECTS)
-    d = d.withColumn("m", retrieval.metadata_tokens(d))
-    q = V.view(spark, sf_dir, V.QUESTIONS).withColumn("q", F.array_distinct(T.tokens(F.col("question"))))
-    return d.join(q, d["doc_id"] % 28 == q["qid"] % 28).select("qid", "issue_key", F.round(retrieval.metadata_score(F.col("q"), F.col("m")), 6).alias("meta"))
+    return d.select("issue_key", F.round(retrieval.metadata_score(F.array_distinct(T.tokens(F.col("description"))), retrieval.metadata_tokens(d)), 6).alias("meta"))
 
 
 @query("key_lookup_similar")
 def key_lookup_similar(spark, sf_dir):
     chunks, issues = rated_chunks(spark, sf_dir)
-    keys = issues.where("doc_id % 200 = 10").select(F.col("doc_id").alias("qid"), "issue_key")
+    keys = issues.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "issue_key")
     return retrieval.retrieve_for_key(chunks, issues, keys, floor=FLOOR).select("qid", "issue_key", "relevance_score", "rank")
 
 
@@ -193,12 +191,12 @@ def _results(spark, sf_dir) -> DataFrame:
     chunks, issues = rated_chunks(spark, sf_dir)
     found = retrieval.retrieve(chunks, issues, V.view(spark, sf_dir, V.QUESTIONS), floor=FLOOR)
     flagged = issues.withColumn("is_fixed", classify.is_fixed(F.col("status"), F.col("resolution"))).withColumn("is_cancelled", classify.is_cancelled(F.col("status"), F.col("resolution")))
-    blob = F.right("description", F.lit(200))
-    named = flagged.select("issue_key", "summary", "status", "priority", "is_fixed", "is_cancelled", classify.fix_pattern(blob).alias("fix_pattern"), F.lit("").alias("root_cause_extracted"), F.when(F.contains("description", F.lit("Fixed by")), F.right("description", F.lit(45))).otherwise("").alias("fix_applied_extracted"))
+    blob = F.col("description")
+    named = flagged.select("issue_key", "summary", "status", "priority", "is_fixed", "is_cancelled", classify.fix_pattern(blob).alias("fix_pattern"), F.lit("").alias("root_cause_extracted"), T.first_sentence_with(F.col("description"), vocab.FIX_CUES).alias("fix_applied_extracted"))
     return found.join(named, "issue_key", "left")
 
 
-_JOINED = _SCORED + _CUT + f""", jo AS (SELECT rk.*, {_FIXED} AS is_fixed, {_CANCELLED} AS is_cancelled, CASE WHEN p <> '' THEN p ELSE 'Unknown' END AS fix_pattern, summary, status, priority FROM rk JOIN (SELECT *, {D.category('right(description, 200)', vocab.FIX_PATTERN_CUES)} AS p FROM ({V.DEFECTS}) d) z USING (issue_key) WHERE rank <= 8)"""
+_JOINED = _SCORED + _CUT + f""", jo AS (SELECT rk.*, {_FIXED} AS is_fixed, {_CANCELLED} AS is_cancelled, CASE WHEN p <> '' THEN p ELSE 'Unknown' END AS fix_pattern, summary, status, priority FROM rk JOIN (SELECT *, {D.category('description', vocab.FIX_PATTERN_CUES)} AS p FROM ({V.DEFECTS}) d) z USING (issue_key) WHERE rank <= 8)"""
 
 
 @query("dominant_pattern", _JOINED + ", co2 AS (SELECT qid, fix_pattern, count(*) AS n, min(rank) AS f FROM jo WHERE fix_pattern <> 'Unknown' GROUP BY qid, fix_pattern) SELECT qid, fix_pattern, n FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, f) AS r FROM co2) y WHERE r = 1")
@@ -255,9 +253,9 @@ def query_normalize(spark, sf_dir):
     return V.view(spark, sf_dir, V.QUESTIONS).select("qid", T.normalize_question(F.col("question")).alias("normalized"))
 
 
-@query("query_variants", "SELECT DISTINCT lower(trim(text)) AS variant FROM conversations WHERE role = 'user' AND turn < 4")
+@query("query_variants", "SELECT DISTINCT lower(trim(text)) AS variant FROM conversations WHERE role = 'user' ")
 def query_variants(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user' AND turn < 4")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user' ")
     return c.select(F.lower(F.trim("text")).alias("variant")).distinct()
 
 
@@ -271,10 +269,10 @@ def previous_question(spark, sf_dir):
     return answers.previous_question(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", "turn", "asked")
 
 
-@query("no_answer_check", f"SELECT doc_id, CASE WHEN {D.has_any('lower(a)', vocab.NO_ANSWER_PHRASES)} THEN {D.text(vocab.NO_SOLUTION)} ELSE a END AS answer FROM (SELECT doc_id, substr(text, 1, 60) || CASE doc_id % 3 WHEN 0 THEN ' The manual Does Not Mention it.' ELSE '' END AS a FROM documents) x")
+@query("no_answer_check", f"SELECT doc_id, CASE WHEN {D.has_any('lower(a)', vocab.NO_ANSWER_PHRASES)} THEN {D.text(vocab.NO_SOLUTION)} ELSE a END AS answer FROM (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' The manual Does Not Mention it.' ELSE '' END AS a FROM documents) x")
 def no_answer_check(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    a = F.concat(F.substring("text", 1, 60), F.when(F.col("doc_id") % 3 == 0, " The manual Does Not Mention it.").otherwise(""))
+    a = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " The manual Does Not Mention it.").otherwise(""))
     return d.select("doc_id", T.without_no_answer(a).alias("answer"))
 
 

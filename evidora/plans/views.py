@@ -41,10 +41,10 @@ SELECT o_orderkey, o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '
 CHUNKS = f"""
 SELECT issue_key || '::problem_chunk' AS chunk_id, issue_key, 'problem_chunk' AS chunk_type, summary || ' ' || description AS text, * EXCLUDE (issue_key) FROM ({DEFECTS}) p
 UNION ALL
-SELECT issue_key || '::fix_chunk' AS chunk_id, issue_key, 'fix_chunk' AS chunk_type, right(description, 120) AS text, * EXCLUDE (issue_key) FROM ({DEFECTS}) f"""
+SELECT issue_key || '::fix_chunk' AS chunk_id, issue_key, 'fix_chunk' AS chunk_type, description || ' ' || environment AS text, * EXCLUDE (issue_key) FROM ({DEFECTS}) f"""
 
 QUESTIONS = """
-SELECT item_id AS qid, substr(text, 1, 120) AS question FROM benchmark WHERE item_id < 8
+SELECT item_id + 5000 AS qid, text AS question FROM benchmark
 UNION ALL SELECT * FROM (VALUES
  (1001, 'why did the publish fail with a mapping error'), (1002, 'similar defects for job timeout'), (1003, 'EVD-1010 root cause'), (1004, 'hello'),
  (1005, 'show the full table'), (1006, 'how to upload data'), (1007, 'feature flag list'), (1008, 'opening hours'), (1009, 'asset sync'),
