@@ -28,7 +28,7 @@ from .common import map_texts, text_slices
 
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: Entries a worker keeps of pieces, prefixes and token pairs before it starts anew; results don't depend on it.
-PIECES_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 500_000, 700_000, 300_000
+PIECES_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 500_000, 700_000, 600_000
 #: Pieces up to so many bytes share one table of prefixes; longer ones get a table of their own.
 SHARED_BYTES = 48
 
