@@ -66,9 +66,9 @@ def score_chunks(chunks: DataFrame, issues: DataFrame, queries: DataFrame, diagn
     asked = queries.select("qid", tokens(F.col("question")).alias("q"))
     found = candidates(chunks, queries, most).join(chunks.drop("vec"), "chunk_id").join(asked, "qid")
     found = found.withColumn("t", tokens(F.col("text")))
-    terms = found.select("qid", "chunk_id", F.explode(F.array_distinct("q")).alias("term"), "q", "t")
-    counted = lambda c: F.size(F.filter(c, lambda x: x == F.col("term")))
-    terms = terms.select("qid", "chunk_id", "term", counted("q").alias("times"), counted("t").alias("tf"), F.size("t").alias("dl")).where("tf > 0")
+    held = found.select("chunk_id", "t").dropDuplicates(["chunk_id"]).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    times = asked.select("qid", F.explode("q").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    terms = found.select("qid", "chunk_id").join(held, "chunk_id").join(times, ["qid", "term"])
     sized = terms.join(lexical.document_frequency(issues, "search_text"), "term").crossJoin(F.broadcast(lexical.collection_size(issues, "search_text")))  # one row
     raw = sized.groupBy("qid", "chunk_id").agg(F.sum(F.col("times") * lexical.bm25_term(F.col("tf"), lexical.idf(F.col("n"), F.col("df")), F.col("dl"), F.col("avgdl"))).alias("raw"))
     found = found.join(raw, ["qid", "chunk_id"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
