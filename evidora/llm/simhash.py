@@ -1,12 +1,16 @@
 """SimHash fingerprints and their exact comparison in tiles.
 
-Fingerprints are 64 bits from word shingles. Equal ones are one node. Different ones are compared
+Fingerprints are 64 bits from word shingles. Equal ones are one node (with a likeness: only if the sets of
+shingles are equal as well). Different ones are compared
 exactly: they go into groups by population count, two groups meet in a task only if their counts
 can lie within the radius, and inside a task numpy compares tiles with exclusive-or and bit counts,
 skipping tile pairs whose counts (of all bits and of each byte) differ by more than the radius. A task gives back a spanning
 forest of the links it found, never the pairs themselves, so that a large group of near copies
 stays linear.
 
+With a likeness, the radius and min-hash sketches only propose links. What they connect meets once more, now
+with the sets of shingles, and a proposed link counts only if the exact Jaccard likeness is high enough.
+
 Defined cases: a null text is the empty text; no words give the fingerprint zero, linked like any
 other; fewer words than a shingle are one shingle; repeated rows and equal ids keep a row each; an
 empty table gives no rows; other columns are ignored.
@@ -31,6 +35,8 @@ GROUP, TILE_ROWS, TILE_COLUMNS = 24_576, 256, 2048
 _BIT_ROWS = 1 << 16
 #: Bins of a min-hash sketch, and the value of an empty one; how far an estimate may lie below the likeness asked for.
 BINS, EMPTY, SLACK = 64, 0xFFFF, 0.08
+#: Bytes of shingle sets in a block of proposed near copies (of the mean), and exact comparisons between looks at the forest.
+SET_BYTES, EXACT_STEP = 8 << 20, 256
 
 
 def shingle_hashes(text: str, words: int, seed: int) -> list[int]:
@@ -93,19 +99,48 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & some).sum(1) / np.maximum(1, some.sum(1))
 
 
-def fingerprints(docs: DataFrame, words: int = 5, seed: int = 42, sketch: bool = False) -> DataFrame:
-    """(doc_id, fp, sketch) with the fingerprint as a signed 64-bit number; the sketch is empty unless asked for. Map-only."""
+def shingle_set(hashes: list[int]) -> np.ndarray:
+    return np.unique(np.array(hashes, np.uint64))
+
+
+def node_of(own: np.ndarray, fp: int) -> int:
+    """Equal fingerprints are one node."""
+    return int(fp)
+
+
+def exact_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard likeness of two sorted sets; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def fingerprints(docs: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, sketch) with the fingerprint as a signed 64-bit number and an empty sketch. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, 2 << 20):
             hashes = [shingle_hashes(t, words, seed) for t in b.column(1).to_pylist()]
-            extra = [x.tobytes() for x in sketches(hashes)] if sketch else [b""] * len(hashes)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fold(hashes).view(np.int64)), pa.array(extra, pa.binary())], ["doc_id", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fold(hashes).view(np.int64)), pa.array([b""] * len(hashes), pa.binary())], ["doc_id", "fp", "sketch"])
 
     source = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return map_texts(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp bigint, sketch binary")
 
 
+def sketched(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """(doc_id, fp, node, shingles, sketch): the fingerprint, the name and size of the set of shingles, its sketch. Map-only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, 2 << 20):
+            hashes = [shingle_hashes(t, words, seed) for t in b.column(1).to_pylist()]
+            fps, own = fold(hashes).view(np.int64), [shingle_set(x) for x in hashes]
+            nodes = pa.array([node_of(x, f) for x, f in zip(own, fps.tolist())], pa.int64())
+            columns = [b.column(0), pa.array(fps), nodes, pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in sketches(own)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "shingles", "sketch"])
+
+    source = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return map_texts(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp bigint, node bigint, shingles bigint, sketch binary")
+
+
 class Forest:
     """Union-find over the indices of one task."""
 
@@ -151,20 +186,23 @@ def _ordered(fps: np.ndarray) -> np.ndarray:
     return np.lexsort((*lanes.T, np.bitwise_count(fps)))
 
 
-def tiled_links(left: np.ndarray, right: np.ndarray | None, radius: int, sketch: tuple[np.ndarray, np.ndarray | None] | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def tiled_links(left: np.ndarray, right: np.ndarray | None, radius: int, sketch: tuple[np.ndarray, np.ndarray | None] | None = None, least: float = 0.0, names: tuple[np.ndarray, np.ndarray | None] | None = None, exact=None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (ends of links) of the fingerprints within the radius, by exact comparison.
 
     ``right`` None: all pairs of ``left``; else pairs between the two. With sketches, a pair is a link
-    only if its estimated likeness is at least ``least`` as well.
+    only if its estimated likeness is at least ``least`` as well; with ``exact``, only if that agrees to the
+    names of the two. The ends are names where there are any, else fingerprints.
     """
     order = _ordered(left)
     left, marks = left[order], sketch[0][order] if sketch else None
     both, other = left, left
+    called = names[0][order] if names else left
     if right is not None:
         order = _ordered(right)
         other = right[order]
         both = np.concatenate([left, other])
         marks = np.concatenate([marks, sketch[1][order]]) if sketch else None
+        called = np.concatenate([called, names[1][order] if names else other])
     forest, base = Forest(len(both)), 0 if right is None else len(left)
     columns = _tiles(other, TILE_COLUMNS)
     for i, j, low, high in _tiles(left, TILE_ROWS):
@@ -189,15 +227,24 @@ def tiled_links(left: np.ndarray, right: np.ndarray | None, radius: int, sketch:
                 if marks is not None and len(x):
                     fits = alike(marks[x], marks[y]) >= least
                     x, y = x[fits], y[fits]
-                if len(x):
+                if exact is None:
                     forest.link(x, y)
+                    continue
+                for e in range(0, len(x), EXACT_STEP):
+                    u, v = x[e : e + EXACT_STEP], y[e : e + EXACT_STEP]
+                    apart = forest.root[u] != forest.root[v]
+                    u, v = u[apart], v[apart]
+                    fits = np.array([exact(g, h) for g, h in zip(called[u].tolist(), called[v].tolist())], bool)
+                    forest.link(u[fits], v[fits])
     root = forest.root
     ends = np.flatnonzero(root != np.arange(len(root)))
-    return both[root[ends]], both[ends]
+    return called[root[ends]], called[ends]
 
 
 def near_links(distinct: DataFrame, radius: int, likeness: float | None = None) -> DataFrame:
-    """(a, b): links that connect what lies within the radius among the rows of (fp, sketch), distinct by fp.
+    """(a, b): links that connect what lies within the radius among the rows of (fp, node, sketch), distinct by node.
+
+    With ``likeness`` the links are proposals by estimates from the sketches.
 
     Groups are packed into one binary value each, so that the copies for the pairs of groups cost
     bytes but no rows. The driver sees the 65 population counts only.
@@ -209,10 +256,12 @@ def near_links(distinct: DataFrame, radius: int, likeness: float | None = None)
         return spark.createDataFrame([], "a bigint, b bigint")
     parts = {p: -(-n // GROUP) for p, n in sizes.items()}
     of = F.element_at(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]), F.col("p"))
-    grouped = distinct.select("fp", "sketch", ones.alias("p")).withColumn("r", F.pmod(F.xxhash64("fp"), of).cast("int"))
+    grouped = distinct.select("fp", "node", "sketch", ones.alias("p")).withColumn("r", F.pmod(F.xxhash64("node"), of).cast("int"))
 
     def pack(t: pa.Table) -> pa.Table:
-        payload = t.column("fp").to_numpy().tobytes() + b"".join(t.column("sketch").to_pylist())
+        payload = t.column("fp").to_numpy().tobytes()
+        if likeness is not None:
+            payload += t.column("node").to_numpy().tobytes() + b"".join(t.column("sketch").to_pylist())
         return pa.table({"p": t.column("p")[:1], "r": t.column("r")[:1], "payload": pa.array([payload], pa.binary())})
 
     packed = materialize(grouped.groupBy("p", "r").applyInArrow(pack, "p int, r int, payload binary"))
@@ -224,31 +273,83 @@ def near_links(distinct: DataFrame, radius: int, likeness: float | None = None)
 
     def meet(t: pa.Table) -> pa.Table:
         raw = [x for _, x in sorted(zip(t.column("side").to_pylist(), t.column("payload").to_pylist()))]
-        each = 8 + (2 * BINS if likeness is not None else 0)
-        found = [np.frombuffer(x, np.uint64, len(x) // each) for x in raw] + [None]
-        marks = [np.frombuffer(x, np.uint16, offset=len(x) // each * 8).reshape(-1, BINS) for x in raw] + [None] if likeness is not None else None
-        a, b = tiled_links(found[0], found[1], radius, (marks[0], marks[1]) if marks else None, (likeness or 0.0) - SLACK)
+        if likeness is None:
+            found = [np.frombuffer(x, np.uint64) for x in raw] + [None]
+            a, b = tiled_links(found[0], found[1], radius)
+        else:
+            n = [len(x) // (16 + 2 * BINS) for x in raw]
+            found = [np.frombuffer(x, np.uint64, k) for x, k in zip(raw, n)] + [None]
+            names = [np.frombuffer(x, np.int64, k, 8 * k) for x, k in zip(raw, n)] + [None]
+            marks = [np.frombuffer(x, np.uint16, offset=16 * k).reshape(-1, BINS) for x, k in zip(raw, n)] + [None]
+            a, b = tiled_links(found[0], found[1], radius, (marks[0], marks[1]), likeness - SLACK, (names[0], names[1]))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     key = ["p1", "r1", "p2", "r2"]
     return one.select(*key, "side", "payload").union(two.select(*key, "side", "payload")).groupBy(*key).applyInArrow(meet, "a bigint, b bigint")
 
 
+def exact_links(docs: DataFrame, proposed: DataFrame, words: int, radius: int, seed: int, likeness: float) -> DataFrame:
+    """(a, b): links that connect the proposed pairs whose sets of shingles have at least that Jaccard likeness.
+
+    ``proposed``: (doc_id, node, shingles, component), one row for each node that has a proposed link. A pair
+    counts by the same radius and estimate as before, now checked exactly. Each component meets in one task, a
+    large one in blocks of bounded bytes, of which each two meet.
+    """
+    sizes = materialize(proposed.groupBy("component").agg(F.ceil(F.sum("shingles") * 8 / SET_BYTES).cast("int").alias("parts")))
+    wanted = proposed.join(sizes, "component").select(F.col("doc_id").alias("__d"), "node", "component", F.greatest("parts", F.lit(1)).alias("parts"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d"))).select("text", "node", "component", "parts")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, 2 << 20):
+            hashes = [shingle_hashes(t, words, seed) for t in b.column(0).to_pylist()]
+            fps, own = fold(hashes).view(np.int64), [shingle_set(x) for x in hashes]
+            same = pa.array([node_of(x, f) == n for x, f, n in zip(own, fps.tolist(), b.column(1).to_pylist())], pa.bool_())
+            columns = [*b.columns[1:], pa.array(fps), pa.array([x.tobytes() for x in sketches(own)], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "component", "parts", "fp", "sketch", "own"]).filter(same)
+
+    rows = map_texts(met, sets, "node bigint, component bigint, parts int, fp bigint, sketch binary, own binary")
+    rows = rows.withColumn("r", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("component", F.least("r", "o").alias("r1"), F.greatest("r", "o").alias("r2"), "r", "node", "fp", "sketch", "own")
+
+    def meet(t: pa.Table) -> pa.Table:
+        nodes, side = t.column("node").to_numpy(), t.column("r").to_numpy() != t.column("r1")[0].as_py()
+        first = np.unique(nodes, return_index=True)[1]  # repeated rows bring a set again
+        own = {n: np.frombuffer(x.as_buffer(), np.uint64) for n, x in zip(nodes.tolist(), t.column("own"))}
+        fps, marks = t.column("fp").to_numpy().view(np.uint64), np.stack([np.frombuffer(x, np.uint16) for x in t.column("sketch").to_pylist()])
+        left, right = first[~side[first]], first[side[first]]
+        two = t.column("r1")[0].as_py() != t.column("r2")[0].as_py()
+        ends = (np.array([], np.int64),) * 2
+        if len(left) and (len(right) or not two):
+            pick = lambda x: (x[left], x[right] if two else None)
+            ends = tiled_links(*pick(fps), radius, pick(marks), likeness - SLACK, pick(nodes), lambda a, b: exact_likeness(own[a], own[b]) >= likeness)
+        return pa.table({"a": ends[0], "b": ends[1]})
+
+    return rows.groupBy("component", "r1", "r2").applyInArrow(meet, "a bigint, b bigint")
+
+
 def near_components(docs: DataFrame, words: int = 5, radius: int = 4, seed: int = 42, likeness: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of (doc_id, text).
 
-    The component is the smallest doc_id that links reach. With ``likeness`` a link also needs a Jaccard
-    likeness of the shingles of about that much, estimated from min-hash sketches that travel with the
-    fingerprints; the radius may then be wide without linking what is merely close by chance. Texts
-    are read once; everything behind the fingerprints is small and fixed in size for each document.
+    The component is the smallest doc_id that links reach. With ``likeness`` a link also needs that Jaccard
+    likeness of the sets of shingles. Min-hash sketches that travel with the fingerprints propose such links,
+    so that the radius may be wide; only texts with a proposed link are read again, for the exact likeness.
     """
-    prints = materialize(fingerprints(docs, words, seed, likeness is not None))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch"))
-    groups = connected_components(near_links(nodes.select("fp", "sketch"), radius, likeness))
-    roots = nodes.select("fp", "least").join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    if likeness is None:
+        prints = materialize(fingerprints(docs, words, seed).withColumn("node", F.col("fp")))
+        nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
+        groups = connected_components(near_links(nodes.select("fp", "node", "sketch"), radius))
+    else:
+        prints = materialize(sketched(docs, words, seed))
+        nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("shingles").alias("shingles"))
+        close = connected_components(near_links(nodes.select("fp", "node", "sketch"), radius, likeness))
+        proposed = materialize(nodes.select(F.col("least").alias("doc_id"), "node", "shingles").join(close, "node"))
+        groups = connected_components(exact_links(docs, proposed, words, radius, seed, likeness))
+    roots = nodes.select("node", "least").join(groups, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = materialize(roots.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = materialize(roots.select("node", "root").join(least, "root").select("node", "component_id"))
+    return prints.join(of, "node").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, radius: int = 12, likeness: float = 0.8, seed: int = 42) -> DataFrame:

@@ -234,6 +234,43 @@ def test_one_of_each(spark):
     assert sorted(x or 0 for x in kept) in ([0, 1, 3, 4], [0, 1, 3, 5])
 
 
+def jaccard(a, b, words=5):
+    x, y = (set(simhash.shingle_hashes(t, words, 42)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("block", [8 << 20, 4000])
+def test_near_copies_are_checked_exactly(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "SET_BYTES", block)
+    r, rows = random.Random(12), []
+    for g in range(30):
+        base = prose(500 + g, 300).split()
+        for c in range(4):
+            copy = base[:]
+            for at in r.sample(range(300), 1 + 3 * c):
+                copy[at] = f"c{g}x{c}x{at}"
+            rows.append((10 * g + c, " ".join(copy)))
+    prints = [plain_print(t, 5) for _, t in rows]
+    marks = simhash.sketches([simhash.shingle_hashes(t, 5, 42) for _, t in rows])
+    root, wrong = list(range(len(rows))), 0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 12 and simhash.alike(marks[a : a + 1], marks[b : b + 1])[0] >= 0.8 - simhash.SLACK:
+                if jaccard(rows[a][1], rows[b][1]) >= 0.8:
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+                else:
+                    wrong += 1
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_components(corpus(spark, rows), 5, 12, 42, 0.8).collect()}
+    assert wrong and len(set(got.values())) < len(rows)
+    assert got == {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (100, 101)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
