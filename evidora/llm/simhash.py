@@ -104,8 +104,8 @@ def shingle_set(hashes: list[int]) -> np.ndarray:
 
 
 def node_of(own: np.ndarray, fp: int) -> int:
-    """Equal fingerprints are one node."""
-    return int(fp)
+    """A signed 64-bit name of a set of shingles and a fingerprint."""
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), int(fp) & (1 << 64) - 1)).view(np.int64))
 
 
 def exact_likeness(a: np.ndarray, b: np.ndarray) -> float:

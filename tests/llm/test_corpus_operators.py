@@ -271,6 +271,14 @@ def test_near_copies_are_checked_exactly(spark, monkeypatch, block):
     assert got == {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
 
 
+def test_equal_fingerprints_of_different_texts(spark):
+    line = "this very line stands on every page of it "
+    rows = [(i, line * 400 + " ".join(f"own{i}n{j}" for j in range(300))) for i in range(3)]
+    rows += [(10, rows[0][1]), (11, rows[1][1].replace("own1n299", "changed"))]
+    assert len({plain_print(t, 5) for _, t in rows}) == 1 and jaccard(rows[0][1], rows[1][1]) < 0.05
+    assert sorted(r["doc_id"] for r in stages.drop_near_copies(corpus(spark, rows)).collect()) == [0, 1, 2]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (100, 101)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
