@@ -2,8 +2,9 @@
 
 Documents fall into cells of source, language and topic. The cells' token counts are raked: in turn each
 dimension is scaled so that its marginals meet the targets, until all do. A cell's weight over its tokens is
-the factor by which its documents should count; a document is kept with that probability (at most
-1), decided by a hash of its id, so that the decision is the same on every run and executor.
+the factor by which its documents should count. A document is kept with that factor over the largest one as
+its probability, so that none exceeds 1 and the kept tokens meet the targets; a hash of its id decides, so
+that the decision is the same on every run and executor.
 
 Targets are the shares of tokens that each value of a dimension should have. Without explicit ones they
 are the tokens' own shares raised to a power below 1 (and scaled to sum to 1), which lifts the
@@ -126,10 +127,11 @@ def factors(docs: DataFrame, targets: dict[str, dict] | None = None, bound: int
 def mix(docs: DataFrame, targets: dict[str, dict] | None = None) -> DataFrame:
     """All rows of ``docs`` with the columns __n_tokens, __topic, __factor, __kept."""
     found, bounded = factors(docs, targets)
+    largest = found.agg(F.max("factor")).first()[0] or 1.0
     found = found.toDF("__s", "__l", "__topic", "__factor")
     rows = _described(docs, "__").withColumn("__s", F.coalesce(F.col("source"), F.lit(""))).withColumn("__l", F.coalesce(F.col("lang"), F.lit("")))
     rows = rows.join(F.broadcast(found) if bounded else found, ["__s", "__l", "__topic"])
-    return rows.withColumn("__kept", (uniform(F.col("doc_id")) < F.col("__factor")).cast("int")).drop("__s", "__l")
+    return rows.withColumn("__kept", (uniform(F.col("doc_id")) < F.col("__factor") / F.lit(largest)).cast("int")).drop("__s", "__l")
 
 
 def _oracle() -> str:

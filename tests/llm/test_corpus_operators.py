@@ -162,6 +162,13 @@ def test_mixing_explicit_targets(spark, small):
     assert abs(shares["en"] / shares["de"] - 1) < 0.2
 
 
+def test_kept_tokens_meet_targets(spark):
+    rows = [(i, "a b c d e f", "en", "rare" if i % 10 == 0 else "hot", 11, "x") for i in range(5000)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), {"source": {"hot": 0.5, "rare": 0.5}}).where("__kept = 1")
+    kept = {r["source"]: r["n"] for r in got.groupBy("source").agg(F.sum("__n_tokens").alias("n")).collect()}
+    assert abs(kept["rare"] / sum(kept.values()) - 0.5) < 0.05
+
+
 # --- 9 -----------------------------------------------------------------------------------------------
 def plain_print(text, words=4):
     w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
