@@ -1,16 +1,16 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is cut into pieces of up to four code points that never cross white space. Every run of ``k``
-pieces is hashed; of every ``w`` neighbouring hashes the smallest is chosen, the rightmost of equals,
-and kept with its position. Two texts that share a run of ``w + k - 1`` pieces share a chosen hash,
-and its positions say where. A hash and its position live in one number, the hash above and the
-position, counted down, below: the smallest number is then the smallest hash and the rightmost of equals.
+Every run of ``k`` code points is hashed; of every ``w`` neighbouring hashes the smallest is
+chosen, the rightmost of equals, and kept with its position. Two texts that share a run of
+``w + k - 1`` code points share a chosen hash, and its positions say where. A hash and its position
+live in one number, the hash above and the position, counted down, below: the smallest number is
+then the smallest hash and the rightmost of equals.
 
 Neighbours by ascending id come from a window within buckets of ids, with one shuffle of the texts:
 the first rows of the following bucket are dealt into each bucket as well.
 
-Defined cases: a null text is the empty text, which has no hashes; a text of fewer than ``k`` pieces is
-hashed as a whole; fewer hashes than a window are one window; two empty texts are alike (1), an empty and
+Defined cases: a null text is the empty text, which has no hashes; a text shorter than ``k`` is hashed
+as a whole; fewer hashes than a window are one window; two empty texts are alike (1), an empty and
 another not (0); a null id comes before all others; rows of one id are ordered by the hash of their
 text; the next document of the last is the first, of a single document itself; other columns are
 ignored.
@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
-#: Pieces in a hash, and hashes in a window (a power of two).
-K, W = 4, 4
-PIECE = r"\s*\S{1,4}"
+#: Code points in a hash, and hashes in a window (a power of two).
+K, W = 12, 8
 _LOW = (1 << 32) - 1
 #: Quantiles of the ids, and parts of each at most: the bound of the heads that are broadcast.
 QUANTILES, PARTS = 64, 1024
@@ -33,8 +32,8 @@ FIRST_ID = -(1 << 63)
 
 
 def gram_hashes(text: Column, k: int = K) -> Column:
-    """(hash, position) of every run of k pieces, as one number each."""
-    grams = F.regexp_extract_all(text, F.lit(f"(?=((?:{PIECE}){{{k}}})){PIECE}"), F.lit(1))
+    """(hash, position) of every run of k code points, as one number each."""
+    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
     numbers = lambda found: F.transform(found, lambda g, i: F.shiftleft(F.xxhash64(g).bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")), 32) + (F.lit(_LOW) - i))
     whole = F.when(F.char_length(text) > 0, numbers(F.array(text))).otherwise(F.array().cast("array<bigint>"))
     return _let(numbers(grams), lambda x: F.when(F.size(x) > 0, x).otherwise(whole))

@@ -50,6 +50,16 @@ def test_winnowing_against_its_definition(spark):
         assert {(c >> 32, -(winnowing._LOW - (c & winnowing._LOW))) for c in got[r["doc_id"]]} == plain_chosen([h for h, _ in pairs])
 
 
+def test_winnowing_shifted_runs_share_grams(spark):
+    r = random.Random(4)
+    runs = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz\u4e2d\U0001F600") for _ in range(n)) for n in (60, 400)]
+    df = spark.createDataFrame([(t, "x" + t) for t in runs], "a string, b string")
+    got = winnowing.winnow(winnowing.winnow(df.withColumns({"g": winnowing.gram_hashes(F.col("a")), "h": winnowing.gram_hashes(F.col("b"))}), "a", "c"), "b", "d").collect()
+    for row in got:
+        assert len(row["g"]) == len(row["a"]) - winnowing.K + 1 and {x >> 32 for x in row["g"]} <= {x >> 32 for x in row["h"]}
+        assert {x >> 32 for x in row["c"]} <= {x >> 32 for x in row["d"]}
+
+
 def test_winnowing_documents(spark):
     rows = [(5, prose(2, 80)), (2, None), (9, ""), (7, "one"), (5, prose(2, 80)), (None, prose(3, 30)), (40, prose(4, 3000))]
     got = winnowing.compare_documents(corpus(spark, rows)).collect()
