@@ -15,6 +15,7 @@ element is the text itself; repeated rows give repeated rows; other columns are
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,7 @@ def features(page: Page) -> np.ndarray:
     inside = [False] * len(nodes)
     nk, first = len(_TAGS), len(_TAGS) + len(_KINDS)
     place_of = {t: i for i, t in enumerate(_TAGS)}
+    tags = [Counter(nodes[c].tag for c in x.children) for x in nodes]
     for i, x in enumerate(nodes):
         row = out[i]
         if (t := place_of.get(x.tag)) is not None:
@@ -61,7 +63,7 @@ def features(page: Page) -> np.ndarray:
         up: Node | None = nodes[x.parent] if i else None
         inside[i] = bool(up) and (inside[x.parent] or up.tag in ("article", "main"))
         brothers = up.children if up else [0]
-        alike = sum(nodes[c].tag == x.tag for c in brothers) if len(brothers) < 200 else len(brothers)
+        alike = tags[x.parent][x.tag] if up else 1
         row[first:] = (x.hidden, x.rights, x.depth, x.place, len(brothers), alike, np.log1p(x.chars), np.log1p(x.own_chars), x.link_chars / max(1, x.chars), x.elements / max(1, x.chars), x.chars / max(1, x.blocks), x.blocks, x.stops / max(1, x.chars), x.chars / total, x.chars / max(1, up.chars if up else total), inside[i], x.place == len(brothers) - 1)
     return out
 

@@ -193,6 +193,12 @@ def test_extraction(trees, html, text):
     assert extraction.extract([html], trees) == [text]
 
 
+def test_siblings_of_one_tag_are_counted_at_every_size():
+    page = dom.read("<p>text</p>" * 250 + "<aside>note</aside>")
+    got = extraction.features(page)[:, extraction.FEATURES.index("alike")]
+    assert got[-1] == 1 and set(got[1:-1]) == {250}
+
+
 def test_extraction_on_new_pages(trees):
     exact = 0
     for source in extraction.sample_pages(100, seed=31):
