@@ -232,7 +232,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for b in text_slices(batches):
             texts = b.column(2).to_pylist()
             scores = [model.probability(t) for t in texts]
-            columns = [b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([len(model.significant(t)) if s >= 0.5 else 0 for t, s in zip(texts, scores)], pa.int32())]
+            columns = [b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([len(model.significant(t)) for t in texts], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "n_segments"])
 
     return map_texts(source, run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_segments int")

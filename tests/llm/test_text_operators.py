@@ -139,6 +139,12 @@ def test_toxicity_held_out(spark):
     assert stages.drop_toxic(d, lab).count() == sum(1 - t for _, t in labels)
 
 
+def test_segments_below_the_threshold_are_counted(spark):
+    model = toxicity.Model({e: 9.0 for e in toxicity.entries_of("nasty")}, {e: 1.0 for e in toxicity.entries_of("nasty")}, -1.0, (-50.0, 0.0, 0.0))
+    got = toxicity.score_documents(spark.createDataFrame([(1, "calm words and nasty nasty ones")], "doc_id bigint, text string"), model).first()
+    assert got["score"] < 0.5 and got["predicted"] == 0 and got["n_segments"] == 1
+
+
 def test_toxicity_without_labels(spark):
     d = frame(spark)
     model = toxicity.fit(d, spark.createDataFrame([], "doc_id bigint, toxic int"))
