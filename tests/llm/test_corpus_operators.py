@@ -32,51 +32,88 @@ def prose(seed, n):
 
 
 # --- 2 -----------------------------------------------------------------------------------------------
-def plain_chosen(hashes, w=winnowing.W):
-    """(hash, position) pairs chosen by the definition."""
-    if len(hashes) <= w:
-        return {min((h, -i) for i, h in enumerate(hashes))} if hashes else set()
-    return {min((h, -i) for i, h in list(enumerate(hashes))[a : a + w]) for a in range(len(hashes) - w + 1)}
+def plain_chosen(text, k=winnowing.K, w=winnowing.W):
+    """(rank, place, hash) chosen by the definition, in order of place."""
+    raw = text.encode("utf-32-be")
+    runs = [raw[4 * i : 4 * (i + k)] for i in range(len(text) - k + 1)] or [raw] * bool(text)
+    hashed = [xxhash.xxh64_intdigest(x, 42) for x in runs]
+    ranked = [((h >> 32) & 0x7FFFFFFF, -i, h) for i, h in enumerate(hashed)]
+    found = {min(ranked[a : a + w]) for a in range(max(1, len(ranked) - w + 1))} if ranked else set()
+    return sorted(((r, -i, h - (h >> 63 << 64)) for r, i, h in found), key=lambda x: x[1])
 
 
-def test_winnowing_against_its_definition(spark):
-    texts = ["", "a", "abc def", prose(1, 50), "same " * 60, "é中\U0001F600 x" * 20, "nospace" * 40]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    grams = df.select("doc_id", winnowing.gram_hashes(F.col("text")).alias("g")).collect()
-    got = {r["doc_id"]: r["c"] for r in winnowing.winnow(df, "text", "c").select("doc_id", "c").collect()}
-    for r in grams:
-        pairs = [(g >> 32, winnowing._LOW - (g & winnowing._LOW)) for g in r["g"]]
-        assert [p for _, p in pairs] == list(range(len(pairs)))
-        assert {(c >> 32, -(winnowing._LOW - (c & winnowing._LOW))) for c in got[r["doc_id"]]} == plain_chosen([h for h, _ in pairs])
+def plain_print_of(text):
+    chosen = plain_chosen(text)
+    return hashlib.sha256(("[" + ",".join(str((r << 32) - (4 * i + 1)) for r, i, _ in chosen) + "]").encode()).hexdigest(), {h for _, _, h in chosen}
+
+
+def plain_likeness(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def plain_comparison(texts):
+    """Rows of the query but for doc_id, for texts in order."""
+    out = []
+    for i, t in enumerate(texts):
+        n, q = texts[(i + 1) % len(texts)], len(t) // 4
+        edited = t[: len(t) - q] + n[:q]
+        (own, a), (changed, b), (_, c) = plain_print_of(t), plain_print_of(edited), plain_print_of(n)
+        out.append((len(t), hashlib.sha256(edited.encode()).hexdigest(), own, changed, plain_likeness(a, b), plain_likeness(a, c)))
+    return out
 
 
-def test_winnowing_shifted_runs_share_grams(spark):
-    r = random.Random(4)
-    runs = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz\u4e2d\U0001F600") for _ in range(n)) for n in (60, 400)]
-    df = spark.createDataFrame([(t, "x" + t) for t in runs], "a string, b string")
-    got = winnowing.winnow(winnowing.winnow(df.withColumns({"g": winnowing.gram_hashes(F.col("a")), "h": winnowing.gram_hashes(F.col("b"))}), "a", "c"), "b", "d").collect()
-    for row in got:
-        assert len(row["g"]) == len(row["a"]) - winnowing.K + 1 and {x >> 32 for x in row["g"]} <= {x >> 32 for x in row["h"]}
-        assert {x >> 32 for x in row["c"]} <= {x >> 32 for x in row["d"]}
+def test_winnowing_against_its_definition(spark):
+    texts = ["", "a", "abc def", "elevenchars", "twelve chars", prose(1, 50), "same " * 60, "é中\U0001F600 x" * 20, "nospace" * 40]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: list(zip(r["hashes"], r["positions"])) for r in winnowing.fingerprint_documents(df).collect()}
+    assert got == {i: [(h, p) for _, p, h in plain_chosen(t)] for i, t in enumerate(texts)}
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab中\U0001F600"), max_size=90), min_size=1, max_size=12))
+def test_winnowing_columns_of_any_texts(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r[0]: tuple(r)[1:] for r in winnowing.compare_documents(df).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_comparison(texts)
+
+
+def test_winnowing_guarantee_without_blanks(spark):
+    """Runs of w + k - 1 code points in two texts share a chosen gram at the same place of the run."""
+    r, least = random.Random(4), winnowing.W + winnowing.K - 1
+    pool = "abcdefghijklmnopqrstuvwxyz中\U0001F600"
+    some = lambda n: "".join(r.choice(pool) for _ in range(n))
+    pairs = []
+    for n in (least, least + 1, 60, 216, 400):
+        for before in (0, 1, 2, 3, 7):
+            run = some(n)
+            pairs.append((run, "x" * before + run, 0, before, n))
+            pairs.append((some(5) + run + some(9), some(before) + run + some(3), 5, before, n))
+    df = spark.createDataFrame([(2 * i + j, p[j]) for i, p in enumerate(pairs) for j in (0, 1)], "doc_id bigint, text string")
+    got = {x["doc_id"]: set(zip(x["hashes"], x["positions"])) for x in winnowing.fingerprint_documents(df).collect()}
+    for i, (_, _, a, b, n) in enumerate(pairs):
+        inside = lambda found, at: {(h, p - at) for h, p in found if at <= p <= at + n - winnowing.K}  # noqa: B023, E731
+        shared = inside(got[2 * i], a) & inside(got[2 * i + 1], b)
+        places = sorted(p for _, p in shared)
+        assert places and all(z - y <= winnowing.W for y, z in zip(places, places[1:]))
 
 
 def test_winnowing_documents(spark):
-    rows = [(5, prose(2, 80)), (2, None), (9, ""), (7, "one"), (5, prose(2, 80)), (None, prose(3, 30)), (40, prose(4, 3000))]
+    rows = [(5, prose(2, 80)), (2, None), (9, ""), (7, "one"), (5, prose(2, 80)), (None, prose(3, 30)), (40, prose(4, 3000)), (41, "z" * 700), (42, "short"), (43, prose(5, 90))]
     got = winnowing.compare_documents(corpus(spark, rows)).collect()
-    assert len(got) == len(rows)
     order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))
-    for k, (i, t) in enumerate(order):
-        t, n = t or "", order[(k + 1) % len(order)][1] or ""
-        q = len(t) // 4
-        want = hashlib.sha256((t[: len(t) - q] + n[:q]).encode()).hexdigest()
-        assert any(r["doc_id"] == i and r["n_chars"] == len(t) and r["edited_sha256"] == want for r in got)
-    same = [r["fingerprint"] for r in got if r["doc_id"] == 5]
-    assert same[0] == same[1] and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    want = plain_comparison([t or "" for _, t in order])
+    assert sorted(tuple(map(str, r)) for r in got) == sorted(tuple(map(str, (i, *w))) for (i, _), w in zip(order, want))
     one = winnowing.compare_documents(corpus(spark, [(1, "abcdefgh")])).collect()
     assert one[0]["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
     assert winnowing.compare_documents(corpus(spark, [])).count() == 0
 
 
+def test_winnowing_query(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    got = {r[0]: tuple(r)[1:] for r in queries.op2_winnowing(spark, small).collect()}
+    assert [got[r["doc_id"]] for r in docs] == plain_comparison([r["text"] or "" for r in docs])
+
+
 def test_winnowing_is_native(spark, small):
     plan = queries.op2_winnowing(spark, small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
