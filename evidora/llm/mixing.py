@@ -10,15 +10,20 @@ Targets are the shares of tokens that each value of a dimension should have. Wit
 are the tokens' own shares raised to a power below 1 (and scaled to sum to 1), which lifts the
 small and lowers the large. Values without a target keep their own share.
 
-Only the table of cells is iterated on. It goes to the driver as long as it has at most ``CELLS`` rows;
-beyond, the same rounds run as window sums over a checkpointed table.
+A topic is whatever column the caller gives. Without one it is the form of the text, from counts alone: of words,
+and of numbers and runs of marks to the word.
+
+Only the table of cells is iterated on. It goes to the driver as long as it has at most ``CELLS`` rows of
+``CELL_BYTES`` in all; beyond, the same rounds run as window sums over a checkpointed table.
 
 Defined cases: a null text has no tokens; null source or language is a value of its own, '' ; cells without
-tokens have factor 1; repeated rows and ids share a decision; an empty table gives no rows.
+tokens have factor 1; repeated rows and ids share a decision; an empty table gives no rows; other columns may have any
+names. Targets that no weights can meet (a cell's only source wants more than its only language has) warn.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,21 +32,27 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Rounds of raking; powers of the default targets; largest table of cells on the driver.
-ROUNDS, POWERS, CELLS = 12, {"source": 0.7, "lang": 0.8, "topic": 0.9}, 100_000
+#: Most rounds of raking, and the deviation of any marginal that ends them; powers of the default targets.
+ROUNDS, CLOSE, POWERS = 60, 1e-9, {"source": 0.7, "lang": 0.8, "topic": 0.9}
+#: Largest table of cells on the driver: rows, and bytes of their names.
+CELLS, CELL_BYTES = 100_000, 8 << 20
 SALT = "mix-1:"
+_WORD, _NUMBER, _MARKS = "[^\\x20\\x09-\\x0D]+", "[0-9]+", "[!-/:-@\\[-`{-~]{2,}"
+
+
+def _count(text: Column, pattern: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("bigint")
 
 
 def token_count(text: Column) -> Column:
     """Words between ASCII white space."""
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
+    return _count(text, _WORD)
 
 
-def topic_of(text: Column, tokens: Column) -> Column:
-    """What kind of text it is, by its form."""
-    has = lambda s: text.contains(s)
+def form_of(text: Column, tokens: Column) -> Column:
+    """The form of a text: by its runs of marks and its numbers to the word, else by its length."""
     return (
-        F.when(text.isNull(), "short").when(has("icense"), "legal").when(has(" | "), "table").when(has("###") | has("$$$"), "noisy").when(tokens < 50, "short").when(tokens < 1000, "prose").otherwise("book")
+        F.when(tokens == 0, "empty").when(_count(text, _MARKS) * 12 >= tokens, "marked").when(_count(text, _NUMBER) * 12 >= tokens, "figures").when(tokens < 50, "short").when(tokens < 1000, "prose").otherwise("book")
     )
 
 
@@ -50,15 +61,21 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(SALT), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def rake(cells: dict[tuple, float], targets: list[dict], rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Weights of the cells after ``rounds`` rounds; ``targets``: for each dimension value to share."""
-    total, weight = sum(cells.values()), dict(cells)
+def rake(cells: dict[tuple, float], targets: list[dict], rounds: int = ROUNDS, close: float = CLOSE) -> dict[tuple, float]:
+    """Weights of the cells once all marginals meet their targets, or after ``rounds`` rounds; ``targets``: for each dimension value to share."""
+    total, weight, off = sum(cells.values()), dict(cells), 0.0
     for _ in range(rounds):
+        off = 0.0
         for i, target in enumerate(targets):
             sums: dict = defaultdict(float)
             for cell in sorted(weight):
                 sums[cell[i]] += weight[cell]
+            off = max([off, *(abs(target[v] * total / s - 1) for v, s in sums.items() if s)])
             weight = {c: w * target[c[i]] * total / sums[c[i]] if sums[c[i]] else w for c, w in weight.items()}
+        if off < close:
+            break
+    else:
+        warnings.warn(f"raking ended {off:.2g} off its targets after {rounds} rounds", stacklevel=2)
     return weight
 
 
@@ -93,24 +110,30 @@ def _factors_far(cells: DataFrame, targets: dict[str, dict] | None) -> DataFrame
             share = F.pow("s", F.lit(POWERS[dim])) / F.lit(powered)
         work = work.join(sums.select(dim, share.alias(f"to_{dim}")), dim)
     for _ in range(ROUNDS):
+        work = work.withColumn("off", F.lit(0.0))
         for dim in DIMENSIONS:
-            sum_of = F.sum("w").over(Window.partitionBy(dim))
-            work = work.withColumn("w", F.when(sum_of > 0, F.col("w") * F.col(f"to_{dim}") * total / sum_of).otherwise(F.col("w")))
+            work = work.withColumn("sum", F.sum("w").over(Window.partitionBy(dim)))
+            by = F.when(F.col("sum") > 0, F.col(f"to_{dim}") * total / F.col("sum")).otherwise(1.0)
+            work = work.withColumn("off", F.greatest("off", F.abs(by - 1))).withColumn("w", F.col("w") * by)
         work = materialize(work)
+        if (work.agg(F.max("off")).first()[0] or 0.0) < CLOSE:
+            break
     return work.select(*DIMENSIONS, F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0).alias("factor"))
 
 
-def _described(docs: DataFrame, prefix: str = "") -> DataFrame:
-    text = F.col("text")
-    with_tokens = docs.withColumn(f"{prefix}n_tokens", token_count(text))
-    return with_tokens.withColumn(f"{prefix}topic", topic_of(text, F.col(f"{prefix}n_tokens")))
+def _described(docs: DataFrame, topic: Column | None) -> DataFrame:
+    """(row, source, lang, n_tokens, topic) of each document, all of its own columns within ``row``."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *([] if topic is None else [F.coalesce(topic, F.lit("")).alias("topic")]))
+    text, value = F.col("row.text"), lambda c: F.coalesce(F.col(f"row.{c}").cast("string"), F.lit("")).alias(c)
+    named = own.withColumn("n_tokens", token_count(text))
+    return named.select("row", value("source"), value("lang"), "n_tokens", F.col("topic") if topic is not None else form_of(text, F.col("n_tokens")).alias("topic"))
 
 
-def factors(docs: DataFrame, targets: dict[str, dict] | None = None, bound: int = CELLS) -> tuple[DataFrame, bool]:
+def factors(docs: DataFrame, targets: dict[str, dict] | None = None, topic: Column | None = None, bound: int = CELLS) -> tuple[DataFrame, bool]:
     """((source, lang, topic, factor), whether the table is bounded) of (text, source, lang)."""
-    named = _described(docs.select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "text"))
-    cells = materialize(named.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    if cells.count() > bound:
+    cells = materialize(_described(docs, topic).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
+    size = cells.agg(F.count(F.lit(1)).alias("n"), F.sum(sum(F.octet_length(d) for d in DIMENSIONS)).alias("bytes")).first()
+    if size["n"] > bound or (size["bytes"] or 0) > CELL_BYTES:
         return _factors_far(cells, targets), False
     table = {(r["source"], r["lang"], r["topic"]): float(r["tokens"]) for r in cells.collect()}
     wanted = []
@@ -124,50 +147,50 @@ def factors(docs: DataFrame, targets: dict[str, dict] | None = None, bound: int
     return docs.sparkSession.createDataFrame(rows, "source string, lang string, topic string, factor double"), True
 
 
-def mix(docs: DataFrame, targets: dict[str, dict] | None = None) -> DataFrame:
-    """All rows of ``docs`` with the columns __n_tokens, __topic, __factor, __kept."""
-    found, bounded = factors(docs, targets)
+def mix(docs: DataFrame, targets: dict[str, dict] | None = None, topic: Column | None = None) -> DataFrame:
+    """(row, n_tokens, topic, factor, probability, kept): all rows of ``docs``, each within ``row``, and the decision on it."""
+    found, bounded = factors(docs, targets, topic)
     largest = found.agg(F.max("factor")).first()[0] or 1.0
-    found = found.toDF("__s", "__l", "__topic", "__factor")
-    rows = _described(docs, "__").withColumn("__s", F.coalesce(F.col("source"), F.lit(""))).withColumn("__l", F.coalesce(F.col("lang"), F.lit("")))
-    rows = rows.join(F.broadcast(found) if bounded else found, ["__s", "__l", "__topic"])
-    return rows.withColumn("__kept", (uniform(F.col("doc_id")) < F.col("__factor") / F.lit(largest)).cast("int")).drop("__s", "__l")
+    rows = _described(docs, topic).join(F.broadcast(found) if bounded else found, [*DIMENSIONS])
+    rows = rows.withColumn("probability", F.col("factor") / F.lit(largest))
+    return rows.select("row", "n_tokens", "topic", "factor", "probability", (uniform(F.col("row.doc_id")) < F.col("probability")).cast("int").alias("kept"))
 
 
 def _oracle() -> str:
-    cell = """
+    sql = f"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, text,
-    CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens
+    CAST(coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS BIGINT) AS n_tokens,
+    coalesce(len(regexp_extract_all(text, '{_MARKS}')), 0) AS marks, coalesce(len(regexp_extract_all(text, '{_NUMBER}')), 0) AS numbers
   FROM documents
 ), t AS (
   SELECT doc_id, source, lang, n_tokens,
-    CASE WHEN text IS NULL THEN 'short' WHEN contains(text, 'icense') THEN 'legal' WHEN contains(text, ' | ') THEN 'table'
-      WHEN contains(text, '###') OR contains(text, '$$$') THEN 'noisy' WHEN n_tokens < 50 THEN 'short' WHEN n_tokens < 1000 THEN 'prose' ELSE 'book' END AS topic
+    CASE WHEN n_tokens = 0 THEN 'empty' WHEN marks * 12 >= n_tokens THEN 'marked' WHEN numbers * 12 >= n_tokens THEN 'figures'
+      WHEN n_tokens < 50 THEN 'short' WHEN n_tokens < 1000 THEN 'prose' ELSE 'book' END AS topic
   FROM d
 ), c AS (
   SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM t GROUP BY ALL
 ), total AS (SELECT sum(tokens) AS n FROM c)"""
     for dim in DIMENSIONS:
-        cell += f""", p_{dim} AS (
+        sql += f""", p_{dim} AS (
   SELECT {dim}, CASE WHEN s > 0 THEN pow(s, {POWERS[dim]}) ELSE 0 END AS p FROM (SELECT {dim}, sum(tokens) AS s FROM c GROUP BY {dim})
 ), to_{dim} AS (SELECT {dim}, p / (SELECT sum(p) FROM p_{dim}) AS share FROM p_{dim})"""
     last = "c"
-    step = 0
-    for _ in range(ROUNDS):
-        for dim in DIMENSIONS:
-            weight = "tokens" if last == "c" else "w"
-            cell += f""", r{step} AS MATERIALIZED (
+    for step in range(ROUNDS * len(DIMENSIONS)):
+        dim, weight = DIMENSIONS[step % len(DIMENSIONS)], "w" if step else "tokens"
+        sql += f""", r{step} AS MATERIALIZED (
   SELECT x.source, x.lang, x.topic, x.tokens, CASE WHEN sum({weight}) OVER (PARTITION BY x.{dim}) > 0
     THEN {weight} * share * (SELECT n FROM total) / sum({weight}) OVER (PARTITION BY x.{dim}) ELSE {weight} END AS w
   FROM {last} x JOIN to_{dim} y ON x.{dim} = y.{dim}
 )"""
-            last, step = f"r{step}", step + 1
-    return cell + f"""
-SELECT doc_id, t.source, t.lang, t.topic, n_tokens, round(CASE WHEN tokens > 0 THEN w / tokens ELSE 1 END, 6) AS factor,
+        last = f"r{step}"
+    return sql + f""", f AS (
+  SELECT source, lang, topic, CASE WHEN tokens > 0 THEN w / tokens ELSE 1 END AS factor FROM {last}
+)
+SELECT doc_id, t.source, t.lang, t.topic, n_tokens, round(factor, 6) AS factor, round(factor / (SELECT max(factor) FROM f), 6) AS probability,
   CAST(CAST('0x' || substr(md5('{SALT}' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0
-    < CASE WHEN tokens > 0 THEN w / tokens ELSE 1 END AS INTEGER) AS kept
-FROM t JOIN {last} f ON t.source = f.source AND t.lang = f.lang AND t.topic = f.topic
+    < factor / (SELECT max(factor) FROM f) AS INTEGER) AS kept
+FROM t JOIN f ON t.source = f.source AND t.lang = f.lang AND t.topic = f.topic
 """
 
 

@@ -32,9 +32,10 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibrated factor of each document, and the decision as its SQL has it: by the factor itself, at most 1."""
+    """Calibrated factor of each document, its probability of being kept, and the decision."""
     found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
-    return found.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("__topic").alias("topic"), F.col("__n_tokens").alias("n_tokens"), F.round("__factor", 6).alias("factor"), (mixing.uniform(F.col("doc_id")) < F.col("__factor")).cast("int").alias("kept"))
+    name = lambda c: F.coalesce(f"row.{c}", F.lit("")).alias(c)
+    return found.select("row.doc_id", name("source"), name("lang"), "topic", "n_tokens", F.round("factor", 6).alias("factor"), F.round("probability", 6).alias("probability"), "kept")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Fingerprints are 64 bits from word shingles. Equal ones are one node (with a likeness: only if the sets of
 shingles are equal as well). Different ones are compared
-exactly: they go into groups by population count, two groups meet in a task only if their counts
-can lie within the radius, and inside a task numpy compares tiles with exclusive-or and bit counts,
+exactly: a hash deals them into blocks of like size, every two blocks meet in a task, and inside a task, where they are in
+order of their population counts, numpy compares tiles with exclusive-or and bit counts,
 skipping tile pairs whose counts (of all bits and of each byte) differ by more than the radius. A task gives back a spanning
 forest of the links it found, never the pairs themselves, so that a large group of near copies
 stays linear.
@@ -30,11 +30,11 @@ from .common import map_texts, materialize, text_slices
 from .components import connected_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Fingerprints in a group at most (of the mean; groups are dealt by a hash) and the tiles' sizes.
-GROUP, TILE_ROWS, TILE_COLUMNS = 24_576, 256, 2048
+#: Fingerprints in a block (of the mean; a hash deals them), up to so many blocks; then blocks grow to the second size. The tiles' sizes.
+BLOCK, BLOCKS, LARGEST_BLOCK, TILE_ROWS, TILE_COLUMNS = 16_384, 64, 262_144, 64, 2048
 _BIT_ROWS = 1 << 16
 #: Bins of a min-hash sketch, and the value of an empty one; how far an estimate may lie below the likeness asked for.
-BINS, EMPTY, SLACK = 64, 0xFFFF, 0.08
+BINS, EMPTY, SLACK = 64, 0xFFFF, 0.15
 #: Bytes of shingle sets in a block of proposed near copies (of the mean), and exact comparisons between looks at the forest.
 SET_BYTES, EXACT_STEP = 8 << 20, 256
 
@@ -205,6 +205,7 @@ def tiled_links(left: np.ndarray, right: np.ndarray | None, radius: int, sketch:
         called = np.concatenate([called, names[1][order] if names else other])
     forest, base = Forest(len(both)), 0 if right is None else len(left)
     columns = _tiles(other, TILE_COLUMNS)
+    bits, ones = np.empty((TILE_ROWS, TILE_COLUMNS), np.uint64), np.empty((TILE_ROWS, TILE_COLUMNS), np.uint8)
     for i, j, low, high in _tiles(left, TILE_ROWS):
         rows = left[i:j, None]
         for k, m, low2, high2 in columns:
@@ -214,7 +215,9 @@ def tiled_links(left: np.ndarray, right: np.ndarray | None, radius: int, sketch:
             whole = max(0, int(low.sum()) - int(high2.sum()), int(low2.sum()) - int(high.sum()))
             if max(int(gap), whole) > radius:
                 continue
-            near = np.bitwise_count(rows ^ other[k:m]) <= radius
+            x, y = bits[: j - i, : m - k], ones[: j - i, : m - k]
+            np.bitwise_xor(rows, other[k:m], out=x)
+            near = np.bitwise_count(x, out=y) <= radius
             if right is None and k < j:  # the part on and below the diagonal
                 near &= np.arange(k, m)[None, :] > np.arange(i, j)[:, None]
             a, b = np.nonzero(near)
@@ -246,33 +249,26 @@ def near_links(distinct: DataFrame, radius: int, likeness: float | None = None)
 
     With ``likeness`` the links are proposals by estimates from the sketches.
 
-    Groups are packed into one binary value each, so that the copies for the pairs of groups cost
-    bytes but no rows. The driver sees the 65 population counts only.
+    Blocks are packed into one binary value each, so that the copies for the pairs of blocks cost
+    bytes but no rows. The driver sees the number of rows only.
     """
-    spark = distinct.sparkSession
-    ones = F.bit_count("fp").cast("int")
-    sizes = {r["p"]: r["count"] for r in distinct.groupBy(ones.alias("p")).count().collect()}
-    if not sizes:
-        return spark.createDataFrame([], "a bigint, b bigint")
-    parts = {p: -(-n // GROUP) for p, n in sizes.items()}
-    of = F.element_at(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]), F.col("p"))
-    grouped = distinct.select("fp", "node", "sketch", ones.alias("p")).withColumn("r", F.pmod(F.xxhash64("node"), of).cast("int"))
+    n = distinct.count()
+    blocks = max(1, min(-(-n // BLOCK), BLOCKS), -(-n // LARGEST_BLOCK))
+    dealt = distinct.select("fp", "node", "sketch", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("r"))
 
     def pack(t: pa.Table) -> pa.Table:
         payload = t.column("fp").to_numpy().tobytes()
         if likeness is not None:
             payload += t.column("node").to_numpy().tobytes() + b"".join(t.column("sketch").to_pylist())
-        return pa.table({"p": t.column("p")[:1], "r": t.column("r")[:1], "payload": pa.array([payload], pa.binary())})
+        return pa.table({"r": t.column("r")[:1], "payload": pa.array([payload], pa.binary())})
 
-    packed = materialize(grouped.groupBy("p", "r").applyInArrow(pack, "p int, r int, payload binary"))
-    meta = spark.createDataFrame(sorted(parts.items()), "p int, n int").select("p", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("r"))
-    steps = meta.select(F.col("p").alias("p1"), F.col("r").alias("r1"), F.explode(F.sequence(F.col("p"), F.col("p") + radius)).alias("p2"))
-    pairs = steps.join(meta.toDF("p2", "r2"), "p2").where("p2 > p1 OR r2 >= r1")
-    one = packed.toDF("p1", "r1", "payload").join(pairs, ["p1", "r1"]).withColumn("side", F.lit(0))
-    two = packed.toDF("p2", "r2", "payload").join(pairs.where("p2 > p1 OR r2 > r1"), ["p2", "r2"]).withColumn("side", F.lit(1))
+    packed = materialize(dealt.groupBy("r").applyInArrow(pack, "r int, payload binary"))
+    met = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("r", "o").alias("r1"), F.greatest("r", "o").alias("r2"), (F.col("r") > F.col("o")).alias("side"), "payload")
 
     def meet(t: pa.Table) -> pa.Table:
         raw = [x for _, x in sorted(zip(t.column("side").to_pylist(), t.column("payload").to_pylist()))]
+        if t.column("r1")[0].as_py() != t.column("r2")[0].as_py() and len(raw) < 2:  # the other block is empty
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         if likeness is None:
             found = [np.frombuffer(x, np.uint64) for x in raw] + [None]
             a, b = tiled_links(found[0], found[1], radius)
@@ -284,8 +280,8 @@ def near_links(distinct: DataFrame, radius: int, likeness: float | None = None)
             a, b = tiled_links(found[0], found[1], radius, (marks[0], marks[1]), likeness - SLACK, (names[0], names[1]))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    key = ["p1", "r1", "p2", "r2"]
-    return one.select(*key, "side", "payload").union(two.select(*key, "side", "payload")).groupBy(*key).applyInArrow(meet, "a bigint, b bigint")
+    # A number of its own, as adaptive execution would join the pairs to a few tasks by their small size.
+    return met.repartition(min(blocks * (blocks + 1) // 2, 4096), "r1", "r2").groupBy("r1", "r2").applyInArrow(meet, "a bigint, b bigint")
 
 
 def exact_links(docs: DataFrame, proposed: DataFrame, words: int, radius: int, seed: int, likeness: float) -> DataFrame:
@@ -352,13 +348,13 @@ def near_components(docs: DataFrame, words: int = 5, radius: int = 4, seed: int
     return prints.join(of, "node").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = 12, likeness: float = 0.8, seed: int = 42) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 18, likeness: float = 0.8, seed: int = 42) -> DataFrame:
     """The documents without near copies: of each component the one with the smallest id stays, once.
 
     Rows are told apart by id and a hash of the text. The texts are shuffled once, to meet the decision.
     """
-    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("__k"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__t")]
-    keyed = docs.select("*", *key)
-    named = keyed.select(F.struct("__k", "__t").alias("doc_id"), "text")
-    found = near_components(named, words, radius, seed, likeness).where("doc_id = component_id").select("doc_id.*").distinct()
-    return keyed.join(found, ["__k", "__t"], "left_semi").dropDuplicates(["__k", "__t"]).select(*[f"`{c}`" for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t")).alias("key"))
+    found = near_components(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), words, radius, seed, likeness)
+    found = found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(found, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -186,13 +186,48 @@ def test_raking_meets_targets():
             assert abs(sum(w for c, w in got.items() if c[i] == v) / sum(got.values()) - share) < 1e-6
 
 
+def test_raking_converges_or_warns():
+    cells = {(a, x, t): float(1 + (a * 7 + x * 3 + t) % 11) for a in range(20) for x in range(4) for t in range(5)}
+    targets = [mixing.default_targets(dict(Counter({v: sum(w for c, w in cells.items() if c[i] == v) for v in {c[i] for c in cells}})), p) for i, p in enumerate((0.7, 0.8, 0.9))]
+    got = mixing.rake(cells, targets)
+    off = max(abs(sum(w for c, w in got.items() if c[i] == v) / sum(got.values()) - share) for i, t in enumerate(targets) for v, share in t.items())
+    assert off < 1e-9
+    with pytest.warns(UserWarning, match="off its targets"):
+        mixing.rake({("a", "x"): 1.0, ("b", "y"): 1.0}, [{"a": 0.9, "b": 0.1}, {"x": 0.1, "y": 0.9}])
+
+
 def test_mixing_rows(spark):
     rows = [(1, "a b c", "en", "s", 1, "x"), (1, "a b c", "en", "s", 1, "x"), (2, None, None, None, 1, "x"), (3, "", "de", "s", 0, "y"), (None, "w " * 70, "fr", "t", 1, "z")]
     got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert len(got) == 5 and {r["__kept"] for r in got} <= {0, 1} and len({r["__kept"] for r in got if r["doc_id"] == 1}) == 1
+    assert len(got) == 5 and {r["kept"] for r in got} <= {0, 1} and len({r["kept"] for r in got if r["row"]["doc_id"] == 1}) == 1
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_forms():
+    forms = {"": "empty", "a line with 1 number in it": "figures", "a plain line, without any": "short", "| a || b || c |": "marked", "w " * 60: "prose", "w " * 1000: "book"}
+    import duckdb
+
+    form = mixing.ORACLE_SQL[: mixing.ORACLE_SQL.index("), c AS (")]
+    for text, want in forms.items():
+        rows = duckdb.sql(f"WITH documents AS (SELECT 1 AS doc_id, '{text}' AS text, 'en' AS lang, 's' AS source){form[form.index('WITH d AS') - 1 :].replace('WITH d', ', d', 1)}) SELECT topic FROM t").fetchall()
+        assert rows == [(want,)], (text, rows)
+
+
+def test_mixing_own_topics(spark):
+    rows = [(i, "a b c d e f", "en", "s", 11, "rare" if i % 10 == 0 else "hot") for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), {"topic": {"rare": 0.5, "hot": 0.5}}, F.col("score")).where("kept = 1")
+    kept = {r["topic"]: r["n"] for r in got.groupBy("topic").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert abs(kept["rare"] / sum(kept.values()) - 0.5) < 0.06
+
+
+def test_mixing_clashing_names(spark):
+    names = ["row", "topic", "factor", "probability", "kept", "n_tokens", "key", "k", "t", "component_id", "node", "fp", "a.b"]
+    df = spark.createDataFrame([(i, prose(i, 30), "en", "s", 9, "x", *range(len(names))) for i in range(40)], SCHEMA + "".join(f", `{n}` int" for n in names))
+    for stage in (stages.sample_mixture, stages.drop_near_copies):
+        got = stage(df)
+        assert got.columns == df.columns and 0 < got.count() <= 40
+
+
 def test_mixing_far_way_agrees(spark, small):
     d = spark.read.parquet(f"{small}/documents.parquet")
     near, bounded = mixing.factors(d)
@@ -203,16 +238,29 @@ def test_mixing_far_way_agrees(spark, small):
 
 def test_mixing_explicit_targets(spark, small):
     d = spark.read.parquet(f"{small}/documents.parquet")
-    got, _ = mixing.factors(d, {"lang": {"en": 0.5, "de": 0.5}})
-    cells = mixing._described(d).groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("t"))
-    shares = {r["lang"]: r["w"] for r in got.join(cells, ["source", "lang", "topic"]).groupBy("lang").agg(F.sum(F.col("factor") * F.col("t")).alias("w")).collect()}
-    assert abs(shares["en"] / shares["de"] - 1) < 0.2
+    got = mixing.mix(d, {"lang": {"en": 0.5, "de": 0.5}})
+    shares = {r["lang"]: r["w"] for r in got.groupBy("row.lang").agg(F.sum(F.col("factor") * F.col("n_tokens")).alias("w")).collect()}
+    assert abs(shares["en"] / shares["de"] - 1) < 1e-6
+
+
+def test_mixing_marginals(spark, small):
+    """Weighted by their probabilities, the tokens meet every target."""
+    got = mixing.mix(spark.read.parquet(f"{small}/documents.parquet")).select("row.source", "row.lang", "topic", "n_tokens", "probability")
+    rows = got.collect()
+    assert all(0 < r["probability"] <= 1 for r in rows)
+    for dim in mixing.DIMENSIONS:
+        own, kept = Counter(), Counter()
+        for r in rows:
+            own[r[dim]] += r["n_tokens"]
+            kept[r[dim]] += r["n_tokens"] * r["probability"]
+        for v, share in mixing.default_targets(own, mixing.POWERS[dim]).items():
+            assert abs(kept[v] / sum(kept.values()) - share) < 1e-6
 
 
 def test_kept_tokens_meet_targets(spark):
     rows = [(i, "a b c d e f", "en", "rare" if i % 10 == 0 else "hot", 11, "x") for i in range(5000)]
-    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), {"source": {"hot": 0.5, "rare": 0.5}}).where("__kept = 1")
-    kept = {r["source"]: r["n"] for r in got.groupBy("source").agg(F.sum("__n_tokens").alias("n")).collect()}
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), {"source": {"hot": 0.5, "rare": 0.5}}).where("kept = 1")
+    kept = {r["source"]: r["n"] for r in got.groupBy("row.source").agg(F.sum("n_tokens").alias("n")).collect()}
     assert abs(kept["rare"] / sum(kept.values()) - 0.5) < 0.05
 
 
@@ -325,6 +373,24 @@ def test_near_copies_are_checked_exactly(spark, monkeypatch, block):
     assert got == {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("block", [16_384, 40])
+def test_near_copies_recall(spark, monkeypatch, block):
+    """Pairs of likeness 0.8 or more that the stage misses, and pairs below it that it joins, against all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    r, rows = random.Random(21), []
+    for g in range(120):
+        base = prose(900 + g, r.randint(60, 400)).split()
+        copy = base[:]
+        for at in r.sample(range(len(base)), max(1, int(len(base) * r.uniform(0.005, 0.03)))):
+            copy[at] = f"c{g}x{at}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_components(corpus(spark, rows), 5, 18, 42, 0.8).collect()}
+    near = [jaccard(rows[2 * g][1], rows[2 * g + 1][1]) >= 0.8 for g in range(120)]
+    joined = [got[2 * g] == got[2 * g + 1] for g in range(120)]
+    assert 40 < sum(near) < 110 and not any(j and not n for j, n in zip(joined, near))
+    assert sum(n and j for n, j in zip(near, joined)) >= 0.97 * sum(near)
+
+
 def test_equal_fingerprints_of_different_texts(spark):
     line = "this very line stands on every page of it "
     rows = [(i, line * 400 + " ".join(f"own{i}n{j}" for j in range(300))) for i in range(3)]
@@ -389,7 +455,7 @@ def test_pipeline(spark, small, tmp_path):
             assert len(ids) == len(last) and all(r["n_chars"] == len(r["text"]) for r in rows)
             assert not any("AKIA" in r["text"] for r in rows)
         if name == "mixing":
-            kept = {r["doc_id"]: r["__kept"] for r in mixing.mix(spark.read.parquet(str(tmp_path / "2"))).collect()}
+            kept = {r["row"]["doc_id"]: r["kept"] for r in mixing.mix(spark.read.parquet(str(tmp_path / "2"))).collect()}
             assert set(ids) == {k for k, v in kept.items() if v}
         last = ids
     assert corpus_pipeline.run(spark, small).count() == len(last)
