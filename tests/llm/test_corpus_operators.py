@@ -147,8 +147,32 @@ def repeat_rows():
 def test_repeats_against_brute_force(spark):
     rows = repeat_rows()
     want = sorted(plain_repeats([(t or "").encode() for _, t in rows]))
-    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(corpus(spark, rows)).collect())
-    assert got == want
+    found = repeats.remove_repeats(corpus(spark, rows)).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found) == want
+    assert all(r["n_kept"] == r["n_bytes"] - r["n_removed"] for r in found)
+
+
+def test_repeats_of_equal_ids(spark):
+    """Texts that share an id, or have none, keep their own spans."""
+    passage = prose(77, 90)
+    rows = [(i % 2 or None, prose(3000 + i, 70) + (passage if i % 3 == 0 else "") + prose(4000 + i, 20)) for i in range(24)] * 2
+    rows += [(1, prose(5000 + i, 130)) for i in range(12)]
+    want = sorted(plain_repeats([t.encode() for _, t in rows]))
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(corpus(spark, rows)).collect()) == want
+
+
+def test_repeats_with_hot_core_over_many_partitions(spark):
+    """One passage in most of many short rows, dealt over many partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        passage = prose(78, 110)
+        rows = [(i, (passage[i % 7 :] if i % 5 else "") + prose(6000 + i, 12)) for i in range(300)]
+        want = sorted(plain_repeats([t.encode() for _, t in rows]))
+        got = repeats.remove_repeats(corpus(spark, rows).repartition(37)).collect()
+        assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_repeats_in_parts(monkeypatch):
