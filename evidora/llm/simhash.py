@@ -4,7 +4,7 @@ Fingerprints are 64 bits from word shingles. Equal ones are one node (with a lik
 shingles are equal as well). Different ones are compared
 exactly: a hash deals them into blocks of like size, every two blocks meet in a task, and inside a task, where they are in
 order of their population counts, numpy compares tiles with exclusive-or and bit counts,
-skipping tile pairs whose counts (of all bits and of each byte) differ by more than the radius. A task gives back a spanning
+skipping tile pairs whose counts differ by more than the radius. A task gives back a spanning
 forest of the links it found, never the pairs themselves, so that a large group of near copies
 stays linear.
 
@@ -31,7 +31,7 @@ from .components import connected_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Fingerprints in a block (of the mean; a hash deals them), up to so many blocks; then blocks grow to the second size. The tiles' sizes.
-BLOCK, BLOCKS, LARGEST_BLOCK, TILE_ROWS, TILE_COLUMNS = 16_384, 64, 262_144, 64, 2048
+BLOCK, BLOCKS, LARGEST_BLOCK, TILE_ROWS, TILE_COLUMNS = 16_384, 64, 262_144, 256, 512
 _BIT_ROWS = 1 << 16
 #: Bins of a min-hash sketch, and the value of an empty one; how far an estimate may lie below the likeness asked for.
 BINS, EMPTY, SLACK = 64, 0xFFFF, 0.15
@@ -174,16 +174,15 @@ class Forest:
         self.flatten()
 
 
-def _tiles(fps: np.ndarray, size: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    counts = np.bitwise_count(fps.view(np.uint8).reshape(-1, 8)).astype(np.int16)
-    cuts = [(i, min(i + size, len(fps))) for i in range(0, len(fps), size)]
-    return [(i, j, counts[i:j].min(0), counts[i:j].max(0)) for i, j in cuts]
+def _tiles(fps: np.ndarray, size: int) -> list[tuple[int, int, int, int]]:
+    """(first, end, least and largest population count) of the tiles of fingerprints in order of their counts."""
+    counts = np.bitwise_count(fps).tolist()
+    return [(i, min(i + size, len(fps)), counts[i], counts[min(i + size, len(fps)) - 1]) for i in range(0, len(fps), size)]
 
 
 def _ordered(fps: np.ndarray) -> np.ndarray:
-    """Order by population count, then by the counts of the bytes, so that tiles are alike."""
-    lanes = np.bitwise_count(fps.view(np.uint8).reshape(-1, 8))
-    return np.lexsort((*lanes.T, np.bitwise_count(fps)))
+    """Order by population count, so that a tile holds few different ones."""
+    return np.argsort(np.bitwise_count(fps), kind="stable")
 
 
 def tiled_links(left: np.ndarray, right: np.ndarray | None, radius: int, sketch: tuple[np.ndarray, np.ndarray | None] | None = None, least: float = 0.0, names: tuple[np.ndarray, np.ndarray | None] | None = None, exact=None) -> tuple[np.ndarray, np.ndarray]:
@@ -211,16 +210,14 @@ def tiled_links(left: np.ndarray, right: np.ndarray | None, radius: int, sketch:
         for k, m, low2, high2 in columns:
             if right is None and m <= i:
                 continue
-            gap = np.maximum(0, np.maximum(low - high2, low2 - high)).sum()
-            whole = max(0, int(low.sum()) - int(high2.sum()), int(low2.sum()) - int(high.sum()))
-            if max(int(gap), whole) > radius:
+            if low - high2 > radius or low2 - high > radius:
                 continue
             x, y = bits[: j - i, : m - k], ones[: j - i, : m - k]
             np.bitwise_xor(rows, other[k:m], out=x)
             near = np.bitwise_count(x, out=y) <= radius
             if right is None and k < j:  # the part on and below the diagonal
                 near &= np.arange(k, m)[None, :] > np.arange(i, j)[:, None]
-            a, b = np.nonzero(near)
+            a, b = np.divmod(np.flatnonzero(near), m - k)
             a, b = a + i, b + k + base
             step = 1 << 14
             for c in range(0, len(a), step):
