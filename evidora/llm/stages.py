@@ -22,7 +22,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            yield b.filter(pa.array([model.probability(t or "") < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([model.score(t or "") < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
     return map_texts(docs, run, docs.schema)
 

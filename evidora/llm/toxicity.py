@@ -12,7 +12,7 @@ curve fitted on other training rows turns that into the probability of the label
 The model is fitted on at most ``SAMPLE`` labelled rows (the first by a hash of the id), of which a
 quarter only calibrates; scores use the text alone.
 
-Defined cases: a null or empty text has no words and gets the probability of no evidence; ids with
+Where a significant passage stands is told in code points of the text itself. Defined cases: a null or empty text has no words and gets the probability of no evidence; ids with
 several labels are toxic if one of the labels is; null ids or labels train nothing; repeated rows
 are scored each; without any training rows every score is 0.
 """
@@ -32,12 +32,15 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, text_slices
 
-#: Labelled rows that the model is fitted on at most; entries it may keep at most.
-SAMPLE, ENTRIES = 16_000, 20_000
+#: Labelled rows that the model is fitted on at most, which bounds its entries too.
+SAMPLE = 16_000
 PREFIXES = range(4, 10)
 #: Total weight of the prior, in documents; least root of an entry's likelihood ratio; largest score of a word.
 PRIOR, LEAST_Z, MOST = 20.0, 4.0, 6.0
-words_of = re.compile(r"[^\W\d_]+").findall
+#: Segments of a clean text of the same length as good, that a significant one may have on average.
+E_VALUE = 0.05
+_WORD = re.compile(r"[^\W\d_]+")
+words_of = _WORD.findall
 WORDS_KEPT, COUNTED_AT_ONCE = 200_000, 150_000
 
 
@@ -91,41 +94,52 @@ class Model:
         self.__init__(*state)
 
     def word(self, word: str) -> float:
-        """Score above zero of a word, else 0 for the shared negative score."""
+        """Score above zero of a word in any case, else 0 for the shared negative score."""
         got = self._words.get(word)
         if got is None:
             if len(self._words) >= WORDS_KEPT:
                 self._words.clear()
-            best = max((e for e in entries_of(word) if e in self.scores), key=self.support.__getitem__, default=None)
+            best = max((e for e in entries_of(word.lower()) if e in self.scores), key=self.support.__getitem__, default=None)
             got = self._words[word] = max(0.0, self.scores[best]) if best is not None else 0.0
         return got
 
     def segments(self, text: str) -> Segments:
-        found = words_of(text.lower())
+        found = words_of(text)
         known, word = self._words.get, self.word
         scored = [s if (s := known(w)) is not None else word(w) for w in found]
         places = [i for i, s in enumerate(scored) if s]
         return Segments(len(found), maximal_segments(places, [scored[i] for i in places], self.between))
 
-    def evidence(self, text: str) -> tuple[float, float]:
+    @staticmethod
+    def evidence(seen: Segments) -> tuple[float, float]:
         """(excess of the best segment, sum of the significant ones' excesses): over what chance gives."""
-        seen = self.segments(text)
         chance = math.log(seen.n_words + 1)
         over = [s - chance for s, _, _ in seen.found]
         return max(over, default=-chance), sum(x for x in over if x > 0)
 
-    def significant(self, text: str, e_value: float = 0.05) -> list[tuple[float, int, int]]:
-        """Segments that a clean text of this length would hold with at most this expectation."""
-        seen = self.segments(text)
-        return [x for x in seen.found if (seen.n_words + 1) * math.exp(-x[0]) <= e_value]
-
-    def probability(self, text: str) -> float:
+    def probability(self, seen: Segments) -> float:
         if self.curve is None:
             return 0.0
-        a, b = self.evidence(text)
+        a, b = self.evidence(seen)
         z = self.curve[0] + self.curve[1] * max(-8.0, min(a, 12.0)) + self.curve[2] * math.log1p(b)
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(z, 30.0))))
 
+    def score(self, text: str) -> float:
+        return self.probability(self.segments(text))
+
+
+def significant(seen: Segments, e_value: float = E_VALUE) -> list[tuple[float, int, int]]:
+    """Segments that a clean text of this length would hold with at most this expectation."""
+    return [x for x in seen.found if (seen.n_words + 1) * math.exp(-x[0]) <= e_value]
+
+
+def places(text: str, segments: list[tuple[float, int, int]]) -> str:
+    """start:end of each segment in code points, the end exclusive, comma-joined in order."""
+    if not segments:
+        return ""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    return ",".join(f"{spans[a][0]}:{spans[z][1]}" for _, a, z in sorted(segments, key=lambda x: x[1]))
+
 
 def held_out():
     """Column: rows that must not be learned from."""
@@ -156,8 +170,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in text_slices(batches):
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            found = words_of(text.lower())
-            seen[toxic].update({e for w in set(found) for e in entries_of(w)})
+            found = words_of(text)
+            seen[toxic].update({e for w in {w.lower() for w in found} for e in entries_of(w)})
             seen[toxic][""] += 1
             if not toxic:
                 clean_words += len(found)
@@ -167,7 +181,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit entries and calibration. What reaches the driver is bounded by ENTRIES and the sample."""
+    """Fit entries and calibration. What reaches the driver is bounded by the sample's words."""
     rows = training_rows(docs, labels, sample).cache()
     try:
         counted = map_texts(rows.where("part < 3").select("text", "toxic"), _count, "entry string, n1 bigint, n0 bigint, words bigint")
@@ -180,14 +194,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         p1, p0 = (F.col("n1") + PRIOR * share) / (t1 + PRIOR), (F.col("n0") + PRIOR * share) / (t0 + PRIOR)
         surprise = F.col("n1") * F.log(F.col("n1") / (share * t1)) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (share * t0))).otherwise(0.0)
         scored = summed.where("entry <> '' AND n1 >= 2").select("entry", F.least(F.log(p1 / p0), F.lit(MOST)).alias("score"), F.when(p1 > p0, F.sqrt(2 * F.greatest(surprise, F.lit(0.0)))).alias("z"))
-        best = scored.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "entry").limit(ENTRIES).collect()
+        best = scored.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "entry").collect()
         summed.unpersist()
         scores, support = {r["entry"]: r["score"] for r in best}, {r["entry"]: r["z"] for r in best}
         draft = Model(scores, support, -1.0)
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in text_slices(batches):
-                found = Counter(round(draft.word(w), 6) for t in b.column(0).to_pylist() for w in words_of(t.lower()))
+                found = Counter(round(draft.word(w), 6) for t in b.column(0).to_pylist() for w in words_of(t))
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float64()), pa.array(list(found.values()), pa.int64())], ["s", "n"])
 
         drawn = map_texts(rows.where("part < 3 AND toxic = 0").select("text"), clean, "s double, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect()
@@ -199,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in text_slices(batches):
-                found = [model.evidence(t) for t in b.column(0).to_pylist()]
+                found = [model.evidence(model.segments(t)) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64()), b.column(1)], ["a", "b", "toxic"])
 
         points = map_texts(rows.where("part = 3").select("text", "toxic"), seen, "a double, b double, toxic int").orderBy("a", "b", "toxic").collect()
@@ -224,15 +238,23 @@ def _logistic(x: list[tuple[float, float, float]], y: list[int], ridge: float =
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_segments) of every whole text; map-only."""
+    """(doc_id, held_out, score, predicted, n_segments, segments) of every whole text; map-only.
+
+    ``segments`` has the places of every significant passage, whatever the score of the whole text.
+    """
     source = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            texts = b.column(2).to_pylist()
-            scores = [model.probability(t) for t in texts]
-            columns = [b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([len(model.significant(t)) for t in texts], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "n_segments"])
-
-    return map_texts(source, run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_segments int")
+            scores, counts, spans = [], [], []
+            for text in b.column(2).to_pylist():
+                seen = model.segments(text)
+                found = significant(seen)
+                scores.append(model.probability(seen))
+                counts.append(len(found))
+                spans.append(places(text, found))
+            columns = [b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(counts, pa.int32()), pa.array(spans, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "n_segments", "segments"])
+
+    return map_texts(source, run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_segments int, segments string")

@@ -142,7 +142,19 @@ def test_toxicity_held_out(spark):
 def test_segments_below_the_threshold_are_counted(spark):
     model = toxicity.Model({e: 9.0 for e in toxicity.entries_of("nasty")}, {e: 1.0 for e in toxicity.entries_of("nasty")}, -1.0, (-50.0, 0.0, 0.0))
     got = toxicity.score_documents(spark.createDataFrame([(1, "calm words and nasty nasty ones")], "doc_id bigint, text string"), model).first()
-    assert got["score"] < 0.5 and got["predicted"] == 0 and got["n_segments"] == 1
+    assert got["score"] < 0.5 and got["predicted"] == 0 and got["n_segments"] == 1 and got["segments"] == "15:26"
+
+
+def test_places_of_segments(spark):
+    """In code points of the text as it is, whatever lowering does to its length; every passage of a long text."""
+    model = toxicity.Model({e: 9.0 for e in toxicity.entries_of("nasty")}, {e: 1.0 for e in toxicity.entries_of("nasty")}, -1.0, (-50.0, 0.0, 0.0))
+    calm = "\u0130\u0130 calm words, 12 of them \U0001F600 " * 12
+    text = (calm + "NASTY nasty") * 40
+    seen = model.segments(text)
+    spans = [tuple(map(int, x.split(":"))) for x in toxicity.places(text, toxicity.significant(seen)).split(",")]
+    assert len(spans) == 40 and all(text[a:z] == "NASTY nasty" for a, z in spans)
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert toxicity.score_documents(empty, model).count() == 0 and toxicity.fit(empty, spark.createDataFrame([], "doc_id bigint, toxic int")).scores == {}
 
 
 def test_toxicity_without_labels(spark):
