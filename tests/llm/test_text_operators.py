@@ -305,3 +305,48 @@ def test_extraction_rows(spark, trees):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a" + "<div>" * 3000, "y")]
     got = extraction.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string"), trees).collect()
     assert sorted((r["page_id"] or 0, r["text"]) for r in got) == [(0, "a"), (1, ""), (1, "")]
+
+
+#: Pages by hand, of another make than ``sample_pages``: (html, main text).
+OTHER_PAGES = [
+    ("<!DOCTYPE html><html lang=en><head><meta charset=utf-8><title>News</title><link rel=stylesheet href=a.css></head><body class=home><div id=top><ul class=menu><li><a href=/>Home</a><li><a href=/n>News</a></ul></div>"
+     "<table width=100%><tr><td class=sidebar><a href=/a>Archive</a><br><a href=/b>Contact</a></td><td class=content><h1>The river rises</h1><p>After days of rain the river stood high, and the ferry was stopped.<p>People waited on both banks.</td></tr></table><div class=footer>&copy; 2020 Paper</div></body></html>",
+     "The river rises\nAfter days of rain the river stood high, and the ferry was stopped.\nPeople waited on both banks."),
+    ("<body><header><h1>Site</h1><nav><a href='#'>A</a><a href='#'>B</a></nav></header><main><h2>On bread</h2><p>Flour, water, salt and time are all it takes, he said.</p><ul><li>Mix well.</li><li>Let it rest.</li></ul></main>"
+     "<section id=comments><h3>2 comments</h3><ol><li><p>Great read!</p><ol><li><p>I agree, thanks.</p></li></ol></li></ol></section><footer><p>About us</p></footer></body>",
+     "On bread\nFlour, water, salt and time are all it takes, he said.\nMix well.\nLet it rest."),
+    ("<div class='cookie-banner'><p>This site uses cookies.</p><button>OK</button></div><div class='post'><h1>Notes &lt;3&gt;</h1><p>First <b>bold</b> and <a href='x'>linked</a> words, then more of them.</p><blockquote>Quoted &mdash; here.</blockquote><svg/><p>Last.</p></div><div class='related'><h4>Related</h4><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div>",
+     "Notes <3>\nFirst bold and linked words, then more of them.\nQuoted — here.\nLast."),
+    ("<article><h1>Short</h1><p title=\"a > b\">One < two and 3 > 2.</p><p data-x='it''s'>Odd quotes.</p><math><mi>x</mi></math><p>End</p></article><form><label>Mail</label><input></form>",
+     "Short\nOne < two and 3 > 2.\nOdd quotes.\nEnd"),
+]
+
+
+def test_extraction_of_other_pages(trees):
+    got = extraction.extract([p for p, _ in OTHER_PAGES], trees)
+    assert sum(g == want for g, (_, want) in zip(got, OTHER_PAGES)) >= 3, got
+
+
+@pytest.mark.parametrize("piece", ['<a href="x ', "<center>", "<!-", "<!--", "<p title='a>", "<svg>", "<script ", "<script></script ", "</div>", "<", "&", "<b class=x>", "<a =", "<i class=a></b>"])
+def test_reading_takes_linear_time(piece):
+    import time
+
+    def seconds(size):
+        begin = time.process_time()
+        dom.read(piece * (size // len(piece)))
+        return time.process_time() - begin
+
+    seconds(10_000)
+    assert seconds(400_000) < 40 * max(0.01, seconds(40_000))
+
+
+def test_opaque_elements_without_an_end():
+    text = lambda s: dom.kept_text(page := dom.read(s), [True] * len(page.nodes))
+    assert text("<p>a<svg/>b<math />c<svg>x</svg>d<button>e<p>f") == "abcde\nf"
+    assert text("<p>a<script>b<p>c") == "a" and text("<p>a<title>b</title >c<style>d</style") == "ac"  # raw ones go on to the end
+    assert text("<p>a <br/>b<a href='") == "a b" and text("1 < 2 <3 </ x>y</>z") == "1 < 2 <3 yz"
+
+
+def test_extraction_of_an_empty_table(spark, trees):
+    empty = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert extraction.extract_pages(empty, trees).count() == 0
