@@ -96,4 +96,6 @@ LIKELY_CAUSES = {
     "Workaround-Manual": "a gap that currently requires a manual step, pointing to an underlying process/data issue.",
     "Unknown": "a configuration, data, or integration issue specific to the affected environment, based on the closest historical defects below.",
 }
+DEFECT_HEADER = "### 🗂️ From Historical Defects (defect knowledge base)"
+DOC_HEADER = "### 📄 From Documentation (RAG knowledge base)"
 # --- end of fixed values ---

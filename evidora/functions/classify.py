@@ -31,7 +31,8 @@ def category(c: Column, cues: dict[str, list[str]]) -> Column:
     known = F.array(*[F.struct(F.array(*map(F.lit, words)).alias("words"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, words) in enumerate(cues.items())])
 
     def count(low: Column, words: Column) -> Column:
-        return F.aggregate(words, F.lit(0), lambda n, w: n + ((F.char_length(low) - F.char_length(F.replace(low, w, F.lit("")))) / F.char_length(w)).cast("int"))
+        times = lambda w: ((F.char_length(low) - F.char_length(F.replace(low, w, F.lit("")))) / F.char_length(w)).cast("int")
+        return F.aggregate(words, F.lit(0), lambda n, w: F.when(F.contains(low, w), n + times(w)).otherwise(n))
 
     best = let(F.lower(blank(c)), lambda low: F.array_max(F.transform(known, lambda k: F.struct(count(low, k["words"]).alias("n"), k["place"].alias("place"), k["name"].alias("name")))))
     return let(best, lambda b: F.when(b["n"] > 0, b["name"]).otherwise(F.lit("")))

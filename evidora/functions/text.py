@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from . import vocab
 
-KEY = r"\b([A-Z][A-Z0-9]+-\d{2,})\b"
-
-
 def strip(c: Column) -> Column:
-    """Without white space at both ends (``trim`` would take spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space at both ends (``trim`` alone would take spaces only)."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def let(value: Column, body) -> Column:
@@ -31,8 +28,7 @@ def collapse(c: Column) -> Column:
 
 def truncate(c: Column, most: int) -> Column:
     """At most ``most`` characters, the last an ellipsis if something is cut."""
-    s = strip(blank(c))
-    return F.when(F.char_length(s) <= most, s).otherwise(F.concat(F.regexp_replace(F.left(s, F.lit(most - 1)), r"\s+$", ""), F.lit("…")))
+    return let(strip(blank(c)), lambda s: F.when(F.char_length(s) <= most, s).otherwise(F.concat(F.rtrim(F.left(s, F.lit(most - 1)), F.lit(" \t\n\x0b\f\r")), F.lit("…"))))
 
 
 def tokens(c: Column) -> Column:
@@ -48,7 +44,7 @@ def words(c: Column) -> Column:
 
 def issue_keys(c: Column) -> Column:
     """Distinct issue keys, upper case, in order of first appearance."""
-    return F.array_distinct(F.regexp_extract_all(F.upper(blank(c)), F.lit(KEY), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(F.upper(blank(c)), F.lit(vocab.KEY), F.lit(1)))
 
 
 def project_of(key: Column) -> Column:
@@ -56,28 +52,20 @@ def project_of(key: Column) -> Column:
 
 
 def mask_images(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?i)!\[[^\]]*\]\([^)]*\)|!\[[^\]]*\]|![^!\n]+\.(?:png|jpg|jpeg|gif)[^!\n]*!", " ")
+    return replace_where(c, "!", r"(?i)!\[[^\]]*\]\([^)]*\)|!\[[^\]]*\]|![^!\n]+\.(?:png|jpg|jpeg|gif)[^!\n]*!", " ")
 
 
-#: Masks in order: name, pattern, mark.
-MASKS = [
-    ("user", r"User:[0-9]+:[0-9a-fA-F-]+", "[user]"),
-    ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[email]"),
-    ("url", r"https?://[^\s)\]]+", "[url]"),
-    ("id", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "[id]"),
-    ("ip", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[ip]"),
-    ("phone", r"(?<!\w)(?:\+?\d[\d\s().-]{7,}\d)(?!\w)", "[phone]"),
-    # Long opaque strings, but never an issue key.
-    ("token", r"(?i)\b(?!(?-i:[A-Z][A-Z0-9]+-\d{2,})(?![A-Za-z0-9_\-]))(?:bearer\s+)?[A-Za-z0-9_\-]{32,}\b", "[token]"),
-]
+def replace_where(c: Column, sign: str, pattern: str, mark: str) -> Column:
+    """The pattern replaced; only texts that hold ``sign``, as every match does, are searched."""
+    return let(c, lambda x: F.when(F.contains(x, F.lit(sign)), F.regexp_replace(x, pattern, mark)).otherwise(x)) if sign else F.regexp_replace(c, pattern, mark)
 
 
 def mask(c: Column, only: str | None = None) -> Column:
     """Images, mentions, addresses, links, ids and long tokens replaced by marks; ``only`` applies a single mask."""
     out = mask_images(blank(c)) if only is None else blank(c)
-    for name, pattern, mark in MASKS:
+    for name, sign, pattern, mark in vocab.MASKS:
         if only in (None, name):
-            out = F.regexp_replace(out, pattern, mark)
+            out = replace_where(out, sign, pattern, mark)
     return collapse(out) if only is None else out
 
 
@@ -103,14 +91,17 @@ def first_nonempty(*parts: Column) -> Column:
 def error_signature(c: Column) -> Column:
     """Up to six distinct (whatever their case) error phrases, joined by '; '."""
     found = F.transform(F.regexp_extract_all(blank(c), F.lit("(?i)(" + "|".join(vocab.ERROR_PATTERNS) + ")"), F.lit(1)), strip)
-    low = F.transform(found, F.lower)
-    first = F.filter(found, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
-    return F.array_join(F.slice(first, 1, 6), "; ")
+
+    def distinct(phrases: Column) -> Column:
+        return let(F.transform(phrases, F.lower), lambda low: F.filter(phrases, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))
+
+    return F.array_join(F.slice(let(found, distinct), 1, 6), "; ")
 
 
 def first_sentence_with(c: Column, cues: list[str]) -> Column:
     """The first sentence of more than twelve characters that holds a cue, else ''."""
-    has = lambda s: F.exists(F.array(*map(F.lit, cues)), lambda cue: F.contains(F.lower(s), cue))
+    known = F.array(*map(F.lit, cues))
+    has = lambda s: let(F.lower(s), lambda low: F.exists(known, lambda cue: F.contains(low, cue)))
     parts = F.filter(F.transform(F.split(blank(c), r"(?<=[.!?])\s+|\n+"), strip), lambda s: (F.char_length(s) > 12) & has(s))
     return F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))
 

@@ -6,11 +6,27 @@ CANCELLED_STATUSES = ["cancelled", "canceled", "won't do", "wont do", "won't fix
 FIXED_RESOLUTIONS = ["fixed", "done", "resolved", "completed"]
 CANCELLED_RESOLUTIONS = ["won't do", "wont do", "won't fix", "wont fix", "rejected", "duplicate", "cannot reproduce", "not a bug", "as designed"]
 
-STOPWORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might can to of in for on with at by from "
-    "as into and but or if this that these those what which who how why when where it its i we you they them their our my me show tell about "
-    "please need want get give there here any all"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "can", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "and", "but", "or", "if", "this",
+    "that", "these", "those", "what", "which", "who", "how", "why", "when", "where", "it", "its", "i", "we", "you", "they", "them", "their", "our",
+    "my", "me", "show", "tell", "about", "please", "need", "want", "get", "give", "there", "here", "any", "all",
+]
+
+#: An issue key.
+KEY = r"\b([A-Z][A-Z0-9]+-\d{2,})\b"
+
+#: Masks in order: name, a sign that every match holds (if any), pattern, mark.
+MASKS = [
+    ("user", "User:", r"User:[0-9]+:[0-9a-fA-F-]+", "[user]"),
+    ("email", "@", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[email]"),
+    ("url", "://", r"https?://[^\s)\]]+", "[url]"),
+    ("id", "-", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "[id]"),
+    ("ip", ".", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[ip]"),
+    ("phone", "", r"(?<!\w)(?:\+?\d[\d\s().-]{7,}\d)(?!\w)", "[phone]"),
+    # Long opaque strings, but never an issue key.
+    ("token", "", r"(?i)\b(?!(?-i:[A-Z][A-Z0-9]+-\d{2,})(?![A-Za-z0-9_\-]))(?:bearer\s+)?[A-Za-z0-9_\-]{32,}\b", "[token]"),
+]
 
 ERROR_PATTERNS = [
     r"\b\d{3}\s*(?:bad request|error|internal server error|not found|unauthorized|forbidden|timeout)\b",

@@ -89,3 +89,15 @@ def previous_question(turns: DataFrame) -> DataFrame:
     """Adds the nearest earlier user turn's text."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     return turns.withColumn("asked", F.last(F.when(F.col("role") == "user", F.col("text")), True).over(w))
+
+
+def fused_answer(defects: Column, documents: Column) -> Column:
+    """Both answers under a heading each; without one from the documents the other as it is."""
+    both = F.concat(F.lit(f"{answer_texts.DEFECT_HEADER}\n\n"), defects, F.lit(f"\n\n---\n\n{answer_texts.DOC_HEADER}\n\n"), documents)
+    return F.when(F.coalesce(documents, F.lit("")) == "", defects).otherwise(both)
+
+
+def document_question(symptom: Column, bridge=None) -> Column:
+    """A symptom as a question to the documents: by ``bridge`` (a function of columns) if there is one and it finds any, else the symptom itself."""
+    own = F.trim(F.coalesce(symptom, F.lit("")))
+    return own if bridge is None else F.coalesce(F.nullif(F.trim(bridge(own)), F.lit("")), own)

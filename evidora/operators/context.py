@@ -14,6 +14,11 @@ def neighbours(chunks: DataFrame, hits: DataFrame, reach: int = 3) -> DataFrame:
     return chunks.join(wanted, KEY, "left_semi").join(hits.select(*KEY), KEY, "left_anti")
 
 
+def points(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The chunks at the wanted (source_file, sequence_id), each once."""
+    return chunks.join(wanted.select(*KEY).distinct(), KEY, "left_semi")
+
+
 def span(chunks: DataFrame, hits: DataFrame, before: int = 5, after: int = 5, most: int = 50) -> DataFrame:
     """Text chunks from before the first to after the last hit of each file, the first ``most``."""
     ends = hits.groupBy("source_file").agg((F.min("sequence_id") - before).alias("__a"), (F.max("sequence_id") + after).alias("__z"))

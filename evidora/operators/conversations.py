@@ -60,3 +60,14 @@ def prompts(questions: DataFrame, results: DataFrame) -> DataFrame:
     """(qid, prompt): the question and its evidence, best first, for a language model if one is plugged in."""
     rows = results.select("qid", "rank", evidence_line().alias("line")).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("lines"))
     return questions.join(rows, "qid", "left").select("qid", F.concat_ws("\n", F.lit("QUESTION:"), "question", F.lit("\nSIMILAR DEFECTS:"), F.coalesce("lines", F.lit("(none)"))).alias("prompt"))
+
+
+def distinct_variants(question: Column, rewritten: Column, variants: Column, most: int = 3) -> Column:
+    """The first ``most`` variants, stripped, without empty ones, those equal (in any case) to the question or its rewriting, and repeats."""
+    plain = F.transform(F.slice(variants, 1, most), lambda v: T.strip(T.blank(v)))
+    low = lambda c: F.lower(T.strip(T.blank(c)))
+
+    def kept(found: Column) -> Column:
+        return T.let(F.transform(found, F.lower), lambda lows: F.filter(found, lambda v, i: (v != "") & ~F.lower(v).isin(low(question), low(rewritten)) & (F.array_position(lows, F.lower(v)) == i + 1)))
+
+    return T.let(plain, kept)

@@ -84,6 +84,35 @@ def heading_fill(elements: DataFrame, order: list[str]) -> DataFrame:
     return df.withColumn("h2", kept).drop("__p", "__p1", "__p2", "__h2")
 
 
+def heading_levels(elements: DataFrame, order: list[str], levels: tuple[str, ...] = ("h1", "h2", "h3")) -> DataFrame:
+    """Adds each level's heading in force (from ``<level>_here``), which a new one of any higher level ends, section_title and parent_path."""
+    by_file = Window.partitionBy("source_file").orderBy(*order)
+    w = by_file.rowsBetween(Window.unboundedPreceding, 0)
+    df = elements.withColumn("__p", F.row_number().over(by_file))
+    for x in levels:
+        df = df.withColumn(f"__{x}", F.last(F.when(F.col(f"{x}_here").isNotNull(), F.struct("__p", F.col(f"{x}_here").alias("t"))), True).over(w))
+    for i, x in enumerate(levels):
+        above = [F.coalesce(F.col(f"__{y}.__p"), F.lit(0)) for y in levels[:i]]
+        df = df.withColumn(x, F.when(F.col(f"__{x}.__p") >= F.greatest(F.lit(0), F.lit(0), *above), F.col(f"__{x}.t")))
+    there = F.filter(F.array(*levels), lambda h: T.blank(h) != "")
+    return df.withColumn("section_title", F.coalesce(F.try_element_at(there, F.lit(-1)), F.lit(""))).withColumn("parent_path", F.array_join(there, " > ")).drop("__p", *[f"__{x}" for x in levels])
+
+
+#: Names under which elements leave for readers of the plain form, besides those that stay.
+PLAIN_NAMES = {"h1": "heading_h1", "h2": "heading_h2", "h3": "heading_h3"}
+
+
+def plain_elements(elements: DataFrame) -> DataFrame:
+    """The flat form of elements: headings under their long names, the page number under both of its names."""
+    renamed = elements.withColumnsRenamed(PLAIN_NAMES)
+    return renamed.withColumn("llamaparse_page_number", F.col("pdf_page_number"))
+
+
+def drop_toc_chunks(chunks: DataFrame, text: str = "content") -> DataFrame:
+    """Without chunks of which over half the lines look like a table of contents; empty ones stay."""
+    return chunks.where((F.size(lines(F.col(text))) == 0) | ~is_toc(F.col(text), 0.5))
+
+
 def snippets(elements: DataFrame, order: list[str], n: int = 400) -> DataFrame:
     """Adds preceding_text and following_text: the end of the nearest text before, the start of the nearest after."""
     w = Window.partitionBy("source_file").orderBy(*order)

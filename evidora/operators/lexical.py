@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
@@ -39,13 +39,42 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", t
 
     An equi-join on the term meets the index only where a query has a term; repeated query terms count again.
     """
+    return _ranked(postings(docs, key, text), document_frequency(docs, text), collection_size(docs, text), queries, k, key)
+
+
+def _ranked(held: DataFrame, frequencies: DataFrame, size: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:
     asked = queries.select("qid", F.explode(tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    found = postings(docs, key, text).join(asked, "term").join(document_frequency(docs, text), "term").crossJoin(F.broadcast(collection_size(docs, text)))  # one row
+    found = held.join(asked, "term").join(frequencies, "term").crossJoin(F.broadcast(size))  # one row
     scored = found.groupBy("qid", key).agg(F.round(F.sum(F.col("times") * bm25_term(F.col("tf"), idf(F.col("n"), F.col("df")), F.col("dl"), F.col("avgdl"))), 4).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key)))
     return ranked.where(F.col("rank") <= k)
 
 
+class StoredIndex:
+    """Postings, document frequencies and sizes in a folder: counted once, read at every search.
+
+    Postings are sorted by term within files, so that a search for a few terms skips most of them by the files' statistics.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def build(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> StoredIndex:
+        rows = postings(docs, key, text)
+        rows.repartitionByRange("term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{self.path}/postings")
+        stored = self.spark.read.parquet(f"{self.path}/postings")
+        stored.groupBy("term").agg(F.count("*").alias("df")).sort("term").write.mode("overwrite").parquet(f"{self.path}/frequencies")
+        collection_size(docs, text).write.mode("overwrite").parquet(f"{self.path}/size")
+        return self
+
+    def _read(self, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{part}")
+
+    def top(self, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+        """(qid, key, score, rank), as ``bm25_top`` has it, from what is stored."""
+        return _ranked(self._read("postings"), self._read("frequencies"), self._read("size"), queries, k, key)
+
+
 def updated_frequency(df: DataFrame, added: DataFrame, text: str = "text") -> DataFrame:
     """Document frequencies after adding documents: the sum of two small tables."""
     more = document_frequency(added, text).withColumnRenamed("df", "more")

@@ -34,6 +34,18 @@ def first_hints(hints: DataFrame) -> DataFrame:
     return named.groupBy("issue_key").agg(F.min_by("pattern", "pos").alias("hint"))
 
 
+def with_insights(issues: DataFrame, insights: DataFrame) -> DataFrame:
+    """Issues with the insights (issue_key, root_cause, fix_applied, key_finding, workaround) there are: a left join on the key."""
+    named = {"root_cause": "ci_root", "fix_applied": "ci_fix", "key_finding": "ci_finding", "workaround": "ci_workaround"}
+    one = insights.groupBy("issue_key").agg(*[F.first(c, True).alias(n) for c, n in named.items()])
+    return issues.join(one, "issue_key", "left")
+
+
+def chunk_ids(chunks: DataFrame) -> DataFrame:
+    """(issue_key, chunk_ids): the chunks of each issue, in order."""
+    return chunks.groupBy("issue_key").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
+
+
 def linked_keys(links: Column) -> Column:
     """Distinct keys of link structs with the four possible sides, in order."""
     sides = F.flatten(F.transform(links, lambda x: F.array(x["inwardIssue"]["key"], x["outwardIssue"]["key"])))

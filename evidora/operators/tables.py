@@ -136,8 +136,12 @@ def flag_row(headers: Column, cells: Column) -> Column:
     return F.struct(described.alias("description"), product.alias("product"), applies.alias("applicable"), flags.alias("feature_flags"), T.slug(described).alias("row_id"))
 
 
-def matrix_row(headers: Column, cells: Column) -> Column:
-    """Struct of the four conditions of a widget-matrix row, with row_id and row_label."""
+#: The widgets of a matrix row: column, and words of its header, the first that fits.
+WIDGETS = {"energy_widget": ["energy widget"], "carbon_widget": ["carbon widget"], "eo_widget_all_utilities": ["eo widget - all", "eo widget all", "all utilities"], "eo_widget_electricity": ["eo widget - elec", "electricity"], "eo_widget_gas": ["eo widget - gas", "gas"], "eo_widget_hot_water": ["eo widget - hot", "hot water"]}
+
+
+def matrix_row(headers: Column, cells: Column, place: Column | None = None) -> Column:
+    """Struct of the four conditions and six widgets of a widget-matrix row, with row_id and row_label; ``place`` (from 1) names rows without conditions."""
     pairs = F.arrays_zip(F.transform(headers, lambda h: F.lower(T.strip(h))).alias("h"), F.transform(cells, T.strip).alias("c"))
     under = lambda w: F.try_element_at(F.filter(pairs, lambda x: F.contains(x["h"], F.lit(w))), F.lit(1))["c"]
     find = lambda *words: F.coalesce(*map(under, words), F.lit(""))
@@ -148,7 +152,19 @@ def matrix_row(headers: Column, cells: Column) -> Column:
     named = [("user_", "User ", user), ("coexist_", "Coexist ", coexist), ("energy_", "Energy Default ", energy), ("eo_", "EO Default ", eo)]
     ident = F.concat_ws("_", *[F.when(v != "", F.concat(F.lit(a), T.slug(v))) for a, _, v in named])
     label = F.concat_ws(" | ", *[F.when(v != "", F.concat(F.lit(b), v)) for _, b, v in named])
-    return F.struct(F.when(ident != "", F.concat(F.lit("widget_"), ident)).otherwise("").alias("row_id"), label.alias("row_label"), user.alias("user_feature_flag"), coexist.alias("coexist_feature_flag"), energy.alias("energy_default_baseline"), eo.alias("eo_default_baseline"))
+    unnamed = lambda words: F.lit("") if place is None else F.concat(F.lit(words), place.cast("string"))
+    widgets = [T.strip(find(*words)).alias(n) for n, words in WIDGETS.items()]
+    return F.struct(F.when(ident != "", F.concat(F.lit("widget_"), ident)).otherwise(unnamed("widget_row_")).alias("row_id"), F.when(label != "", label).otherwise(unnamed("Widget Row ")).alias("row_label"), user.alias("user_feature_flag"), coexist.alias("coexist_feature_flag"), energy.alias("energy_default_baseline"), eo.alias("eo_default_baseline"), *widgets)
+
+
+def row_chunks(tables: DataFrame) -> DataFrame:
+    """A chunk of each row of the tables (source_file, page, headers, rows, section): its text by the table's type, and the matrix conditions."""
+    df = tables.withColumn("table_type", classify.table_type(F.col("headers"), F.col("section")))
+    df = df.select("source_file", "page", "section", "headers", "table_type", F.posexplode("rows").alias("at", "cells")).withColumn("row_index", F.col("at") + 1)
+    df = df.withColumn("matrix", matrix_row(F.col("headers"), F.col("cells"), F.col("row_index"))).withColumn("flag", flag_row(F.col("headers"), F.col("cells")))
+    text = F.when(F.col("table_type") == "conditional_matrix", matrix_row_text(F.col("matrix"))).when(F.col("table_type") == "feature_flags", flag_row_text(F.col("flag"))).otherwise(generic_row_text(F.col("headers"), F.col("cells")))
+    conditions = [F.when(F.col("table_type") == "conditional_matrix", F.col(f"matrix.{c}")).otherwise("").alias(c) for c in ("user_feature_flag", "coexist_feature_flag", "energy_default_baseline", "eo_default_baseline")]
+    return df.select("source_file", "page", "table_type", "row_index", F.lit("TABLE_ROW").alias("asset_type"), text.alias("embed_text"), *conditions)
 
 
 def table_chunks(tables: DataFrame) -> DataFrame:

@@ -29,36 +29,93 @@ def with_point_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("point_id", point_id(F.col("chunk_id")))
 
 
+def scroll(table: DataFrame, order: str, limit: int, after=None) -> DataFrame:
+    """One page of a table in order of a unique column, beyond the last value of the page before. The filter reaches the scan, and each task hands on ``limit`` rows."""
+    rest = table if after is None else table.where(F.col(order) > F.lit(after))
+    return rest.orderBy(order).limit(limit)
+
+
 class TableStore:
-    """A Parquet table of versions in numbered folders: writers add a folder and then point to it, so that a lost executor or driver never leaves half a table."""
+    """A Parquet table in buckets by a hash of its key, each version a folder of the buckets it changed.
+
+    A writer claims the next number, writes its buckets and then a manifest that says in which version each bucket
+    stands; readers go by the newest manifest, so that a lost executor or driver never leaves half a table, and
+    only buckets with changed keys are rewritten. Of two writers one claims a number and the other is told.
+    """
+
+    BUCKETS = 64
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        path = jvm.org.apache.hadoop.fs.Path
+        return path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def version(self) -> int:
-        """The newest complete version; 0 if there is none."""
+    def _numbers(self, kind: str) -> list[int]:
         fs, path = self._fs()
         if not fs.exists(path(self.path)):
-            return 0
-        found = [int(s.getPath().getName()[1:]) for s in fs.listStatus(path(self.path)) if s.getPath().getName().startswith("v") and fs.exists(path(f"{s.getPath()}/_SUCCESS"))]
-        return max(found, default=0)
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
+        return sorted(int(n[1:]) for n in names if n[:1] == kind and n[1:].isdigit() and (kind == "c" or fs.exists(path(f"{self.path}/{n}/_SUCCESS"))))
+
+    def version(self) -> int:
+        """The newest complete version; 0 if there is none."""
+        return max(self._numbers("m"), default=0)
+
+    def _manifest(self, version: int) -> dict[int, int]:
+        """The version in which each bucket stands."""
+        if not version:
+            return {}
+        return {r["bucket"]: r["stands_in"] for r in self.spark.read.schema("bucket int, stands_in int").parquet(f"{self.path}/m{version}").collect()}
+
+    def _buckets(self, manifest: dict[int, int], only: list[int] | None = None) -> DataFrame:
+        paths = [f"{self.path}/v{v}/bucket={b}" for b, v in sorted(manifest.items()) if only is None or b in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}") if v else self.spark.createDataFrame([], self.schema)
+        return self._buckets(self._manifest(self.version()))
 
     def apply(self, rows: DataFrame, key: list[str], version: str | None = None) -> int:
-        """Upsert rows (the last of each key where ``version`` orders them) and return the new version."""
-        v = self.version()
-        fresh = latest(rows, key, version) if version else rows.dropDuplicates(key)
-        names = [f.split()[0] for f in self.schema.split(", ")]
-        upsert(self.read(), fresh.select(*names), key).write.mode("overwrite").parquet(f"{self.path}/v{v + 1}")
-        return v + 1
+        """Upsert rows and return the new version. Where ``version`` orders rows, the last of each key counts, and one in the table that is newer stays."""
+        now = self.version()
+        manifest, names = self._manifest(now), [f.split()[0] for f in self.schema.split(", ")]
+        fresh = (latest(rows, key, version) if version else rows.dropDuplicates(key)).select(*names)
+        bucket = F.pmod(F.xxhash64(*key), F.lit(self.BUCKETS)).cast("int")
+        touched = sorted(r["b"] for r in fresh.select(bucket.alias("b")).distinct().collect())
+        if not touched:
+            return now
+        mine = self._claim(now + 1)
+        old = self._buckets(manifest, touched)
+        if version:  # rows that the table already has in a newer version don't count
+            fresh = fresh.join(old.select(*key, F.col(version).alias("__v")), key, "left").where(F.col("__v").isNull() | (F.col(version) >= F.col("__v"))).drop("__v")
+        merged = upsert(old, fresh, key).withColumn("bucket", bucket)
+        merged.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/v{mine}")
+        stands = manifest | {b: mine for b in touched}
+        self.spark.createDataFrame(sorted(stands.items()), "bucket int, stands_in int").coalesce(1).write.parquet(f"{self.path}/m{mine}")
+        return mine
+
+    def _claim(self, number: int) -> int:
+        """The number, unless another writer holds it. Claims without a manifest are of writers that failed: their numbers are left out."""
+        fs, path = self._fs()
+        number = max([number, *(c + 1 for c in self._numbers("c"))])
+        fs.mkdirs(path(self.path))
+        try:
+            fs.create(path(f"{self.path}/c{number}"), False).close()
+        except Exception as taken:
+            raise RuntimeError(f"another writer has version {number} of {self.path}") from taken
+        return number
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete what the last ``keep`` versions don't stand in; how many folders went. Not while others write."""
+        fs, path = self._fs()
+        kept = self._numbers("m")[-keep:]
+        needed = {v for m in kept for v in self._manifest(m).values()}
+        gone = [f"m{m}" for m in self._numbers("m") if m not in kept] + [f"v{v}" for v in self._numbers("v") if v not in needed]
+        for name in gone:
+            fs.delete(path(f"{self.path}/{name}"), True)
+        return len(gone)
 
     def count(self) -> int:
         return self.read().count()

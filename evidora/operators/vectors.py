@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 
-#: Queries that one task meets at a time; more are dealt into blocks.
-QUERY_BLOCK = 4096
+#: Queries and items that one task meets at a time (of the mean); more are dealt into blocks, so that memory doesn't grow with the data.
+QUERY_BLOCK, ITEM_BLOCK = 4096, 65_536
 DIMENSIONS = 64
 
 
@@ -76,10 +76,11 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, digits: int = 6, skip_eq
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     deal = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    parts = max(1, items.sparkSession.sparkContext.defaultParallelism)
+    items = items.where("vec IS NOT NULL")
+    parts = max(1, items.sparkSession.sparkContext.defaultParallelism, -(-items.select("item").count() // ITEM_BLOCK))
     width = F.pmod(F.xxhash64("item"), F.lit(parts))
     left = queries.where("qvec IS NOT NULL").select("qid", "qvec", deal.alias("block")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
-    right = items.where("vec IS NOT NULL").select("item", "vec", width.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
+    right = items.select("item", "vec", width.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
     kinds = {n: t for n, t in queries.select("qid").dtypes + items.select("item").dtypes}
 
     def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:

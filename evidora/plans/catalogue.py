@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue_documents, catalogue_more, catalogue_records, catalogue_search, catalogue_streams
+from . import catalogue_documents, catalogue_extra, catalogue_more, catalogue_records, catalogue_search, catalogue_streams
 
 FLAGSHIP = "hybrid_retrieve"
-_PARTS = (catalogue_records, catalogue_search, catalogue_documents, catalogue_more, catalogue_streams)
+_PARTS = (catalogue_records, catalogue_search, catalogue_documents, catalogue_more, catalogue_extra, catalogue_streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_DOCS = f"SELECT e.source_file, CAST(e.pdf_page_number AS INTEGER) AS sequence_id, CASE WHEN element_type = 'TEXT' THEN 'TEXT' ELSE 'TABLE_ROW' END AS asset_type, CASE WHEN e.pdf_page_number % 3 = 0 THEN 'section_part' ELSE 'section_full' END AS chunk_type, 'S' || CAST(CAST(floor(e.pdf_page_number / 7.0) AS BIGINT) AS STRING) AS section, CASE WHEN e.pdf_page_number % 2 = 0 THEN 'feature_flags' ELSE 'conditional_matrix' END AS table_type, CASE WHEN e.pdf_page_number % 4 = 0 THEN 'Enabled' ELSE 'Disabled' END AS user_feature_flag, v.embedding FROM ({V.ELEMENTS}) e JOIN embeddings v ON v.vec_id = (CAST(substr(e.source_file, 4) AS BIGINT) * 50 + e.pdf_page_number) % 500"
+_DOCS = f"SELECT e.source_file, CAST(e.pdf_page_number AS INTEGER) AS sequence_id, CASE WHEN element_type = 'TEXT' THEN 'TEXT' ELSE 'TABLE_ROW' END AS asset_type, CASE WHEN e.pdf_page_number % 3 = 0 THEN 'section_part' ELSE 'section_full' END AS chunk_type, 'S' || CAST(CAST(floor(e.pdf_page_number / 7.0) AS BIGINT) AS STRING) AS section, CASE WHEN e.pdf_page_number % 2 = 0 THEN 'feature_flags' ELSE 'conditional_matrix' END AS table_type, CASE WHEN e.pdf_page_number % 4 = 0 THEN 'Enabled' ELSE 'Disabled' END AS user_feature_flag, v.embedding FROM ({V.ELEMENTS}) e CROSS JOIN (SELECT max(vec_id) + 1 AS n FROM embeddings) m JOIN embeddings v ON v.vec_id = (CAST(substr(e.source_file, 4) AS BIGINT) * 50 + e.pdf_page_number) % m.n"
 _ASKED = "SELECT vec_id AS qid, embedding AS qvec, CASE vec_id % 3 WHEN 0 THEN 'text_section' WHEN 1 THEN 'hybrid' ELSE 'table_full' END AS route FROM embeddings WHERE vec_id % 20 = 0"
 
 
@@ -83,11 +83,11 @@ def validated_followups(spark, sf_dir):
 _GROUPS = "SELECT CAST(l_orderkey % 40 AS STRING) AS group_id, CASE WHEN l_linenumber = 1 THEN 'TABLE_FULL' ELSE 'TABLE_ROW' END AS asset_type, 'f' AS source_file, l_orderkey * 10 + l_linenumber AS sequence_id FROM lineitem"
 
 
-@query("table_group_rows", f"SELECT group_id, asset_type, sequence_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id, asset_type ORDER BY source_file, sequence_id) AS r FROM ({_GROUPS}) g WHERE group_id IN ('1', '7')) x WHERE r <= CASE WHEN asset_type = 'TABLE_FULL' THEN 1 ELSE 20 END")
+@query("table_group_rows", f"SELECT group_id, asset_type, sequence_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id, asset_type ORDER BY source_file, sequence_id) AS r FROM ({_GROUPS}) g) x WHERE r <= CASE WHEN asset_type = 'TABLE_FULL' THEN 1 ELSE 20 END")
 def table_group_rows(spark, sf_dir):
     V.register(spark, sf_dir, "lineitem")
-    wanted = spark.createDataFrame([("1",), ("7",)], "group_id string")
-    return routes.group_rows(spark.sql(_GROUPS), wanted, 20).select("group_id", "asset_type", "sequence_id")
+    rows = spark.sql(_GROUPS)
+    return routes.group_rows(rows, rows.select("group_id").distinct(), 20).select("group_id", "asset_type", "sequence_id")
 
 
 @query("row_texts", "SELECT * FROM (VALUES (1, 'Feature flag row for Nice view. abcEnable feature flag. Product P1. Applicable to all.', 'Widget matrix row.'), (2, 'Feature flag row for no flag.', 'Widget matrix row. Coexist Feature Flag Enabled.')) AS t(id, flag_text, matrix_text)")

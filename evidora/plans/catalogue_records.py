@@ -30,7 +30,7 @@ def _masked(name: str, pattern: str, mark: str, flags: str = "g") -> None:
         return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.mask(F.col("text"), name).alias("masked"))
 
 
-for _n, _p, _m in T.MASKS:
+for _n, _, _p, _m in vocab.MASKS:
     if _n == "phone":  # look-behind has no form in the oracle's expressions
         _masked(_n, "", _m)
     elif _n == "token":

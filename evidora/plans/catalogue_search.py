@@ -98,14 +98,6 @@ def bm25_topk(spark, sf_dir):
 
 
 
-@query("rrf_hybrid", f"SELECT qid, doc_id, b.rank AS bm25_rank, q2 AS dense_rank, round(1 / (60.0::DOUBLE + q2) + 1 / (60.0::DOUBLE + b.rank), 6) AS rrf FROM ({_bm25_sql(20)}) b JOIN (SELECT doc_id, n_chars % 17 + 1 AS q2 FROM documents) d USING (doc_id)")
-def rrf_hybrid(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = lexical.bm25_top(d, V.view(spark, sf_dir, V.QUESTIONS), 20).withColumnRenamed("rank", "bm25_rank")
-    ranks = found.join(d.select("doc_id", (F.col("n_chars") % 17 + 1).alias("dense_rank")), "doc_id")
-    return vectors.reciprocal_rank_fusion(ranks).select("qid", "doc_id", "bm25_rank", "dense_rank", "rrf")
-
-
 _LONGEST = f"list_transform(list_sort(list_transform(list_distinct({D.tokens('question')}), lambda t: {{'n': -length(t), 't': t}}))[1:8], lambda x: x.t)"
 _KEYWORD = f"""SELECT qid, chunk_id FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY substr(sha256(chunk_id), 1, 32)) AS r FROM (SELECT DISTINCT qid, chunk_id FROM (SELECT qid, unnest({_LONGEST}) AS term FROM ({V.QUESTIONS}) q) a
  JOIN (SELECT chunk_id, unnest(list_distinct({D.tokens('text')})) AS term FROM ({V.CHUNKS}) c) b USING (term)) u) v WHERE r <= 60"""
@@ -253,12 +245,6 @@ def query_normalize(spark, sf_dir):
     return V.view(spark, sf_dir, V.QUESTIONS).select("qid", T.normalize_question(F.col("question")).alias("normalized"))
 
 
-@query("query_variants", "SELECT DISTINCT lower(trim(text)) AS variant FROM conversations WHERE role = 'user' ")
-def query_variants(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user' ")
-    return c.select(F.lower(F.trim("text")).alias("variant")).distinct()
-
-
 @query("history_tail", "SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) c WHERE r <= 6")
 def history_tail(spark, sf_dir):
     return answers.history_tail(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", "turn", "role", "place")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -21,20 +24,27 @@ def query(name: str, sql: str | None = None):
 
 
 def shared_folder(spark) -> str:
-    """A new folder under the cluster's checkpoint folder, which driver and executors share; local sessions use a temporary one."""
+    """A new folder that driver and executors share: under the cluster's checkpoint folder, else the warehouse; local sessions use a temporary one, which goes when Python ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
+    if not base and spark.sparkContext.master.split("[")[0] == "local":
+        base = tempfile.mkdtemp(prefix="evidora-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/evidora-{uuid.uuid4().hex}"
 
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/evidora-{uuid.uuid4().hex}"
+
+_OUT_OF_ORDER = "event_id % 3"
 
 
 @query("stream_upsert_equals_batch", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def stream_upsert_equals_batch(spark, sf_dir):
-    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
+    """Three micro-batches that don't come in order of their versions: the table ends with the newest of each key."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type")
+    landing = shared_folder(spark)
+    for part in (2, 0, 1):
+        events.where(f"{_OUT_OF_ORDER} = {part}").coalesce(1).write.mode("append").parquet(landing)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     store = TableStore(spark, shared_folder(spark), "user_id bigint, event_id bigint, event_type string")
-    ingest.upsert_stream(source.select("user_id", "event_id", "event_type"), store, ["user_id"], "event_id", shared_folder(spark)).awaitTermination()
+    ingest.upsert_stream(source, store, ["user_id"], "event_id", shared_folder(spark)).awaitTermination()
     return store.read()
 
 
@@ -48,6 +58,6 @@ def session_windows(spark, sf_dir):
     return ingest.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-@query("event_properties", "SELECT event_id, event_type, upper(event_type) AS kind FROM events WHERE value > 50")
+@query("event_properties", "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def event_properties(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where("value > 50").select("event_id", "event_type", F.upper("event_type").alias("kind"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))

@@ -114,6 +114,15 @@ def rich_text(value: Column) -> Column:
     return F.when(T.blank(value).startswith("{"), flat_text(value)).otherwise(T.blank(value))
 
 
+def embedded_comments(rows: DataFrame, raw: str = "raw") -> DataFrame:
+    """(issue_key, pos, author, created, body) of the comments inside searched issues; bodies may be rich-text trees."""
+    one = "array<struct<author:string,created:string,body:string>>"
+    found = F.from_json(F.coalesce(F.get_json_object(raw, "$.fields.comment.comments"), F.lit("[]")), one)
+    flat = rows.select(F.get_json_object(raw, "$.key").alias("issue_key"), F.posexplode(found).alias("pos", "c"))
+    author = F.when(F.col("c.author").startswith("{"), T.first_nonempty(F.get_json_object("c.author", "$.displayName"), F.get_json_object("c.author", "$.name"))).otherwise(T.blank(F.col("c.author")))
+    return flat.select("issue_key", "pos", author.alias("author"), F.left(T.blank(F.col("c.created")), F.lit(10)).alias("created"), rich_text(F.col("c.body")).alias("body"))
+
+
 def event_frames(rows: list[dict], event: str = "token") -> list[str]:
     """Server-sent frames of result rows."""
     return [f"data: {json.dumps({'type': event, **r}, ensure_ascii=False, default=str)}\n\n" for r in rows]
