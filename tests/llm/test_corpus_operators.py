@@ -483,3 +483,86 @@ def test_pipeline(spark, small, tmp_path):
             assert set(ids) == {k for k, v in kept.items() if v}
         last = ids
     assert corpus_pipeline.run(spark, small).count() == len(last)
+
+
+def plain_dedup(rows, model_radius=18):
+    """One row of each group linked by radius, estimate and exact likeness, and of each text, by comparing all pairs."""
+    texts = {}
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        texts.setdefault(r["text"], r)
+    rows = list(texts.values())
+    hashes = [simhash.shingle_hashes(r["text"], 5, 42) for r in rows]
+    prints, sets = [plain_print(r["text"], 5) for r in rows], [set(h) for h in hashes]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if (prints[a] ^ prints[b]).bit_count() <= model_radius and (both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return [r for i, r in enumerate(rows) if find(i) == i]
+
+
+def plain_mix(rows):
+    import re
+
+    def form(text, n):
+        marks, numbers = len(re.findall(r"[!-/:-@\[-`{-~]{2,}", text)), len(re.findall("[0-9]+", text))
+        return "empty" if not n else "marked" if 12 * marks >= n else "figures" if 12 * numbers >= n else "short" if n < 50 else "prose" if n < 1000 else "book"
+
+    counts = [len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in rows]
+    cell_of = [(r["source"], r["lang"], form(r["text"], n)) for r, n in zip(rows, counts)]
+    cells = Counter()
+    for c, n in zip(cell_of, counts):
+        cells[c] += n
+    sums = [Counter() for _ in range(3)]
+    for c, n in cells.items():
+        for i in range(3):
+            sums[i][c[i]] += n
+    targets = [mixing.default_targets(s, p) for s, p in zip(sums, mixing.POWERS.values())]
+    weight = mixing.rake({c: float(n) for c, n in cells.items()}, targets)
+    factor = {c: weight[c] / n if n else 1.0 for c, n in cells.items()}
+    most = max(factor.values())
+    drawn = lambda i: int(hashlib.md5(f"{mixing.SALT}{i}".encode()).hexdigest()[:8], 16) / 2**32
+    return [r for r, c in zip(rows, cell_of) if drawn(r["doc_id"]) < factor[c] / most]
+
+
+def test_pipeline_against_a_plain_version(spark, small):
+    """The whole result, by loops over the rows: the model's score, all pairs, masks, counted cells and the public encoder."""
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    from evidora.llm import secrets, toxicity
+
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model, field = toxicity.fit(docs, labels), secrets.train()
+    rows = [r.asDict() for r in docs.collect() if model.score(r["text"] or "") < 0.5]
+    rows = plain_dedup(rows)
+    for r in rows:
+        found = sorted((a, z) for a, _, z in secrets.all_spans(r["text"], field)[1])
+        for a, z in reversed(found):
+            r["text"] = r["text"][:a] + "[SECRET]" + r["text"][z:]
+    rows = plain_mix(rows)
+    ranks = load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoder = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for r in rows:
+        ids = encoder.encode(r["text"], disallowed_special=())
+        want[r["doc_id"]] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, small).collect()}
+    assert got == want and len(got) > 20
+
+
+def test_very_long_text_in_near_copies(spark):
+    """One text of over 65,536 shingles, whose bits are counted in pieces, and a near copy of it."""
+    long = " ".join(f"w{i * 7919 % 70001}" for i in range(70_000))
+    rows = [(1, long), (2, long + " end"), (3, "short one"), (4, long.replace("w", "v"))]
+    got = {r["doc_id"]: (r["fp"] & (2**64 - 1), r["component_id"]) for r in simhash.near_components(corpus(spark, rows), 4, 4).collect()}
+    assert {i: p for i, (p, _) in got.items()} == {i: plain_print(t) for i, t in rows}
+    assert got[2][1] == 1 and got[4][1] == 4 and [r["doc_id"] for r in stages.drop_near_copies(corpus(spark, rows)).orderBy("doc_id").collect()] == [1, 3, 4]
