@@ -68,9 +68,11 @@ def l2_normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, digits: int = 6, skip_equal: bool = False) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int, digits: int = 6, skip_equal: bool = False, match: bool = False) -> DataFrame:
     """(qid, item, score, rank): for each (qid, qvec) the k best (item, vec) by inner product.
 
+    With ``match`` only items count whose ``bits`` hold all bits of the query's ``qbits``.
+
     Queries fit a block each; a block is joined to the items in Arrow batches with one matrix product, and
     every task hands on k rows per query only. The join key is the block, so neither side is collected.
     """
@@ -79,8 +81,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, digits: int = 6, skip_eq
     items = items.where("vec IS NOT NULL")
     parts = max(1, items.sparkSession.sparkContext.defaultParallelism, -(-items.select("item").count() // ITEM_BLOCK))
     width = F.pmod(F.xxhash64("item"), F.lit(parts))
-    left = queries.where("qvec IS NOT NULL").select("qid", "qvec", deal.alias("block")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
-    right = items.select("item", "vec", width.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
+    left = queries.where("qvec IS NOT NULL").select("qid", "qvec", *(["qbits"] if match else []), deal.alias("block")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    right = items.select("item", "vec", *(["bits"] if match else []), width.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
     kinds = {n: t for n, t in queries.select("qid").dtypes + items.select("item").dtypes}
 
     def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -93,11 +95,16 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, digits: int = 6, skip_eq
         b = b.sort_by("item")  # equal scores then come in order
         own, names, asked, rows = a.column("qid").to_pylist(), b.column("item"), matrix(a.column("qvec"), a.num_rows), matrix(b.column("vec"), b.num_rows)
         items, need = names.to_pylist() if skip_equal else None, min(b.num_rows, k + skip_equal)
+        asks, has = (a.column("qbits").to_numpy(), b.column("bits").to_numpy()) if match else (None, None)
         at, of, scores = [], [], []
         for first in range(0, len(asked), 256):
             for i, s in enumerate(np.round(asked[first : first + 256] @ rows.T, digits), first):
+                if match:
+                    s = np.where(has & asks[i] == asks[i], s, -np.inf)
                 enough = np.flatnonzero(s >= np.partition(s, len(s) - need)[len(s) - need])
                 best = enough[np.argsort(-s[enough], kind="stable")]
+                if match:
+                    best = best[np.isfinite(s[best])]
                 if skip_equal:
                     best = best[[items[j] != own[i] for j in best]]
                 best = best[:k]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answer_texts
-from ..operators import answers, context, conversations, documents, hybrid, lexical, records, tables, upsert
+from ..operators import answers, context, conversations, documents, hybrid, lexical, records, routes, tables, upsert
 from ..sources import files
 from . import catalogue_search
 from . import duck as D
@@ -171,3 +171,43 @@ def table_row_chunks(spark, sf_dir):
     grouped = V.view(spark, sf_dir, _TABLE_ROWS).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("k", F.array("u", "e").alias("cells")))).alias("r"))
     parsed = grouped.select(F.lit("orders").alias("source_file"), "page", F.lit("Widget dashboard").alias("section"), F.array(F.lit("User Feature Flag"), F.lit("Energy Default Baseline")).alias("headers"), F.col("r.cells").alias("rows"))
     return tables.row_chunks(parsed)
+
+
+_MATRIX = """SELECT 'm' AS source_file, o.o_orderkey AS sequence_id, 'TABLE_ROW' AS asset_type, CASE WHEN o.o_orderkey % 5 = 0 THEN 'feature_flags' ELSE 'conditional_matrix' END AS table_type, 'T' || CAST(o.o_custkey % 9 AS STRING) AS section,
+ CASE o.o_orderkey % 2 WHEN 0 THEN 'Enabled' ELSE 'Disabled' END AS user_feature_flag, CASE o.o_custkey % 2 WHEN 0 THEN 'Enabled' ELSE 'Disabled' END AS coexist_feature_flag, CASE o.o_custkey % 3 WHEN 0 THEN 'Yes' ELSE 'No' END AS energy_default_baseline, CASE o.o_orderkey % 7 WHEN 0 THEN 'Yes' ELSE 'No' END AS eo_default_baseline,
+ 'w' || CAST(o.o_orderkey AS STRING) AS energy_widget, o.o_orderpriority AS carbon_widget, v.embedding AS vec FROM orders o CROSS JOIN (SELECT max(vec_id) + 1 AS n FROM embeddings) m JOIN embeddings v ON v.vec_id = o.o_orderkey % m.n"""
+_STATED = "SELECT vec_id AS qid, embedding AS qvec, CASE WHEN vec_id % 3 = 0 THEN 'Enabled' END AS user_feature_flag, CASE WHEN vec_id % 6 < 5 THEN 'Disabled' END AS coexist_feature_flag, CASE WHEN vec_id % 9 = 0 THEN 'Yes' END AS energy_default_baseline, CASE WHEN vec_id % 9 = 0 THEN 'No' END AS eo_default_baseline FROM embeddings WHERE vec_id % 20 = 0"
+_FIELDS = ("user_feature_flag", "coexist_feature_flag", "energy_default_baseline", "eo_default_baseline")
+_MATRIX_SQL = f"""SELECT qid, source_file, sequence_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, source_file || '||' || sequence_id) AS rank FROM (SELECT qid, source_file, sequence_id, {" AND ".join(f"q.{f} IS NOT NULL" for f in _FIELDS)} AS whole,
+ round(list_inner_product(qvec::DOUBLE[], vec::DOUBLE[]), 4) AS score FROM ({_STATED}) q JOIN ({_MATRIX}) m ON table_type = 'conditional_matrix' AND {" AND ".join(f"(q.{f} IS NULL OR q.{f} = m.{f})" for f in _FIELDS)}) s) r WHERE rank <= CASE WHEN whole THEN 5 ELSE 8 END"""
+
+
+def _matrix_tables(spark, sf_dir):
+    V.register(spark, sf_dir, "orders", "embeddings")
+    stated = F.map_filter(F.create_map(*[x for f in _FIELDS for x in (F.lit(f), F.col(f))]), lambda k, v: v.isNotNull())
+    return spark.sql(_MATRIX), spark.sql(_STATED).select("qid", "qvec", stated.alias("conditions"))
+
+
+@query("matrix_route", _MATRIX_SQL)
+def matrix_route(spark, sf_dir):
+    chunks, asked = _matrix_tables(spark, sf_dir)
+    return routes.matrix_hits(chunks, asked, 8).select("qid", "source_file", "sequence_id", "score", "rank")
+
+
+_FLAGS_SQL = f"""WITH c AS ({_MATRIX}), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, source_file || '||' || sequence_id) AS r FROM (SELECT qid, source_file, sequence_id, section, round(list_inner_product(qvec::DOUBLE[], vec::DOUBLE[]), 4) AS score FROM ({_STATED}) q JOIN c ON table_type = 'feature_flags') s) x WHERE r <= 50),
+ e AS (SELECT qid, source_file, sequence_id FROM (SELECT t.qid, c.source_file, c.sequence_id, row_number() OVER (PARTITION BY t.qid, c.source_file, c.section ORDER BY c.sequence_id) AS r FROM c JOIN (SELECT DISTINCT qid, source_file, section FROM h) t ON c.source_file = t.source_file AND c.section = t.section) x WHERE r <= 300)
+SELECT coalesce(h.qid, e.qid) AS qid, coalesce(h.source_file, e.source_file) AS source_file, coalesce(h.sequence_id, e.sequence_id) AS sequence_id, coalesce(score, 0.0) AS score FROM h FULL JOIN e ON h.qid = e.qid AND h.source_file = e.source_file AND h.sequence_id = e.sequence_id"""
+
+
+@query("flag_route", _FLAGS_SQL)
+def flag_route(spark, sf_dir):
+    chunks, asked = _matrix_tables(spark, sf_dir)
+    return routes.flag_hits(chunks, asked.select("qid", "qvec")).select("qid", "source_file", "sequence_id", "score")
+
+
+@query("validated_values", f"""SELECT sequence_id AS qid, list_sort(list_filter([CASE WHEN sequence_id % 2 = 0 THEN 'energy_widget' ELSE '' END, CASE WHEN sequence_id % 3 <> 0 THEN 'carbon_widget' ELSE '' END], lambda x: x <> '')) AS missing FROM ({_MATRIX}) m""")
+def validated_values(spark, sf_dir):
+    """Answers that hold one value of their row, the other, both (in another case) or none."""
+    rows, _ = _matrix_tables(spark, sf_dir)
+    said = F.concat(F.lit("It shows "), F.when(F.col("sequence_id") % 2 != 0, F.upper("energy_widget")).otherwise(""), F.lit(" and "), F.when(F.col("sequence_id") % 3 == 0, F.lower("carbon_widget")).otherwise(""))
+    return routes.value_mismatches(rows, rows.select(F.col("sequence_id").alias("qid"), "source_file", "sequence_id", said.alias("answer")))
