@@ -52,14 +52,13 @@ UNION ALL SELECT * FROM (VALUES
  (1013, 'coexist flag disabled and eo default baseline: yes'), (1014, 'can you please tell me about the flags'), (1015, 'Onboarding Steps Include:'),
  (1016, 'remap of the payload and sync rerun'), (1017, ''), (1018, 'list all the rows'), (1019, 'xy'), (1020, 'don''t show the widget')) AS t(qid, question)"""
 
-#: Table fragments that follow each other on adjacent pages, on one page, over a gap, and with other headers.
+#: Table fragments, one an order and a file a customer: they follow each other on adjacent pages, on one page, over gaps, and with other headers.
 FRAGMENTS = """
-SELECT source_file, page, frag, headers, cue, section FROM (VALUES
- ('a.pdf', 1, 1, 'flag;level;product', 'table continues', 'Feature Flag Options'), ('a.pdf', 2, 2, 'flag;level;product', '', 'Feature Flag Options'),
- ('a.pdf', 2, 3, 'flag;level;product', '', 'Feature Flag Options'), ('a.pdf', 5, 4, 'flag;level;product', '', 'Feature Flag Options'),
- ('a.pdf', 6, 5, 'name;value', 'see next', 'Limits'), ('a.pdf', 7, 6, 'name;value;unit', '', 'Limits'), ('a.pdf', 8, 7, 'alpha;beta', '', 'Other'),
- ('b.pdf', 1, 1, 'name;value', '', 'Limits'), ('b.pdf', 2, 2, 'name;value', '', 'Widget dashboard'), ('b.pdf', 3, 3, 'energy widget;coexist;eo default', '', ''),
- ('b.pdf', 4, 4, 'energy widget;coexist;eo default', 'cont.', ''), ('c.pdf', 9, 1, 'org level;site level', '', 'Levels')) AS t(source_file, page, frag, headers, cue, section)"""
+SELECT source_file, CAST(CASE WHEN frag % 5 = 3 THEN frag - 1 ELSE frag END + 2 * floor(frag / 6.0) AS INTEGER) AS page, CAST(frag AS INTEGER) AS frag,
+ CASE CAST(floor(frag / 3.0) AS INTEGER) % 4 WHEN 0 THEN 'flag;level;product' WHEN 1 THEN 'name;value' WHEN 2 THEN 'name;value;unit' ELSE 'energy widget;coexist;eo default' END AS headers,
+ CASE k % 7 WHEN 0 THEN 'table continues' WHEN 1 THEN 'see next' WHEN 2 THEN 'cont.' ELSE '' END AS cue,
+ CASE CAST(floor(frag / 3.0) AS INTEGER) % 4 WHEN 0 THEN 'Feature Flag Options' WHEN 1 THEN 'Limits' WHEN 2 THEN 'Limits' ELSE CASE WHEN k % 2 = 0 THEN 'Widget dashboard' ELSE '' END END AS section
+FROM (SELECT 'c' || CAST(o_custkey AS STRING) || '.pdf' AS source_file, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS frag FROM orders) o"""
 
 
 def spark_sql(text: str) -> str:
