@@ -75,7 +75,7 @@ def is_odd(token: str) -> bool:
     return len(token) >= 8 and _USUAL.fullmatch(token) is None
 
 
-@functools.lru_cache(maxsize=100_000)
+@functools.lru_cache(maxsize=16_384)
 def shape(token: str) -> tuple[str, ...]:
     """Names of the features of a token's own characters."""
     n, out = len(token), ["odd" if is_odd(token) else "plain"]
@@ -98,7 +98,7 @@ def shape(token: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-@functools.lru_cache(maxsize=100_000)
+@functools.lru_cache(maxsize=16_384)
 def _tells(token: str) -> bool:
     return 3 <= len(token) <= 24 and bool(_TELLING_IN.search(token)) and any(_TELLING.fullmatch(p) for p in re.split(r"[_.=-]", token))
 

@@ -41,7 +41,7 @@ PRIOR, LEAST_Z, MOST = 20.0, 4.0, 6.0
 E_VALUE = 0.05
 _WORD = re.compile(r"[^\W\d_]+")
 words_of = _WORD.findall
-WORDS_KEPT, COUNTED_AT_ONCE = 200_000, 150_000
+WORDS_KEPT, COUNTED_AT_ONCE = 50_000, 150_000
 
 
 def entries_of(word: str) -> list[str]:
