@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, mixing, repeats, secrets, simhash, topk, toxicity, unigram, winnowing
+from . import bpe, divergence, extraction, interaction, langid, mixing, repeats, secrets, simhash, topk, toxicity, unigram, winnowing
 from .common import table
 
 
@@ -65,5 +65,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, every=50)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_winnowing": op2_winnowing, "op3_secrets": op3_secrets, "op4_repeats": op4_repeats, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_unigram": op7_unigram, "op8_extraction": op8_extraction, "op9_simhash": op9_simhash, "op10_topk": op10_topk}
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL, "op10_topk": topk.ORACLE_SQL}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of a language are apart, and the terms that set each apart from its language."""
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op12_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders for every source, with their Shapley values."""
+    return interaction.audit(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "labels"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the dictionary that compresses it best."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_winnowing": op2_winnowing, "op3_secrets": op3_secrets, "op4_repeats": op4_repeats, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_unigram": op7_unigram, "op8_extraction": op8_extraction, "op9_simhash": op9_simhash, "op10_topk": op10_topk, "op11_divergence": op11_divergence, "op12_interaction": op12_interaction, "op13_language": op13_language}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL, "op10_topk": topk.ORACLE_SQL, "op11_divergence": divergence.ORACLE_SQL, "op12_interaction": interaction.ORACLE_SQL}
