@@ -1,8 +1,11 @@
 """Encoding, secrets, counts, toxicity and extraction against plain versions, and their defined cases."""
 
 import hashlib
+import math
 import re
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -10,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models
 
+import __spark_entry__ as entry
 from evidora.llm import bpe, dom, extraction, queries, secrets, stages, toxicity, unigram
 
 BPE_PATH, PIECES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
@@ -163,12 +167,13 @@ def test_secret_documents(spark, field):
 
 
 # --- 6 -----------------------------------------------------------------------------------------------
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(-3, 3), max_size=14))
-def test_maximal_segments(scores):
-    places = [i for i, s in enumerate(scores) if s > 0]
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-3, 3), max_size=14), st.sets(st.integers(0, 13)))
+def test_maximal_segments(scores, own):
+    """Places with scores of their own, above and below zero, among words that share one."""
+    places = [i for i, s in enumerate(scores) if s and (s > 0 or i in own)]
     got = toxicity.maximal_segments(places, [float(scores[i]) for i in places], -1.0)
-    plain = [float(s) if s > 0 else -1.0 for s in scores]
+    plain = [float(s) if i in places else -1.0 for i, s in enumerate(scores)]
 
     def split(lo, hi):  # the definition: the best segment (shortest, then first of equals), and what is left and right of it
         best = max(((sum(plain[a:b]), -(b - a), -a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0,))
@@ -180,6 +185,59 @@ def test_maximal_segments(scores):
     assert sorted(x[0] for x in got) == sorted(x[0] for x in split(0, len(plain)))
 
 
+@pytest.mark.parametrize("shape", ["falling", "rising", "saw"])
+def test_scan_takes_linear_time(shape):
+    def run(n):
+        gap = {"falling": 9, "rising": 2, "saw": 4}[shape]
+        places = [i * gap + (i % 7 if shape == "saw" else 0) for i in range(n)]
+        scores = [3.0 + (i % 5) * (1.7 if shape == "saw" else 0.0) for i in range(n)]
+        began = time.perf_counter()
+        toxicity.maximal_segments(places, scores, -1.0)
+        return time.perf_counter() - began
+
+    run(2_000)
+    small, large = min(run(10_000) for _ in range(3)), min(run(160_000) for _ in range(3))
+    assert large < 16 * 4 * small + 0.05
+
+
+def test_chance_law_is_found_again():
+    """Texts drawn from a known law, of which the low ones show nothing."""
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(20, 3000, 6000)
+    drawn = (np.log(0.02 * (sizes + 1)) - np.log(-np.log(rng.random(6000)))) / 0.8
+    law = toxicity.fit_law([(float(s) if s > 2.0 else 0.0, int(n)) for s, n in zip(drawn, sizes)])
+    assert abs(law.rate - 0.8) < 0.05 and abs(law.k - 0.02) < 0.005
+    assert toxicity.fit_law([]) == toxicity.ChanceLaw() == toxicity.fit_law([(0.0, 9)] * 50)
+    assert toxicity.ChanceLaw(2.0, 0.5).surprise(8.0, 9) == pytest.approx(4 - math.log(20))
+
+
+def test_scores_are_the_smoothed_log_odds(spark):
+    """Fitted scores against counts in plain Python, over the rows that are neither held out nor for calibration."""
+    docs, labels = toxic_rows(900)
+    d, lab = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.fit(d, lab)
+    counts, totals = {}, [0, 0]
+    for r in toxicity.training_rows(d, lab).where("part < 3").collect():
+        words = [w.lower() for w in toxicity.words_of(r["text"])]
+        totals[r["toxic"]] += len(words)
+        for w in words:
+            for e in toxicity.entries_of(w):
+                counts.setdefault(e, [0, 0])[r["toxic"]] += 1
+    assert {"awful$", "nasty$", "fool$", "awf"} <= set(model.scores)
+    for e, score in model.scores.items():
+        c = counts[e]
+        prior = toxicity.PRIOR * sum(c) / sum(totals)
+        want = math.log((c[1] + prior) / (totals[1] + toxicity.PRIOR)) - math.log((c[0] + prior) / (totals[0] + toxicity.PRIOR))
+        assert score == pytest.approx(want)
+
+
+def test_toxic_documents_of_the_tables_are_found(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = entry.queries()["op6_toxicity"](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in rows}
+    assert n[1, 1] >= 0.92 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 0.005 * n[0, 0]
+
+
 def toxic_rows(n=600):
     docs = [(i, "calm words of a plain text about weather and work " * (1 + i % 3) + ("you awful nasty fool" if i % 7 == 0 else "")) for i in range(n)]
     return docs, [(i, int(i % 7 == 0)) for i in range(n)]
@@ -208,7 +266,7 @@ def test_places_of_segments(spark):
     calm = "\u0130\u0130 calm words, 12 of them \U0001F600 " * 12
     text = (calm + "NASTY nasty ") * 40
     seen = model.segments(text)
-    spans = [tuple(map(int, x.split(":"))) for x in toxicity.places(text, toxicity.significant(seen)).split(",")]
+    spans = [tuple(map(int, x.split(":"))) for x in toxicity.places(text, model.significant(seen)).split(",")]
     assert len(spans) == 40 and all(text[a:z] == "NASTY nasty" for a, z in spans)
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert toxicity.score_documents(empty, model).count() == 0 and toxicity.fit(empty, spark.createDataFrame([], "doc_id bigint, toxic int")).scores == {}
