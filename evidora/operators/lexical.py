@@ -39,10 +39,10 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", t
 
     An equi-join on the term meets the index only where a query has a term; repeated query terms count again.
     """
-    return _ranked(postings(docs, key, text), document_frequency(docs, text), collection_size(docs, text), queries, k, key)
+    return ranked(postings(docs, key, text), document_frequency(docs, text), collection_size(docs, text), queries, k, key)
 
 
-def _ranked(held: DataFrame, frequencies: DataFrame, size: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:
+def ranked(held: DataFrame, frequencies: DataFrame, size: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:
     asked = queries.select("qid", F.explode(tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     found = held.join(asked, "term").join(frequencies, "term").crossJoin(F.broadcast(size))  # one row
     scored = found.groupBy("qid", key).agg(F.round(F.sum(F.col("times") * bm25_term(F.col("tf"), idf(F.col("n"), F.col("df")), F.col("dl"), F.col("avgdl"))), 4).alias("score"))
@@ -72,7 +72,7 @@ class StoredIndex:
 
     def top(self, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
         """(qid, key, score, rank), as ``bm25_top`` has it, from what is stored."""
-        return _ranked(self._read("postings"), self._read("frequencies"), self._read("size"), queries, k, key)
+        return ranked(self._read("postings"), self._read("frequencies"), self._read("size"), queries, k, key)
 
 
 def updated_frequency(df: DataFrame, added: DataFrame, text: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,87 +37,93 @@ def scroll(table: DataFrame, order: str, limit: int, after=None) -> DataFrame:
     return rest.orderBy(order).limit(limit)
 
 
-class TableStore:
-    """A Parquet table in buckets by a hash of its key, each version a folder of the buckets it changed.
+class KeyedTable:
+    """A Parquet table partitioned by a hash bucket of its key, changed by dynamic partition overwrite.
 
-    A writer claims the next number, writes its buckets and then a manifest that says in which version each bucket
-    stands; readers go by the newest manifest, so that a lost executor or driver never leaves half a table, and
-    only buckets with changed keys are rewritten. Of two writers one claims a number and the other is told.
-    """
+    A change merges its rows with the buckets it touches and writes the result below ``_staged``; once that is complete it
+    replaces those buckets. A writer that dies before leaves the table as it was, and one that dies after is finished by
+    the next change, so that each counts wholly or not at all. There is one writer at a time: a second one is told and changes nothing.
 
-    BUCKETS = 64
+    All rows of a key are replaced together. A key holds one row, or with ``many``, as an issue's chunks, several. Deleted keys stay as marks,
+    which older versions of them can't undo. ``buckets`` is chosen with the data, for some 100 MB each.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], version: str | None = None, many: bool = False, buckets: int = 16):
+        self.spark, self.path, self.key, self.version, self.many, self.buckets = spark, path.rstrip("/"), key, version, many, buckets
+        self.schema = schema
+        self.columns = spark.createDataFrame([], schema).columns
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path
         return path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _numbers(self, kind: str) -> list[int]:
+    def _stored(self) -> DataFrame:
         fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-        return sorted(int(n[1:]) for n in names if n[:1] == kind and n[1:].isdigit() and (kind == "c" or fs.exists(path(f"{self.path}/{n}/_SUCCESS"))))
-
-    def version(self) -> int:
-        """The newest complete version; 0 if there is none."""
-        return max(self._numbers("m"), default=0)
+        schema = f"{self.schema}, gone boolean, bucket int"
+        there = fs.globStatus(path(f"{self.path}/bucket=*"))
+        return self.spark.read.schema(schema).parquet(self.path) if there else self.spark.createDataFrame([], schema)
 
-    def _manifest(self, version: int) -> dict[int, int]:
-        """The version in which each bucket stands."""
-        if not version:
-            return {}
-        return {r["bucket"]: r["stands_in"] for r in self.spark.read.schema("bucket int, stands_in int").parquet(f"{self.path}/m{version}").collect()}
+    def read(self) -> DataFrame:
+        return self._stored().where("NOT gone").select(*self.columns)
 
-    def _buckets(self, manifest: dict[int, int], only: list[int] | None = None) -> DataFrame:
-        paths = [f"{self.path}/v{v}/bucket={b}" for b, v in sorted(manifest.items()) if only is None or b in only]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+    def count(self) -> int:
+        return self.read().count()
 
-    def read(self) -> DataFrame:
-        return self._buckets(self._manifest(self.version()))
-
-    def apply(self, rows: DataFrame, key: list[str], version: str | None = None) -> int:
-        """Upsert rows and return the new version. Where ``version`` orders rows, the last of each key counts, and one in the table that is newer stays."""
-        now = self.version()
-        manifest, names = self._manifest(now), [f.split()[0] for f in self.schema.split(", ")]
-        fresh = (latest(rows, key, version) if version else rows.dropDuplicates(key)).select(*names)
-        bucket = F.pmod(F.xxhash64(*key), F.lit(self.BUCKETS)).cast("int")
-        touched = sorted(r["b"] for r in fresh.select(bucket.alias("b")).distinct().collect())
-        if not touched:
-            return now
-        mine = self._claim(now + 1)
-        old = self._buckets(manifest, touched)
-        if version:  # rows that the table already has in a newer version don't count
-            fresh = fresh.join(old.select(*key, F.col(version).alias("__v")), key, "left").where(F.col("__v").isNull() | (F.col(version) >= F.col("__v"))).drop("__v")
-        merged = upsert(old, fresh, key).withColumn("bucket", bucket)
-        merged.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/v{mine}")
-        stands = manifest | {b: mine for b in touched}
-        self.spark.createDataFrame(sorted(stands.items()), "bucket int, stands_in int").coalesce(1).write.parquet(f"{self.path}/m{mine}")
-        return mine
-
-    def _claim(self, number: int) -> int:
-        """The number, unless another writer holds it. Claims without a manifest are of writers that failed: their numbers are left out."""
+    def apply(self, rows: DataFrame, name: str | None = None) -> None:
+        """Put ``rows`` in place of all rows of their keys. With a version column the newest of each key counts, and newer rows of the table stay."""
+        if self.version:
+            newest = Window.partitionBy(*self.key).orderBy(F.desc(self.version))
+            rows = rows.withColumn("__r", (F.rank() if self.many else F.row_number()).over(newest)).where("__r = 1").drop("__r")
+        elif not self.many:
+            rows = rows.dropDuplicates(self.key)
+        self._change(rows.select(*self.columns, F.lit(False).alias("gone")), name)
+
+    def delete(self, keys: DataFrame, name: str | None = None) -> None:
+        """Without the rows of these keys; with a version column ``keys`` say up to which version."""
+        marks = keys.select(*self.key, *([self.version] if self.version else [])).dropDuplicates(self.key).withColumn("gone", F.lit(True))
+        self._change(self._stored().select(*self.columns, "gone").limit(0).unionByName(marks, allowMissingColumns=True), name)
+
+    def _change(self, fresh: DataFrame, name: str | None) -> None:
         fs, path = self._fs()
-        number = max([number, *(c + 1 for c in self._numbers("c"))])
-        fs.mkdirs(path(self.path))
+        fs.mkdirs(path(f"{self.path}/_staged"))
+        lock = path(f"{self.path}/_staged/writer")
         try:
-            fs.create(path(f"{self.path}/c{number}"), False).close()
-        except Exception as taken:
-            raise RuntimeError(f"another writer has version {number} of {self.path}") from taken
-        return number
-
-    def vacuum(self, keep: int = 2) -> int:
-        """Delete what the last ``keep`` versions don't stand in; how many folders went. Not while others write."""
+            fs.create(lock, False).close()
+        except Exception as held:
+            raise RuntimeError(f"another writer is changing {self.path}; if it died, recover() finishes what it began") from held
+        try:
+            self._finish()
+            staged = f"{self.path}/_staged/change-{name or uuid.uuid4().hex}"
+            fresh = fresh.withColumn("bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")).persist()
+            try:
+                touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # numbers below ``buckets``
+                if touched:
+                    old = self._stored().where(F.col("bucket").isin(touched))
+                    if self.version:
+                        newer = old.select(*self.key, F.col(self.version).alias("__v")).groupBy(*self.key).agg(F.max("__v").alias("__v"))
+                        fresh = fresh.join(newer, self.key, "left").where(F.col("__v").isNull() | (F.col(self.version) >= F.col("__v"))).drop("__v")
+                    kept = old.join(fresh.select(*self.key).distinct(), self.key, "left_anti")
+                    kept.unionByName(fresh).repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
+                    self._finish()
+            finally:
+                fresh.unpersist()
+        finally:
+            fs.delete(lock, False)
+
+    def _finish(self) -> None:
+        """Put complete staged changes in place; doing that again after a failure gives the same table. Incomplete ones are left out."""
         fs, path = self._fs()
-        kept = self._numbers("m")[-keep:]
-        needed = {v for m in kept for v in self._manifest(m).values()}
-        gone = [f"m{m}" for m in self._numbers("m") if m not in kept] + [f"v{v}" for v in self._numbers("v") if v not in needed]
-        for name in gone:
-            fs.delete(path(f"{self.path}/{name}"), True)
-        return len(gone)
-
-    def count(self) -> int:
-        return self.read().count()
+        for found in fs.listStatus(path(f"{self.path}/_staged")):
+            change = f"{self.path}/_staged/{found.getPath().getName()}"
+            if found.isDirectory() and fs.exists(path(f"{change}/_SUCCESS")):
+                self.spark.read.parquet(change).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+            if found.isDirectory():
+                fs.delete(path(change), True)
+
+    def recover(self) -> None:
+        """After a writer died: finish what it staged and let others write."""
+        fs, path = self._fs()
+        if fs.exists(path(f"{self.path}/_staged")):
+            self._finish()
+            fs.delete(path(f"{self.path}/_staged/writer"), False)

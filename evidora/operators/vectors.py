@@ -78,8 +78,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, digits: int = 6, skip_eq
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     deal = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    parts = max(1, items.sparkSession.sparkContext.defaultParallelism, -(-items.select("item").count() // ITEM_BLOCK))  # counted before any embedding
     items = items.where("vec IS NOT NULL")
-    parts = max(1, items.sparkSession.sparkContext.defaultParallelism, -(-items.select("item").count() // ITEM_BLOCK))
     width = F.pmod(F.xxhash64("item"), F.lit(parts))
     left = queries.where("qvec IS NOT NULL").select("qid", "qvec", *(["qbits"] if match else []), deal.alias("block")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
     right = items.select("item", "vec", *(["bits"] if match else []), width.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))

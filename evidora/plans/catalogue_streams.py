@@ -9,8 +9,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.upsert import TableStore
-from ..streaming import ingest
+from ..operators.segments import SegmentIndex
+from ..operators.upsert import KeyedTable
+from ..streaming import ingest, statistics
+from . import catalogue_search
+from . import duck as D
+from . import views as V
 
 QUERIES: dict = {}
 
@@ -43,9 +47,9 @@ def stream_upsert_equals_batch(spark, sf_dir):
     for part in (2, 0, 1):
         events.where(f"{_OUT_OF_ORDER} = {part}").coalesce(1).write.mode("append").parquet(landing)
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    store = TableStore(spark, shared_folder(spark), "user_id bigint, event_id bigint, event_type string")
-    ingest.upsert_stream(source, store, ["user_id"], "event_id", shared_folder(spark)).awaitTermination()
-    return store.read()
+    table = KeyedTable(spark, shared_folder(spark), "user_id bigint, event_id bigint, event_type string", ["user_id"], "event_id")
+    ingest.upsert_stream(source, table, shared_folder(spark)).awaitTermination()
+    return table.read()
 
 
 @query("tumbling_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
@@ -61,3 +65,62 @@ def session_windows(spark, sf_dir):
 @query("event_properties", "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def event_properties(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+#: Documents as a stream brings them: half of them first with other words, then as they are, some again, and some in a version that is older.
+_VERSIONS = ["SELECT doc_id, 1 AS version, CASE WHEN doc_id % 2 = 0 THEN text || ' draftonly wording' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 1",
+             "SELECT doc_id, 2 AS version, text FROM documents WHERE doc_id % 2 = 0 OR doc_id % 5 = 1",
+             "SELECT doc_id, 2 AS version, text FROM documents WHERE doc_id % 6 = 0 UNION ALL SELECT doc_id, 0 AS version, 'staleonly words' AS text FROM documents WHERE doc_id % 7 = 0"]
+
+
+def _land(spark, sf_dir, texts: list[str]) -> str:
+    """The results of some SQL as files that came one after the other."""
+    V.register(spark, sf_dir, "documents", "events")
+    landing = shared_folder(spark)
+    for text in texts:
+        spark.sql(text).coalesce(1).write.mode("append").parquet(landing)
+    return landing
+
+
+@query("stream_term_statistics", f"""WITH tok AS (SELECT list_distinct({D.tokens("text")}) AS t FROM documents), size AS (SELECT count(*) AS n, round(avg(len(t))::DOUBLE, 6) AS avgdl FROM tok)
+SELECT term, count(*) AS df, n, avgdl FROM (SELECT unnest(t) AS term FROM tok) x CROSS JOIN size GROUP BY ALL""")
+def stream_term_statistics(spark, sf_dir):
+    """Frequencies and sizes kept as state of a stream with changed, repeated and stale documents equal those of the final table."""
+    landing = _land(spark, sf_dir, _VERSIONS)
+    source = spark.readStream.schema("doc_id bigint, version int, text string").option("maxFilesPerTrigger", 1).parquet(landing)
+    kept = statistics.TermStatistics(spark, shared_folder(spark))
+    kept.follow(source, "doc_id", "version", shared_folder(spark)).awaitTermination()
+    return kept.frequencies().crossJoin(F.broadcast(kept.size())).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))  # one row
+
+
+@query("index_updates", catalogue_search._bm25_sql(10))
+def index_updates(spark, sf_dir):
+    """An index built on other texts, then added to, replaced, deleted from and merged, answers like one of the final documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    index = SegmentIndex(spark, shared_folder(spark))
+    index.add(docs.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" publish mapping error asset sync"))).otherwise(F.col("text"))))
+    index.add(docs.where("doc_id % 3 = 0").unionByName(docs.where("doc_id % 6 = 1").selectExpr("-1 - doc_id AS doc_id", "text")))
+    index.add(docs.where("doc_id % 4 = 0"))
+    index.delete(docs.selectExpr("-1 - doc_id AS doc_id"))
+    index.merge()
+    return index.top(V.view(spark, sf_dir, V.QUESTIONS), 10)
+
+
+_LATE = "2 hours"
+#: The batch in which an event arrives: five days at a time, a tenth of them one batch late and some three.
+_ARRIVAL = "CAST(floor((day(ts) - 1) / 5) AS INT) + CASE WHEN event_id % 37 = 0 THEN 3 WHEN event_id % 10 = 0 THEN 1 ELSE 0 END"
+
+
+@query("stream_windows", f"""WITH e AS (SELECT *, {_ARRIVAL} AS b, time_bucket(INTERVAL 1 HOUR, ts) AS start FROM events), m AS (SELECT b, max(max(ts)) OVER (ORDER BY b) - INTERVAL {_LATE} AS mark FROM e GROUP BY b),
+ k AS (SELECT e.* FROM e LEFT JOIN m ON m.b = e.b - 2 WHERE m.mark IS NULL OR e.start + INTERVAL 1 HOUR > m.mark)
+SELECT start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM k WHERE start + INTERVAL 1 HOUR <= (SELECT max(mark) FROM m) GROUP BY ALL""")
+def stream_windows(spark, sf_dir):
+    """Events in order of arrival as a stream: windows that closed, without what came after the watermark. A batch's late rows are told by the mark that the batch before it ran with."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("arrives", F.expr(_ARRIVAL))
+    last = events.agg(F.max("arrives")).first()[0]
+    landing, out = shared_folder(spark), shared_folder(spark)
+    for b in range((last if last is not None else -1) + 1):  # six batches of a month, three more for the late
+        events.where(F.col("arrives") == b).drop("arrives").coalesce(1).write.mode("append").parquet(landing)
+    source = spark.readStream.schema(events.drop("arrives").schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    ingest.append_windows(ingest.tumbling(source, late=_LATE), out, shared_folder(spark)).awaitTermination()
+    return spark.read.schema("start timestamp, event_type string, n bigint, total double").parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, vocab
 from ..functions import text as T
 from ..operators import answers, context, documents, lexical, records, retrieval, tables, vectors
-from ..operators.upsert import TableStore
+from ..operators.upsert import KeyedTable
 
 RECORDS = "issue_key string, summary string, description string, status string, resolution string, priority string, components array<string>, labels array<string>, environment string, product string, team string, is_fixed boolean, is_cancelled boolean, root_cause_extracted string, fix_applied_extracted string, workaround_extracted string, key_findings string, fix_pattern string, defect_type string, error_signature string, quality_score double, search_text string, problem_text string"
 CHUNKS = "chunk_id string, issue_key string, chunk_type string, text string, summary string, status string, priority string, components array<string>, labels array<string>, environment string, product string, team string, fix_pattern string, defect_type string, quality_score double, is_fixed boolean, is_cancelled boolean, vec array<double>"
