@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocab
 
+# fixed values: lines of contents pages, when documents come in and when chunks are shown
 TOC_LINE = r"^[\s.·…\-_]{5,}\s*\d{0,4}\s*$|^\d{1,4}\s*$"
+TOC_ENTRY = r"^.*[.…·]{4,}\s*\d+\s*$"
 
 
 def lines(c: Column) -> Column:
@@ -109,8 +111,9 @@ def plain_elements(elements: DataFrame) -> DataFrame:
 
 
 def drop_toc_chunks(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """Without chunks of which over half the lines look like a table of contents; empty ones stay."""
-    return chunks.where((F.size(lines(F.col(text))) == 0) | ~is_toc(F.col(text), 0.5))
+    """Without chunks of which over half the lines lead by dots to a page number; empty ones stay."""
+    found = lines(F.col(text))
+    return chunks.where(F.size(F.filter(found, lambda x: x.rlike(TOC_ENTRY))) * 2 <= F.size(found))
 
 
 def snippets(elements: DataFrame, order: list[str], n: int = 400) -> DataFrame:

@@ -115,9 +115,11 @@ def table_text(headers: Column, rows: Column, section: Column, page: Column, kin
     names = F.when(F.size(headers) > 0, F.array_join(headers, " | ")).otherwise(F.lit("unknown columns"))
     short = F.filter(F.transform(F.slice(rows, 1, 6), lambda r: F.array_join(F.slice(F.filter(F.transform(r, T.strip), lambda c: c != ""), 1, 3), " — ")), lambda x: x != "")
     flags = F.concat_ws("\n", F.concat(F.lit("This table lists feature flag configuration options for the "), section, F.lit(" section. It has "), F.size(rows).cast("string"), F.lit(" rows with columns: "), names, F.lit(".")), F.array_join(F.transform(short, lambda x: F.concat(F.lit("Row: "), x)), "\n"))
+    # fixed values: sentences that are embedded
+    matrix = F.concat_ws("\n", F.concat(F.lit("This is a widget configuration matrix showing how CEM Dashboard widgets behave under different feature flag combinations. Columns: "), names, F.lit(". Total "), F.size(rows).cast("string"), F.lit(" configurations.")), F.array_join(F.filter(F.transform(F.slice(rows, 1, 5), lambda r: F.when(row_sentence(headers, r) != "", F.concat(F.lit("Config: "), row_sentence(headers, r))).otherwise("")), lambda x: x != ""), "\n"))
     every = F.filter(F.transform(rows, lambda r, i: F.when(row_sentence(headers, r) != "", F.concat(F.lit("Row "), (i + 1).cast("string"), F.lit(": "), row_sentence(headers, r))).otherwise("")), lambda x: x != "")
     generic = F.concat_ws("\n", F.concat(F.lit("Table in section '"), section, F.lit("' on page "), page.cast("string"), F.lit(". Columns: "), names, F.lit(". Contains "), F.size(rows).cast("string"), F.lit(" data rows.")), F.array_join(every, "\n"))
-    return F.when(kind == "feature_flags", flags).otherwise(generic)
+    return F.when(kind == "feature_flags", flags).when(kind == "conditional_matrix", matrix).otherwise(generic)
 
 
 def flag_row(headers: Column, cells: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.segments import SegmentIndex
 from ..operators.upsert import KeyedTable
+from ..sources import paged_issues
 from ..streaming import ingest, statistics
 from . import catalogue_search
 from . import duck as D
@@ -124,3 +125,18 @@ def stream_windows(spark, sf_dir):
     source = spark.readStream.schema(events.drop("arrives").schema).option("maxFilesPerTrigger", 1).parquet(landing)
     ingest.append_windows(ingest.tumbling(source, late=_LATE), out, shared_folder(spark)).awaitTermination()
     return spark.read.schema("start timestamp, event_type string, n bigint, total double").parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("paged_issue_stream", """WITH n AS (SELECT conv_id, arg_min(text, turn) AS summary, count(*) - 1 AS n_comments FROM conversations GROUP BY conv_id)
+SELECT 'CNV-' || conv_id AS issue_key, summary, CAST(n_comments AS BIGINT) AS n_comments FROM n""")
+def paged_issue_stream(spark, sf_dir):
+    """A tracker's issues by pages as a stream that stops when a third of them are open and starts again when all are: none is lost or comes twice."""
+    paged_issues.register(spark)
+    out, checkpoint = shared_folder(spark), shared_folder(spark)
+    total = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().count()
+    for upto in (total // 3, total):
+        source = spark.readStream.format("paged_issues").options(server="evidora.sources.table_tracker:Tracker", table=f"{sf_dir}/conversations.parquet", upto=upto, page=64, comments="true").load()
+        source.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    raw = spark.read.schema("key string, raw string").parquet(out)
+    said = F.size(F.from_json(F.get_json_object("raw", "$.fields.comment.comments"), "array<struct<body:string>>"))
+    return raw.select(F.col("key").alias("issue_key"), F.get_json_object("raw", "$.fields.summary").alias("summary"), said.cast("bigint").alias("n_comments"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from evidora.operators import answers, context, documents, lexical, tables, upsert, vectors
 from evidora.plans import views as V
 from evidora.plans.engine import Engine
-from evidora.sources import files, issue_api
+from evidora.sources import files
 
 
 def test_bm25_term(spark):
@@ -55,13 +55,6 @@ def test_upsert_twice_is_once(spark):
     assert sorted(map(tuple, once.collect())) == [(1, "a"), (2, "c"), (3, "d")] == sorted(map(tuple, upsert.upsert(once, new, ["k"]).collect()))
 
 
-def test_table_store(spark, tmp_path):
-    s = upsert.TableStore(spark, str(tmp_path / "t"), "k int, v string")
-    assert s.count() == 0
-    s.apply(spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string"), ["k"], "v")
-    assert s.read().first()["v"] == "b" and s.version() == 1
-
-
 def test_smart_cap_reading_order(spark):
     rows = [(1, "hybrid", "f", i, "TEXT" if i % 2 else "TABLE_ROW", float(i)) for i in range(40)]
     r = context.smart_cap(spark.createDataFrame(rows, "qid int, route string, source_file string, sequence_id int, asset_type string, score double")).orderBy("reading_order").collect()
@@ -93,12 +86,6 @@ def test_json_source(spark, tmp_path):
     assert files.read_json_lines(spark, str(tmp_path / "x.jsonl"), "a int").count() == 2
 
 
-def test_paged_search():
-    pages = {None: {"issues": [{"k": 1}, {"k": 2}], "nextPageToken": "t"}, "t": {"issues": [{"k": 3}], "isLast": True}}
-    assert [x["k"] for x in issue_api.walk(lambda q, t, n: pages[t], "q")] == [1, 2, 3]
-    assert [x["k"] for x in issue_api.walk(lambda q, t, n: pages[t], "q", most=1)] == [1]
-
-
 def test_frames():
     assert files.parse_frames("".join(files.event_frames([{"a": 1}, {"a": "ü"}]))) == [{"type": "token", "a": 1}, {"type": "token", "a": "ü"}]
 
