@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import answer_texts
 from ..functions import text as T
+from ..functions.page_parts import sections_of
 from . import retrieval
 
 HEAD = "| Key | Summary | Status | Priority | Root Cause | Fix Applied | Relevance |\n|---|---|---|---|---|---|---|"
@@ -70,12 +69,8 @@ def missing_values(answer: Column, values: dict[str, Column]) -> Column:
 
 
 def keep_sections(markdown: str, wanted: list[str]) -> str:
-    """The sections of a Markdown text whose headings hold one of the wanted titles."""
-    if not wanted:
-        return ""
-    blocks = re.split(r"(?m)^(?=#{1,3}[ \t])", markdown)
-    titled = [(re.match(r"#{1,3}\s+(.*)", b), b.rstrip()) for b in blocks]
-    return "\n\n".join(b for m, b in titled if m and any(w.lower() in m[1].lower() for w in wanted)).strip()
+    """The sections of one answer whose headings hold one of the wanted titles; for many answers there is ``table_functions.AnswerSections``."""
+    return "\n\n".join(section for _, section in sections_of(markdown, wanted)).strip()
 
 
 def history_tail(turns: DataFrame, n: int = 6) -> DataFrame:

@@ -16,9 +16,9 @@ ROWS, FULL, MATRIX, FLAGS, BELOW = 1, 2, 4, 8, 4
 TABLES = ("TABLE_ROW", "TABLE_FRAGMENT")
 
 
-def ask(questions: DataFrame, question: Column) -> DataFrame:
+def ask(questions: DataFrame, question: Column, provider: vectors.EmbeddingProvider | None = None) -> DataFrame:
     """Adds route, conditions, missing conditions and vector of normalised questions."""
-    return questions.withColumns({"route": classify.doc_route(question), "conditions": classify.conditions(question), "missing": classify.missing_conditions(question), "qvec": vectors.embed(question)})
+    return questions.withColumns({"route": classify.doc_route(question), "conditions": classify.conditions(question), "missing": classify.missing_conditions(question), "qvec": vectors.embed(question, provider)})
 
 
 def _bits() -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
+from ..functions.page_parts import page_parts
 
 # fixed values: lines of contents pages, when documents come in and when chunks are shown
 TOC_LINE = r"^[\s.·…\-_]{5,}\s*\d{0,4}\s*$|^\d{1,4}\s*$"
@@ -46,30 +47,15 @@ def is_screenshot_table(c: Column) -> Column:
     return (F.size(lines(c)) >= 2) & ((count(vocab.SCREENSHOT_WORDS) >= 2) | (count(vocab.FILE_BROWSER_WORDS) >= 2))
 
 
-_TABLE = re.compile(r"(?:^[ \t]*\|.*\|[ \t]*$\n?){2,}", re.M)
-
-
 def split_pages(pages: DataFrame) -> DataFrame:
     """(source_file, page, ord, element_type, content) of (source_file, page, markdown): text and tables in reading order.
 
-    Runs of lines between pipes are tables. Cutting a page needs its lines in order only, so this is one Arrow pass.
+    Cutting a page needs its lines in order only, so this is one Arrow pass.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for source, page, md in zip(f["source_file"], f["page"], f["markdown"]):
-                at, n = 0, 0
-                for m in [*_TABLE.finditer(md or ""), None]:
-                    before = (md or "")[at : m.start() if m else None]
-                    plain = re.sub(r"!\[([^\]]*)\]\([^)]*\)", r"\1", before).strip()
-                    if plain:
-                        rows.append((source, page, n, "TEXT", plain))
-                        n += 1
-                    if m:
-                        rows.append((source, page, n, "TABLE", m[0].strip()))
-                        n += 1
-                        at = m.end()
+            rows = [(source, page, n, kind, content) for source, page, md in zip(f["source_file"], f["page"], f["markdown"]) for n, (kind, content) in enumerate(page_parts(md))]
             yield pd.DataFrame(rows, columns=["source_file", "page", "ord", "element_type", "content"])
 
     return pages.select("source_file", "page", "markdown").mapInPandas(run, "source_file string, page bigint, ord int, element_type string, content string")
@@ -153,19 +139,21 @@ def split_recursively(text: str, size: int = vocab.PART_SIZE, overlap: int = voc
     separator, finer = separators[at], separators[at + 1 :]
     pieces: list[str] = list(text) if separator == "" else [p + separator for p in text.split(separator)[:-1]] + [text.split(separator)[-1]]
     parts: list[str] = []
-    window: list[str] = []
+    window: deque[str] = deque()
+    held = 0
     for piece in filter(None, pieces):
         if len(piece) > size and finer:
             if window:
                 parts.append("".join(window))
-                window = []
+                window, held = deque(), 0
             parts += split_recursively(piece, size, overlap, finer)
             continue
-        if window and sum(map(len, window)) + len(piece) > size:
+        if window and held + len(piece) > size:
             parts.append("".join(window))
-            while window and (sum(map(len, window)) > overlap or sum(map(len, window)) + len(piece) > size):
-                window.pop(0)
+            while window and (held > overlap or held + len(piece) > size):
+                held -= len(window.popleft())
         window.append(piece)
+        held += len(piece)
     if window:
         parts.append("".join(window))
     return [p.strip() for p in parts if p.strip()]

@@ -29,12 +29,12 @@ def keyword_candidates(chunks: DataFrame, queries: DataFrame, most: int = vocab.
     return ranked.where(F.col("r") <= most).drop("r")
 
 
-def candidates(chunks: DataFrame, queries: DataFrame, most: int = vocab.CANDIDATES) -> DataFrame:
+def candidates(chunks: DataFrame, queries: DataFrame, most: int = vocab.CANDIDATES, provider: vectors.EmbeddingProvider | None = None) -> DataFrame:
     """(qid, chunk_id, sem, side): semantic hits and keyword hits, a semantic one winning over its double.
 
     Chunks that carry their embedding as ``vec`` are not embedded again.
     """
-    sem = vectors.top_k(queries.select("qid", vectors.embed(F.col("question")).alias("qvec")), chunks.select(F.col("chunk_id").alias("item"), (F.col("vec") if "vec" in chunks.columns else vectors.embed(F.col("text"))).alias("vec")), most, digits=4)
+    sem = vectors.top_k(queries.select("qid", vectors.embed(F.col("question"), provider).alias("qvec")), chunks.select(F.col("chunk_id").alias("item"), (F.col("vec") if "vec" in chunks.columns else vectors.embed(F.col("text"), provider)).alias("vec")), most, digits=4)
     sem = sem.select("qid", F.col("item").alias("chunk_id"), F.col("score").alias("sem"))
     found = sem.join(keyword_candidates(chunks, queries, most), ["qid", "chunk_id"], "full_outer")
     return found.select("qid", "chunk_id", F.coalesce("sem", F.lit(0.0)).alias("sem"), F.when(F.col("sem").isNull(), 1).otherwise(0).alias("side"))
@@ -58,13 +58,13 @@ def fixed_boost(fixed: Column, cancelled: Column, diagnostic: bool) -> Column:
     return F.when(fixed, vocab.WEIGHT_FIXED).when(cancelled, 0.0).otherwise(vocab.WEIGHT_FIXED * 0.3)
 
 
-def score_chunks(chunks: DataFrame, issues: DataFrame, queries: DataFrame, diagnostic: bool = True, most: int = vocab.CANDIDATES) -> DataFrame:
+def score_chunks(chunks: DataFrame, issues: DataFrame, queries: DataFrame, diagnostic: bool = True, most: int = vocab.CANDIDATES, provider: vectors.EmbeddingProvider | None = None) -> DataFrame:
     """(qid, chunk_id, issue_key, chunk_type, sem, kw, meta, score, text): every candidate with its fused score.
 
     ``issues`` (search_text) gives term statistics; they are two small tables, not state.
     """
     asked = queries.select("qid", tokens(F.col("question")).alias("q"))
-    found = candidates(chunks, queries, most).join(chunks.drop("vec"), "chunk_id").join(asked, "qid")
+    found = candidates(chunks, queries, most, provider).join(chunks.drop("vec"), "chunk_id").join(asked, "qid")
     found = found.withColumn("t", tokens(F.col("text")))
     held = found.select("chunk_id", "t").dropDuplicates(["chunk_id"]).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     times = asked.select("qid", F.explode("q").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
@@ -99,15 +99,15 @@ def relevance_cut(results: DataFrame, k: int = vocab.TOP_K, floor: float = vocab
     return ranked.where(F.col("rank") <= k)
 
 
-def retrieve(chunks: DataFrame, issues: DataFrame, queries: DataFrame, k: int = vocab.TOP_K, diagnostic: bool = True, floor: float = vocab.FLOOR, margin: float = vocab.MARGIN) -> DataFrame:
+def retrieve(chunks: DataFrame, issues: DataFrame, queries: DataFrame, k: int = vocab.TOP_K, diagnostic: bool = True, floor: float = vocab.FLOOR, margin: float = vocab.MARGIN, provider: vectors.EmbeddingProvider | None = None) -> DataFrame:
     """The flagship: hybrid retrieval, aggregated by issue and cut."""
-    return relevance_cut(by_issue(score_chunks(chunks, issues, queries, diagnostic)), k, floor, margin)
+    return relevance_cut(by_issue(score_chunks(chunks, issues, queries, diagnostic, provider=provider)), k, floor, margin)
 
 
-def retrieve_for_key(chunks: DataFrame, issues: DataFrame, keys: DataFrame, k: int = vocab.TOP_K, floor: float = vocab.FLOOR) -> DataFrame:
+def retrieve_for_key(chunks: DataFrame, issues: DataFrame, keys: DataFrame, k: int = vocab.TOP_K, floor: float = vocab.FLOOR, provider: vectors.EmbeddingProvider | None = None) -> DataFrame:
     """Issues similar to each (qid, issue_key): its own search text is the query, itself left out."""
     seeds = keys.select("qid", F.upper("issue_key").alias("own")).join(issues.select(F.col("issue_key").alias("own"), F.col("search_text").alias("question")), "own")
-    found = retrieve(chunks, issues, seeds.select("qid", "question"), k + 1, True, floor)
+    found = retrieve(chunks, issues, seeds.select("qid", "question"), k + 1, True, floor, provider=provider)
     others = found.join(seeds.select("qid", "own"), "qid").where("issue_key <> own")
     ranked = others.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
     return ranked.where(F.col("rank") <= k).drop("own")

@@ -83,7 +83,14 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, digits: int = 6, skip_eq
     width = F.pmod(F.xxhash64("item"), F.lit(parts))
     left = queries.where("qvec IS NOT NULL").select("qid", "qvec", *(["qbits"] if match else []), deal.alias("block")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
     right = items.select("item", "vec", *(["bits"] if match else []), width.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
-    kinds = {n: t for n, t in queries.select("qid").dtypes + items.select("item").dtypes}
+    local = best_pairs(left, right, ["block", "part"], k, digits, skip_equal, match)
+    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "item")))
+    return ranked.where(F.col("rank") <= k)
+
+
+def best_pairs(left: DataFrame, right: DataFrame, by: list[str], k: int, digits: int = 6, skip_equal: bool = False, match: bool = False) -> DataFrame:
+    """(qid, item, score): where queries (qid, qvec) and items (item, vec) of one group meet, the k best items of each query; one matrix product a group."""
+    kinds = {n: t for n, t in left.select("qid").dtypes + right.select("item").dtypes}
 
     def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
         return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
@@ -113,9 +120,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, digits: int = 6, skip_eq
                 scores.append(s[best])
         return pa.table([a.column("qid").take(pa.array(np.concatenate(of))), names.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(scores))], schema=schema)
 
-    local = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, f"qid {kinds['qid']}, item {kinds['item']}, score double")
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "item")))
-    return ranked.where(F.col("rank") <= k)
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, f"qid {kinds['qid']}, item {kinds['item']}, score double")
 
 
 def merge_best(hits: DataFrame, key: str = "item", by: tuple[str, ...] = ("score", "qpos")) -> DataFrame:

@@ -175,12 +175,18 @@ def flag_rows(spark, sf_dir):
     return t.select("source_file", "page", F.element_at("cells", 1).alias("description"), r["product"].alias("product"))
 
 
-@query("widget_rows", "SELECT * FROM (VALUES (1, 'widget_user_enabled_coexist_disabled_energy_yes_eo_no', 'User Enabled | Coexist Disabled | Energy Default Yes | EO Default No'), (2, 'widget_user_disabled_energy_no', 'User Disabled | Energy Default No')) AS t(id, row_id, row_label)")
+_STATES = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Enabl ed' WHEN 1 THEN 'disabled' ELSE '' END AS u, CASE WHEN o_orderkey % 2 = 0 THEN 'Disabled' ELSE '' END AS c, CASE o_orderstatus WHEN 'O' THEN 'yes' WHEN 'F' THEN 'Disabled' ELSE '' END AS e, CASE WHEN o_orderkey % 5 = 0 THEN 'NO' ELSE '' END AS o FROM orders"
+_NAMED = "CASE id % 3 WHEN 0 THEN 'Enabled' WHEN 1 THEN 'Disabled' END AS un, CASE WHEN c <> '' THEN c END AS cn, CASE e WHEN 'yes' THEN 'Yes' WHEN 'Disabled' THEN 'No' END AS en, CASE WHEN o <> '' THEN 'No' END AS onn"
+
+
+@query("widget_rows", f"""WITH n AS (SELECT id, {_NAMED} FROM ({_STATES}) s) SELECT id, CASE WHEN coalesce(un, cn, en, onn) IS NULL THEN '' ELSE 'widget_' || concat_ws('_', 'user_' || lower(un), 'coexist_' || lower(cn), 'energy_' || lower(en), 'eo_' || lower(onn)) END AS row_id,
+ concat_ws(' | ', 'User ' || un, 'Coexist ' || cn, 'Energy Default ' || en, 'EO Default ' || onn) AS row_label FROM n""")
 def widget_rows(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM (VALUES (1, array('Enabl ed', 'Disabled', 'yes', 'NO')), (2, array('disabled', '', 'Disabled', ''))) AS t(id, cells)")
+    """Ids and labels of matrix rows with the states of every order, broken spellings repaired."""
+    V.register(spark, sf_dir, "orders")
     headers = F.array(*map(F.lit, ["User Feature Flag", "Coexist Flag", "Energy Default Baseline", "EO Default"]))
-    r = tables.matrix_row(headers, F.col("cells"))
-    return rows.select("id", r["row_id"].alias("row_id"), r["row_label"].alias("row_label"))
+    r = tables.matrix_row(headers, F.array("u", "c", "e", "o"))
+    return spark.sql(_STATES).select("id", r["row_id"].alias("row_id"), r["row_label"].alias("row_label"))
 
 
 _CHUNKS = f"SELECT source_file, CAST(pdf_page_number AS INTEGER) AS sequence_id, CASE WHEN element_type = 'TEXT' THEN 'TEXT' ELSE 'TABLE_ROW' END AS asset_type, 'S' || CAST(CAST(floor(pdf_page_number / 7.0) AS BIGINT) AS STRING) AS section FROM ({V.ELEMENTS}) e"

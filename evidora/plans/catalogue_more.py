@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import classify
+from ..functions import classify, table_functions
 from ..functions import text as T
 from ..operators import context, conversations, routes, tables, vectors
 from . import catalogue_documents, catalogue_search
@@ -90,10 +90,17 @@ def table_group_rows(spark, sf_dir):
     return routes.group_rows(rows, rows.select("group_id").distinct(), 20).select("group_id", "asset_type", "sequence_id")
 
 
-@query("row_texts", "SELECT * FROM (VALUES (1, 'Feature flag row for Nice view. abcEnable feature flag. Product P1. Applicable to all.', 'Widget matrix row.'), (2, 'Feature flag row for no flag.', 'Widget matrix row. Coexist Feature Flag Enabled.')) AS t(id, flag_text, matrix_text)")
+_CELLS = "SELECT o_orderkey AS id, lower(o_orderpriority) AS label, CASE WHEN o_orderkey % 2 = 0 THEN 'ena' ELSE 'Disabled' END AS state, CASE o_orderkey % 3 WHEN 0 THEN '' ELSE o_orderstatus END AS product FROM orders"
+
+
+@query("row_texts", f"""SELECT id, 'Feature flag row for ' || label || '. flag' || CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END || 'Rows feature flag.' || CASE WHEN product <> '' THEN ' Product ' || product || '.' ELSE '' END AS flag_text,
+ 'Widget matrix row. Coexist Feature Flag ' || CASE WHEN state = 'ena' THEN 'Enabled' ELSE state END || '.' AS matrix_text FROM ({_CELLS}) c""")
 def row_texts(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM (VALUES (1, array('Description', 'Flag name', 'Product', 'Applicable'), array('Nice view', 'abcEnable', 'P1', 'all')), (2, array('Description', 'Coexist', 'x', 'y'), array('no flag', 'ena', '', ''))) AS t(id, headers, cells)")
-    r, m = tables.flag_row(F.col("headers"), F.col("cells")), tables.matrix_row(F.col("headers"), F.col("cells"))
+    """Texts of a flag row and of a matrix row made of every order."""
+    V.register(spark, sf_dir, "orders")
+    rows = spark.sql(_CELLS).withColumn("flag", F.when(F.col("id") % 2 == 0, "flagevenRows").otherwise("flagoddRows"))
+    r = tables.flag_row(F.array(*map(F.lit, ["Description", "Flag name", "Product"])), F.array("label", "flag", "product"))
+    m = tables.matrix_row(F.array(*map(F.lit, ["Description", "Coexist"])), F.array("label", "state"))
     return rows.select("id", tables.flag_row_text(r).alias("flag_text"), tables.matrix_row_text(m).alias("matrix_text"))
 
 
@@ -192,3 +199,28 @@ def reading_context(spark, sf_dir):
     hits = routes.route_hits(chunks, asked)
     capped = context.smart_cap(hits.join(chunks.drop("vec"), ["source_file", "sequence_id"]))
     return answers.context_blocks(capped.withColumn("page", F.col("sequence_id")).withColumn("display", F.col("section")))
+
+
+_MARKDOWN = "SELECT 'f' || CAST(CAST(floor(doc_id / 50.0) AS BIGINT) AS STRING) || '.md' AS source_file, doc_id AS page, CASE WHEN doc_id % 2 = 0 THEN 'Before ' || md5(text) || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || lang || ' | ' || source || ' |' || chr(10) || 'After ![shot ' || CAST(doc_id AS STRING) || '](x.png)' ELSE '  Only ' || md5(text) || chr(10) END AS markdown, md5(text) AS d, lang, source FROM documents"
+
+
+@query("elements_by_table_function", f"""WITH m AS ({_MARKDOWN}), p AS (SELECT source_file, page, 0 AS i, 'TEXT' AS element_type, CASE WHEN page % 2 = 0 THEN 'Before ' ELSE 'Only ' END || d AS content FROM m
+ UNION ALL SELECT source_file, page, 1, 'TABLE', '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || lang || ' | ' || source || ' |' FROM m WHERE page % 2 = 0 UNION ALL SELECT source_file, page, 2, 'TEXT', 'After shot ' || page FROM m WHERE page % 2 = 0)
+SELECT source_file, page, element_type, content, CAST(row_number() OVER (PARTITION BY source_file ORDER BY page, i) - 1 AS INTEGER) AS ord FROM p""")
+def elements_by_table_function(spark, sf_dir):
+    """Pages of every file cut in order by one SQL statement; numbers go on from page to page."""
+    table_functions.register(spark)
+    V.view(spark, sf_dir, _MARKDOWN).select("source_file", "page", "markdown").createOrReplaceTempView("evidora_pages")
+    return spark.sql("SELECT source_file, page, element_type, content, ord FROM document_elements(TABLE(evidora_pages) PARTITION BY source_file ORDER BY page)")
+
+
+_SAID = "SELECT doc_id, '## Root Causes' || chr(10) || md5(text) || chr(10) || '## How Fixed' || chr(10) || lang || chr(10) || chr(10) || '### Root notes ' || chr(10) || source AS answer, lang, source, md5(text) AS d FROM documents"
+
+
+@query("sections_by_table_function", f"""WITH a AS ({_SAID}), s AS (SELECT doc_id, CAST(1 AS INTEGER) AS place, 'Root Causes' AS title, '## Root Causes' || chr(10) || d AS section FROM a WHERE doc_id % 3 = 0
+ UNION ALL SELECT doc_id, CAST(2 AS INTEGER), 'Root notes', '### Root notes ' || chr(10) || source FROM a WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, CAST(1 AS INTEGER), 'How Fixed', '## How Fixed' || chr(10) || lang FROM a WHERE doc_id % 3 = 1) SELECT * FROM s""")
+def sections_by_table_function(spark, sf_dir):
+    """Wanted sections of every answer, by LATERAL: two kinds of wishes, and none."""
+    table_functions.register(spark)
+    V.view(spark, sf_dir, _SAID).createOrReplaceTempView("evidora_answers")
+    return spark.sql("SELECT a.doc_id, s.place, s.title, s.section FROM evidora_answers a, LATERAL answer_sections(a.answer, CASE doc_id % 3 WHEN 0 THEN array('ROOT') WHEN 1 THEN array('fixed') ELSE array() END) s")

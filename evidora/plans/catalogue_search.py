@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, vocab
 from ..functions import text as T
-from ..operators import answers, lexical, retrieval, vectors
+from ..operators import answers, clusters, lexical, retrieval, vectors
 from . import duck as D
 from . import views as V
 from .catalogue_records import _CANCELLED, _FIXED
@@ -46,6 +46,12 @@ def vector_topk(spark, sf_dir):
     return vectors.top_k(_asked(spark, sf_dir, "vec_id % 20 = 0"), _vectors(spark, sf_dir), 3, skip_equal=True)
 
 
+@query("vector_topk_clustered", _vector_sql("TRUE", "q.vec_id % 20 = 0", 3))
+def vector_topk_clustered(spark, sf_dir):
+    """The same search over clusters, of which those are left out that can't reach the third score."""
+    return clusters.ClusteredVectors(_vectors(spark, sf_dir)).search(_asked(spark, sf_dir, "vec_id % 20 = 0"), 3, skip_equal=True)
+
+
 @query("vector_topk_filtered", _vector_sql("c.label = 3", "q.vec_id % 20 = 0", 5))
 def vector_topk_filtered(spark, sf_dir):
     return vectors.top_k(_asked(spark, sf_dir, "vec_id % 20 = 0"), _vectors(spark, sf_dir, "label = 3"), 5, skip_equal=True)

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import classify, vocab
 from ..functions import text as T
 from ..operators import answers, conversations, document_answers, document_chunks, lexical, records, retrieval, vectors
+from ..operators.providers import EmbeddedTexts
 from ..operators.upsert import KeyedTable
 from ..sources import files, paged_issues
 
@@ -33,8 +34,9 @@ HELP = "Ask about an issue, its root cause or similar issues, by text or by key.
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str, floor: float = vocab.FLOOR, top_k: int = vocab.TOP_K, base_url: str = ""):
-        self.spark, self.floor, self.top_k, self.base_url = spark, floor, top_k, base_url
+    def __init__(self, spark: SparkSession, folder: str, floor: float = vocab.FLOOR, top_k: int = vocab.TOP_K, base_url: str = "", provider: vectors.EmbeddingProvider | None = None):
+        self.spark, self.floor, self.top_k, self.base_url, self.provider = spark, floor, top_k, base_url, provider
+        self.vectors = EmbeddedTexts(spark, f"{folder.rstrip('/')}/vectors", provider)
         table = lambda name, schema, key, many: KeyedTable(spark, f"{folder.rstrip('/')}/{name}", schema, [key], many=many)
         self.records, self.chunks, self.pages = table("records", RECORDS, "issue_key", False), table("chunks", CHUNKS, "issue_key", True), table("pages", PAGES, "source_file", True)
 
@@ -65,7 +67,7 @@ class Engine:
         normal = records.normalize(found, drop_cancelled=drop_cancelled).persist()  # records and chunks are of the same issues
         try:
             self.records.apply(normal)
-            self.chunks.apply(records.chunks(normal).withColumn("vec", vectors.embed(F.col("text"))))
+            self.chunks.apply(self.vectors.add(records.chunks(normal), "text"))
         finally:
             normal.unpersist()
         return self.records.count()
@@ -79,7 +81,7 @@ class Engine:
             fresh = document_chunks.chunks_of(elements).persist()
             try:
                 progress({"stage": "embedding", "chunks": fresh.count()})
-                self.pages.apply(fresh.withColumn("vec", vectors.embed(F.col("embed_text"))), name)
+                self.pages.apply(self.vectors.add(fresh, "embed_text"), name)
             finally:
                 fresh.unpersist()
         finally:
@@ -112,12 +114,12 @@ class Engine:
 
     def search(self, questions: DataFrame, diagnostic: bool = True) -> DataFrame:
         """Retrieval results of (qid, question) with the records of their issues."""
-        found = retrieval.retrieve(self.chunks.read(), self.records.read(), questions, self.top_k, diagnostic, self.floor)
+        found = retrieval.retrieve(self.chunks.read(), self.records.read(), questions, self.top_k, diagnostic, self.floor, provider=self.provider)
         return found.join(self.records.read().drop("search_text", "problem_text"), "issue_key", "left")
 
     def similar(self, key: str) -> DataFrame:
         keys = self.spark.createDataFrame([(1, key)], "qid int, issue_key string")
-        found = retrieval.retrieve_for_key(self.chunks.read(), self.records.read(), keys, self.top_k, self.floor)
+        found = retrieval.retrieve_for_key(self.chunks.read(), self.records.read(), keys, self.top_k, self.floor, self.provider)
         return found.join(self.records.read().drop("search_text", "problem_text"), "issue_key", "left")
 
     def _messages(self, history: list[dict] | None) -> list[dict]:
@@ -171,7 +173,7 @@ class Engine:
         """
         began = time.perf_counter()
         normal = self._question(question).select("qid", T.normalize_question(F.col("question")).alias("question"))
-        asked = document_answers.ask(normal, F.col("question")).persist()
+        asked = document_answers.ask(normal, F.col("question"), self.provider).persist()
         row = asked.drop("qvec").first()
         chunks = self.pages.read()
         hits = document_answers.route_hits(chunks, asked, k).persist()
