@@ -99,8 +99,9 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     shares = kept.join(stats, GROUP).select(*GROUP, "term", share("n", "size", "kept").alias("p"), share("total", "all", "kept").alias("q"), "b")
 
     other = stats.select("lang", F.col("source").alias("item"), F.col("b").alias("c"))
-    base = stats.join(other, "lang").where("source <> item").select(*GROUP, "item", F.coalesce(F.col("kept") * gap("b", "c"), F.lit(0)).alias("value"))
-    alone = shares.groupBy(*GROUP, "p", "b").agg(F.count("*").alias("n")).join(other, "lang").where("source <> item")
+    couples = materialize(stats.join(other, "lang").where("source <> item").select(*GROUP, "item", "kept", "b", "c"))
+    base = couples.select(*GROUP, "item", F.coalesce(F.col("kept") * gap("b", "c"), F.lit(0)).alias("value"))
+    alone = shares.groupBy(*GROUP, "p", "b").agg(F.count("*").alias("n")).join(couples.select(*GROUP, "item", "c"), GROUP)  # by group, as languages are few
     alone = alone.groupBy(*GROUP, "item").agg(F.sum(F.col("n") * (gap("p", "c") - gap("b", "c"))).alias("value"))
     left, right = shares.select(*GROUP, "term", "p", "b"), shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("r"), F.col("b").alias("c"))
     shared = left.join(right, ["lang", "term"]).where("source < item").groupBy(*GROUP, "item").agg(F.sum(gap("p", "r") - gap("p", "c") - gap("b", "r") + gap("b", "c")).alias("value"))
