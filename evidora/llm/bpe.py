@@ -9,7 +9,8 @@ boundaries fit again.
 Defined cases: a null text is the empty text; an empty text has no tokens, whose digests are
 those of the empty string; pieces are cut by the pattern first and encoded separately; a piece
 that is itself in the vocabulary is that one token; long runs without a cut are handled by the
-same table in linear time. Extra columns pass through ``encode_documents`` only if asked for.
+same table in linear time; null ids stay null, repeated rows are
+encoded each, an empty table gives no rows. Extra columns pass through ``encode_documents`` only if asked for.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ The trees are trained here, on pages that ``sample_pages`` makes by rule: contai
 telling names, around made-up prose, in many orders. No page of a corpus is needed.
 
 Defined cases: null or empty html gives an empty text; pages may end anywhere; plain text without any
-element is the text itself; repeated rows give repeated rows; other columns are ignored.
+element is the text itself; repeated rows give repeated rows; an empty table gives no rows; very long
+pages are read whole, in linear time; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -37,7 +37,7 @@ Counts = list[int]
 def text_bits(text: str = "text") -> Column:
     """Bits A to D of a text, as an int; all in one projection without Python."""
     words = F.array_remove(F.split(text, SPACES), "")
-    n, distinct = F.size(words), F.size(F.array_distinct(words))
+    n, distinct = F.size(words).cast("long"), F.size(F.array_distinct(words)).cast("long")
     capitals = F.char_length(F.regexp_replace(text, "[^A-Z]+", ""))
     failed = [n < LEAST_WORDS, distinct * 100 < n * LEAST_DISTINCT, capitals.cast("long") * 100 > F.char_length(text).cast("long") * MOST_CAPITALS, F.col(text).rlike("[#$%&*|]")]
     return sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(failed)), F.lit(0))

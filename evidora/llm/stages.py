@@ -1,7 +1,11 @@
 """Operators as stages: documents in, documents out.
 
 All columns of the input pass through unchanged and in order, whatever their names; only ``text`` is
-replaced by the masking stage (and ``n_chars``, where there is one, follows it). Nulls stay null.
+replaced by the masking stage (and ``n_chars``, where there is one, follows it). Nulls stay null. The last stage,
+``encode``, keeps doc_id, lang and source and encodes a null text as the empty one.
+
+Defined cases: repeated rows are near copies of each other, of which one stays; of equally small ids the near-copy stage keeps one by the text; very
+long texts are read whole; an empty table stays empty; without labels no document is toxic.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ so a text falls apart at its space marks without changing the best path; parts a
 
 Defined cases: a null or empty text has no tokens and score 0; spaces become space marks and one
 is put in front of a text that isn't empty; control, unknown and byte entries of the vocabulary
-never match text.
+never match text; null ids stay null, repeated rows are counted each, an empty table gives no rows; a very long
+text is counted part by part; other columns are never read.
 """
 
 from __future__ import annotations

@@ -307,6 +307,7 @@ def test_unigram_ties_and_unknowns():
 def test_unigram_documents(spark):
     got = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in unigram.count_tokens(frame(spark), PIECES).collect())
     assert got == sorted((i or 0, COUNTER.count(t or "")[0]) for i, t in ODD)
+    assert unigram.count_tokens(frame(spark, []), PIECES).count() == 0
 
 
 # --- 8 -----------------------------------------------------------------------------------------------
