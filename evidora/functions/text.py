@@ -89,8 +89,9 @@ def first_nonempty(*parts: Column) -> Column:
 
 
 def error_signature(c: Column) -> Column:
-    """Up to six distinct (whatever their case) error phrases, joined by '; '."""
-    found = F.transform(F.regexp_extract_all(blank(c), F.lit("(?i)(" + "|".join(vocab.ERROR_PATTERNS) + ")"), F.lit(1)), strip)
+    """Up to six distinct (whatever their case) error phrases, joined by '; '. All begin at a word's edge, so that is asked once, not by every pattern."""
+    begun = "|".join(p.removeprefix(r"\b") for p in vocab.ERROR_PATTERNS)
+    found = F.transform(F.regexp_extract_all(blank(c), F.lit(rf"(?i)(\b(?:{begun}))"), F.lit(1)), strip)
 
     def distinct(phrases: Column) -> Column:
         return let(F.transform(phrases, F.lower), lambda low: F.filter(phrases, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))

@@ -106,12 +106,12 @@ def ui_table_filter(spark, sf_dir):
 
 @query("slugs", "SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '[^\\p{L}\\p{N}_\\s\\-]', '', 'g'), '[\\s_\\-]+', '_', 'g'), '^_+|_+$', '', 'g'), 80) AS slug FROM documents")
 def slugs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.slug(F.col("text")).alias("slug"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("section_numbers", "SELECT doc_id, regexp_extract(t, '^(\\d[\\d.]*)\\s+(.*)', 1) AS number, CASE WHEN regexp_matches(t, '^\\d[\\d.]*\\s+') THEN regexp_extract(t, '^(\\d[\\d.]*)\\s+(.*)', 2) ELSE t END AS title FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 9 + 1 AS VARCHAR) || '.' || CAST(doc_id % 5 AS VARCHAR) || ' Setup of ' || lang ELSE 'Setup of ' || lang END AS t FROM documents) x")
 def section_numbers(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = V.table(spark, sf_dir, "documents")
     t = F.when(F.col("doc_id") % 2 == 0, F.concat((F.col("doc_id") % 9 + 1).cast("string"), F.lit("."), (F.col("doc_id") % 5).cast("string"), F.lit(" Setup of "), "lang")).otherwise(F.concat(F.lit("Setup of "), "lang"))
     return d.select("doc_id", T.section_id(t).alias("number"), T.section_title(t).alias("title"))
 
@@ -168,7 +168,7 @@ def table_chunks(spark, sf_dir):
     return tables.table_chunks(t)
 
 
-@query("flag_rows", f"SELECT source_file, page, lower('f' || doc_id) AS description, lang AS product FROM (SELECT *, source AS source_file, CAST(floor(doc_id / 20.0) AS BIGINT) + 1 AS page FROM documents WHERE floor(doc_id / 20.0) % 5 = 4) x")
+@query("flag_rows", f"SELECT source_file, page, lower('f' || doc_id) AS description, lang AS product FROM (SELECT *, source || '-' || CAST(CAST(floor(doc_id / 10000.0) AS BIGINT) AS STRING) AS source_file, CAST(floor(doc_id / 20.0) AS BIGINT) + 1 AS page FROM documents WHERE floor(doc_id / 20.0) % 5 = 4) x")
 def flag_rows(spark, sf_dir):
     t = tables.parse_table(V.view(spark, sf_dir, _TABLES), "content").select("source_file", "page", "headers", F.explode("rows").alias("cells"))
     r = tables.flag_row(F.col("headers"), F.col("cells"))

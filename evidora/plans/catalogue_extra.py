@@ -64,7 +64,7 @@ def image_search(spark, sf_dir):
 @query("stored_index_search", catalogue_search._bm25_sql(10))
 def stored_index_search(spark, sf_dir):
     """The index is written once and only read by the search."""
-    index = lexical.StoredIndex(spark, shared_folder(spark)).build(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    index = lexical.StoredIndex(spark, shared_folder(spark)).build(V.table(spark, sf_dir, "documents"))
     return index.top(V.view(spark, sf_dir, V.QUESTIONS), 10)
 
 
@@ -129,17 +129,17 @@ def query_variants(spark, sf_dir):
 
 @query("fused_answers", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE {D.text(answer_texts.DEFECT_HEADER)} || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || {D.text(answer_texts.DOC_HEADER)} || chr(10) || chr(10) || lang END AS answer, trim(text) AS question FROM documents")
 def fused_answers(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = V.table(spark, sf_dir, "documents")
     return d.select("doc_id", answers.fused_answer(F.col("text"), F.when(F.col("doc_id") % 3 != 0, F.col("lang"))).alias("answer"), answers.document_question(F.col("text")).alias("question"))
 
 
 @query("paged_scroll", "SELECT doc_id, source FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 250")
 def paged_scroll(spark, sf_dir):
-    return upsert.scroll(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "doc_id", 250, 100)
+    return upsert.scroll(V.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 250, 100)
 
 
 _POINTS = f"SELECT DISTINCT source_file, pdf_page_number AS sequence_id, element_type FROM ({V.ELEMENTS}) e"
-_WANTED = "SELECT source AS source_file, n_chars % 40 AS sequence_id FROM documents"
+_WANTED = "SELECT source || '-' || CAST(CAST(floor(doc_id / 10000.0) AS BIGINT) AS STRING) AS source_file, n_chars % 40 AS sequence_id FROM documents"
 
 
 @query("point_lookup", f"SELECT * FROM ({_POINTS}) p WHERE (source_file, sequence_id) IN (SELECT source_file, sequence_id FROM ({_WANTED}) w)")

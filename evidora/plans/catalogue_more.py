@@ -80,7 +80,7 @@ def validated_followups(spark, sf_dir):
     return routes.validated_followups(h.select("qid", "pos").distinct(), h).select("qid", "pos", "place")
 
 
-_GROUPS = "SELECT CAST(l_orderkey % 40 AS STRING) AS group_id, CASE WHEN l_linenumber = 1 THEN 'TABLE_FULL' ELSE 'TABLE_ROW' END AS asset_type, 'f' AS source_file, l_orderkey * 10 + l_linenumber AS sequence_id FROM lineitem"
+_GROUPS = "SELECT CAST(CAST(floor(l_orderkey / 200.0) AS BIGINT) AS STRING) AS group_id, CASE WHEN l_linenumber = 1 THEN 'TABLE_FULL' ELSE 'TABLE_ROW' END AS asset_type, 'f' AS source_file, l_orderkey * 10 + l_linenumber AS sequence_id FROM lineitem"
 
 
 @query("table_group_rows", f"SELECT group_id, asset_type, sequence_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id, asset_type ORDER BY source_file, sequence_id) AS r FROM ({_GROUPS}) g) x WHERE r <= CASE WHEN asset_type = 'TABLE_FULL' THEN 1 ELSE 20 END")
@@ -178,7 +178,7 @@ def evidence_prompts(spark, sf_dir):
 @query("embedded_texts", f"SELECT vec_id AS doc_id, round(sqrt(sum(n * n)), 6) AS raw_norm FROM (SELECT doc_id AS vec_id, CAST('0x' || substr(md5(t), 1, 2) AS INTEGER) % 64 AS b, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest({D.tokens('text')}) AS t FROM documents) x GROUP BY ALL) y GROUP BY vec_id")
 def embedded_texts(spark, sf_dir):
     """Length of the raw bucket counts behind each hashed embedding: tokens over the largest share."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", vectors.embed(F.col("text")).alias("v"), F.size(T.tokens(F.col("text"))).alias("n"))
+    d = V.table(spark, sf_dir, "documents").select("doc_id", vectors.embed(F.col("text")).alias("v"), F.size(T.tokens(F.col("text"))).alias("n"))
     total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
     return d.where("n > 0").select("doc_id", F.round(F.col("n") / total, 6).alias("raw_norm"))
 

@@ -27,7 +27,7 @@ def _masked(name: str, pattern: str, mark: str, flags: str = "g") -> None:
 
     @query(f"mask_{name}", sql)
     def run(spark, sf_dir):
-        return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.mask(F.col("text"), name).alias("masked"))
+        return V.table(spark, sf_dir, "documents").select("doc_id", T.mask(F.col("text"), name).alias("masked"))
 
 
 for _n, _, _p, _m in vocab.MASKS:
@@ -41,23 +41,23 @@ for _n, _, _p, _m in vocab.MASKS:
 
 @query("clean_text")
 def clean_text(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
 
 
 @query("strip_markup", f"""SELECT doc_id, {D.collapse("regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '[*_#>`~]{1,3}', ' ', 'g'), '\\[([^\\]|]+)\\|[^\\]]+\\]', '\\1', 'g'), '\\{[a-z]+(:[^}]*)?\\}', ' ', 'g')".join(["regexp_replace(", ", '(?i)!\\[[^\\]]*\\]\\([^)]*\\)|!\\[[^\\]]*\\]|![^!\\n]+\\.(?:png|jpg|jpeg|gif)[^!\\n]*!', ' ', 'g')"]))} AS cleaned FROM documents""")
 def strip_markup(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.clean(F.col("text"), masked=False).alias("cleaned"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text"), masked=False).alias("cleaned"))
 
 
 @query("tokenize_counts", f"SELECT doc_id, len({D.tokens('text')}) AS n_tokens, len(list_distinct({D.tokens('text')})) AS n_distinct FROM documents")
 def tokenize_counts(spark, sf_dir):
     t = T.tokens(F.col("text"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
 
 
 @query("truncate_texts", f"SELECT doc_id, {D.truncate('text', 220)} AS short FROM documents")
 def truncate_texts(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.truncate(F.col("text"), 220).alias("short"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 220).alias("short"))
 
 
 @query("extract_keys", f"SELECT issue_key, array_to_string(list_transform(list_sort(list_distinct(list_transform(regexp_extract_all(upper(description), '\\b([A-Z][A-Z0-9]+-\\d{{2,}})\\b', 1), lambda k: k))), lambda k: k), ',') AS keys, split_part(issue_key, '-', 1) AS project FROM ({V.DEFECTS}) d")
@@ -107,7 +107,7 @@ def quality_score(spark, sf_dir):
 
 @query("stable_ids", "SELECT doc_id, 'doc_' || substr(sha256(source || '||' || CAST(doc_id AS VARCHAR)), 1, 16) AS stable, regexp_replace(substr(sha256(source || '||' || text), 1, 32), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS point, source || '||' || CAST(doc_id AS VARCHAR) AS chunk_key FROM documents")
 def stable_ids(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = V.table(spark, sf_dir, "documents")
     return d.select("doc_id", ids.stable_id(F.col("source"), F.col("doc_id"), prefix="doc_").alias("stable"), ids.point_id(F.col("source"), F.col("text")).alias("point"), ids.chunk_key(F.col("source"), F.col("doc_id"), F.col("text")).alias("chunk_key"))
 
 
@@ -201,12 +201,12 @@ def delete_by_key(spark, sf_dir):
 
 @query("distinct_sources", "SELECT DISTINCT source AS source_file FROM documents WHERE source <> ''")
 def distinct_sources(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("source <> ''").select(F.col("source").alias("source_file")).distinct()
+    return V.table(spark, sf_dir, "documents").where("source <> ''").select(F.col("source").alias("source_file")).distinct()
 
 
 @query("payload_projection", "SELECT doc_id, coalesce(nullif(text, ''), source) AS display FROM documents WHERE lang = 'en' AND n_chars BETWEEN 100 AND 4000")
 def payload_projection(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' AND n_chars BETWEEN 100 AND 4000")
+    d = V.table(spark, sf_dir, "documents").where("lang = 'en' AND n_chars BETWEEN 100 AND 4000")
     return d.select("doc_id", T.first_nonempty(F.col("text"), F.col("source")).alias("display"))
 
 

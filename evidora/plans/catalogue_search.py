@@ -74,19 +74,19 @@ _TERMS = f"SELECT doc_id, unnest({D.tokens('text')}) AS term FROM documents"
 
 @query("doc_frequency", f"SELECT term, count(DISTINCT doc_id) AS df FROM ({_TERMS}) t GROUP BY term")
 def doc_frequency(spark, sf_dir):
-    return lexical.document_frequency(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return lexical.document_frequency(V.table(spark, sf_dir, "documents"))
 
 
 @query("idf_table", f"SELECT term, round(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df FROM ({_TERMS}) t GROUP BY term) x")
 def idf_table(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = V.table(spark, sf_dir, "documents")
     n = lexical.collection_size(d)
     return lexical.document_frequency(d).crossJoin(F.broadcast(n)).select("term", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))  # one row
 
 
 @query("frequency_update", f"SELECT term, count(DISTINCT doc_id) AS df FROM ({_TERMS}) t GROUP BY term")
 def frequency_update(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = V.table(spark, sf_dir, "documents")
     return lexical.updated_frequency(lexical.document_frequency(d.where("doc_id % 4 <> 0")), d.where("doc_id % 4 = 0"))
 
 
@@ -100,7 +100,7 @@ def _bm25_sql(k: int) -> str:
 
 @query("bm25_topk", _bm25_sql(10))
 def bm25_topk(spark, sf_dir):
-    return lexical.bm25_top(spark.read.parquet(f"{sf_dir}/documents.parquet"), V.view(spark, sf_dir, V.QUESTIONS), 10)
+    return lexical.bm25_top(V.table(spark, sf_dir, "documents"), V.view(spark, sf_dir, V.QUESTIONS), 10)
 
 
 
@@ -263,11 +263,11 @@ def previous_question(spark, sf_dir):
 
 @query("no_answer_check", f"SELECT doc_id, CASE WHEN {D.has_any('lower(a)', vocab.NO_ANSWER_PHRASES)} THEN {D.text(vocab.NO_SOLUTION)} ELSE a END AS answer FROM (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' The manual Does Not Mention it.' ELSE '' END AS a FROM documents) x")
 def no_answer_check(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = V.table(spark, sf_dir, "documents")
     a = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " The manual Does Not Mention it.").otherwise(""))
     return d.select("doc_id", T.without_no_answer(a).alias("answer"))
 
 
 @query("table_cells", f"SELECT doc_id, CASE WHEN length(c) > 90 THEN left(c, 89) || '…' WHEN c = '' THEN 'n/a' ELSE c END AS cell FROM (SELECT doc_id, {D.strip(chr(39).join(['replace(replace(text, ', '|', ', ', chr(92) + '|', '), chr(10), ', ' ', ')']))} AS c FROM documents) x")
 def table_cells(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.table_cell(F.col("text")).alias("cell"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", T.table_cell(F.col("text")).alias("cell"))

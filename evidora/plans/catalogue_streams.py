@@ -97,7 +97,7 @@ def stream_term_statistics(spark, sf_dir):
 @query("index_updates", catalogue_search._bm25_sql(10))
 def index_updates(spark, sf_dir):
     """An index built on other texts, then added to, replaced, deleted from and merged, answers like one of the final documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
     index = SegmentIndex(spark, shared_folder(spark))
     index.add(docs.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" publish mapping error asset sync"))).otherwise(F.col("text"))))
     index.add(docs.where("doc_id % 3 = 0").unionByName(docs.where("doc_id % 6 = 1").selectExpr("-1 - doc_id AS doc_id", "text")))

@@ -24,8 +24,9 @@ FROM documents"""
 COMMENTS = """
 SELECT 'EVD-' || CAST(1000 + conv_id AS STRING) AS issue_key, turn AS pos, role AS author, text AS body FROM conversations"""
 
+#: Pages of documents: a file a source and 500 pages, so that there are more files, not longer ones, as the table grows.
 ELEMENTS = """
-SELECT source AS source_file, CAST(floor(doc_id / 20.0) AS BIGINT) + 1 AS pdf_page_number,
+SELECT source || '-' || CAST(CAST(floor(doc_id / 10000.0) AS BIGINT) AS STRING) AS source_file, CAST(floor(doc_id / 20.0) AS BIGINT) + 1 AS pdf_page_number,
  CASE WHEN floor(doc_id / 20.0) % 5 = 4 THEN 'TABLE' ELSE 'TEXT' END AS element_type,
  CASE WHEN floor(doc_id / 20.0) % 12 = 0 THEN 'Part ' || CAST(CAST(floor(doc_id / 240.0) AS BIGINT) AS STRING) END AS h1_here,
  CASE WHEN floor(doc_id / 20.0) % 3 = 0 THEN 'Topic ' || CAST(CAST(floor(doc_id / 60.0) AS BIGINT) AS STRING) END AS h2_here,
@@ -66,9 +67,22 @@ def spark_sql(text: str) -> str:
     return text.replace("* EXCLUDE", "* EXCEPT")
 
 
+#: Bytes a core below which a table is dealt out before it is read.
+SMALL = 16 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. One with fewer files than there are cores, and little for each core, is dealt over the cores, as a file of
+    one row group keeps but one of them busy; all others are read as they lie, without a shuffle."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores and len(df.inputFiles()) < cores else df
+
+
 def register(spark: SparkSession, sf_dir: str, *tables: str) -> None:
     for t in tables:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        (table(spark, sf_dir, t) if t == "documents" else spark.read.parquet(f"{sf_dir}/{t}.parquet")).createOrReplaceTempView(t)
 
 
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,6 +34,24 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """Every part file one JSON array of its rows, written row by row, so that any of them is a whole document."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        yield pa.RecordBatch.from_arrays([pa.array(["["])], ["value"])
+        for b in batches:
+            rows = b.column(0).to_pylist()
+            if rows:
+                said = [*([before + ","] if before is not None else []), *[r + "," for r in rows[:-1]]]
+                before = rows[-1]
+                if said:
+                    yield pa.RecordBatch.from_arrays([pa.array(said)], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([*([before] if before is not None else []), "]"])], ["value"])
+
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).mapInArrow(lines, "value string").write.mode("overwrite").option("compression", "none").text(path)
+
+
 def flat(df: DataFrame, sep: str = "; ") -> DataFrame:
     """Arrays of strings as joined text, so that rows fit a CSV file."""
     return df.select(*[F.array_join(f"`{c}`", sep).alias(c) if t == "array<string>" else F.col(f"`{c}`") for c, t in df.dtypes])

@@ -86,6 +86,15 @@ def test_json_source(spark, tmp_path):
     assert files.read_json_lines(spark, str(tmp_path / "x.jsonl"), "a int").count() == 2
 
 
+def test_json_sink(spark, tmp_path):
+    rows = [(i, None if i % 3 else "ü\"x", [f"a{i}"]) for i in range(7)]
+    df = spark.createDataFrame(rows, "i int, t string, l array<string>").repartition(3)
+    files.write_json(df.unionByName(df.limit(0)), str(tmp_path / "j"))
+    parts = [json.loads(p.read_text()) for p in (tmp_path / "j").glob("part-*")]
+    assert sorted((r["i"], r["t"], r["l"]) for part in parts for r in part) == rows
+    assert sorted(map(tuple, files.read_json(spark, str(tmp_path / "j"), df.schema).collect())) == rows
+
+
 def test_frames():
     assert files.parse_frames("".join(files.event_frames([{"a": 1}, {"a": "ü"}]))) == [{"type": "token", "a": 1}, {"type": "token", "a": "ü"}]
 
