@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_DOCS = f"SELECT e.source_file, CAST(e.pdf_page_number AS INTEGER) AS sequence_id, CASE WHEN element_type = 'TEXT' THEN 'TEXT' ELSE 'TABLE_ROW' END AS asset_type, CASE WHEN e.pdf_page_number % 3 = 0 THEN 'section_part' ELSE 'section_full' END AS chunk_type, 'S' || CAST(CAST(floor(e.pdf_page_number / 7.0) AS BIGINT) AS STRING) AS section, CASE WHEN e.pdf_page_number % 2 = 0 THEN 'feature_flags' ELSE 'conditional_matrix' END AS table_type, CASE WHEN e.pdf_page_number % 4 = 0 THEN 'Enabled' ELSE 'Disabled' END AS user_feature_flag, v.embedding FROM ({V.ELEMENTS}) e CROSS JOIN (SELECT max(vec_id) + 1 AS n FROM embeddings) m JOIN embeddings v ON v.vec_id = (CAST(substr(e.source_file, 4) AS BIGINT) * 50 + e.pdf_page_number) % m.n"
+_DOCS = f"SELECT e.source_file, CAST(e.pdf_page_number AS INTEGER) AS sequence_id, CASE WHEN element_type = 'TEXT' THEN 'TEXT' ELSE 'TABLE_ROW' END AS asset_type, CASE WHEN e.pdf_page_number % 3 = 0 THEN 'section_part' ELSE 'section_full' END AS chunk_type, 'S' || CAST(CAST(floor(e.pdf_page_number / 7.0) AS BIGINT) AS STRING) AS section, CASE WHEN e.pdf_page_number % 2 = 0 THEN 'feature_flags' ELSE 'conditional_matrix' END AS table_type, CASE WHEN e.pdf_page_number % 4 = 0 THEN 'Enabled' ELSE 'Disabled' END AS user_feature_flag, v.embedding FROM ({V.ELEMENTS}) e CROSS JOIN (SELECT max(vec_id) + 1 AS n FROM embeddings) m JOIN embeddings v ON v.vec_id = (CAST(substr(split_part(e.source_file, '-', 1), 4) AS BIGINT) * 50 + e.pdf_page_number) % m.n"
 _ASKED = "SELECT vec_id AS qid, embedding AS qvec, CASE vec_id % 3 WHEN 0 THEN 'text_section' WHEN 1 THEN 'hybrid' ELSE 'table_full' END AS route FROM embeddings WHERE vec_id % 20 = 0"
 
 

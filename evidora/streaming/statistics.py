@@ -64,11 +64,16 @@ class TermStatistics:
         self.table.apply(fresh.select("term", *sums, F.lit(batch).cast("bigint").alias("batch")), f"{batch}")
 
     def follow(self, source: DataFrame, key: str, version: str, checkpoint: str, text: str = "text") -> StreamingQuery:
-        """Keep up with a stream of documents. State lives in RocksDB, so it may outgrow the executors' memory."""
-        spark = source.sparkSession
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+        """Keep up with a stream of documents. State lives in RocksDB, so it may outgrow the executors' memory; a query keeps the setting it started with."""
+        spark, name = source.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+        before = spark.conf.get(name, None)
         self.table.recover()
-        return deltas(source, key, version, text).writeStream.outputMode("update").foreachBatch(lambda rows, i: self.add(rows, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        writer = deltas(source, key, version, text).writeStream.outputMode("update").foreachBatch(lambda rows, i: self.add(rows, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        try:
+            spark.conf.set(name, STORE)
+            return writer.start()
+        finally:
+            spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
     def frequencies(self) -> DataFrame:
         return self.table.read().where("term <> '' AND df > 0").select("term", "df")
