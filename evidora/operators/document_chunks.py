@@ -48,4 +48,4 @@ def chunks_of(elements: DataFrame) -> DataFrame:
 
     found = rows.unionByName(full, allowMissingColumns=True).unionByName(parts, allowMissingColumns=True).unionByName(text, allowMissingColumns=True)
     found = found.fillna("", ["table_type", "group_id", *ROW]).withColumn("element_type", F.col("asset_type"))
-    return documents.sequence_ids(found, ["place", "asset_type"]).drop("place", "element_type")
+    return documents.sequence_ids(found, ["place", "asset_type"], "place.island").drop("place", "element_type")

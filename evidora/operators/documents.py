@@ -6,12 +6,13 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
 from ..functions.page_parts import page_parts
+from .along import BLOCK, along
 
 # fixed values: lines of contents pages, when documents come in and when chunks are shown
 TOC_LINE = r"^[\s.·…\-_]{5,}\s*\d{0,4}\s*$|^\d{1,4}\s*$"
@@ -63,27 +64,23 @@ def split_pages(pages: DataFrame) -> DataFrame:
 
 def heading_fill(elements: DataFrame, order: list[str]) -> DataFrame:
     """Adds h1, h2 (the headings in force) from h1_here and h2_here: a new h1 ends the h2 before it."""
-    w = Window.partitionBy("source_file").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    place = F.row_number().over(Window.partitionBy("source_file").orderBy(*order))
-    df = elements.withColumn("__p", place)
-    df = df.withColumn("h1", F.last("h1_here", True).over(w)).withColumn("__p1", F.last(F.when(F.col("h1_here").isNotNull(), F.col("__p")), True).over(w))
-    df = df.withColumn("__h2", F.last("h2_here", True).over(w)).withColumn("__p2", F.last(F.when(F.col("h2_here").isNotNull(), F.col("__p")), True).over(w))
-    kept = F.when(F.col("__p1").isNull() | (F.col("__p2") >= F.col("__p1")), F.col("__h2"))
-    return df.withColumn("h2", kept).drop("__p", "__p1", "__p2", "__h2")
+    df = along(elements, order, upto={x: _heading(x, order) for x in ("h1", "h2")})
+    kept = F.when(F.col("h1").isNull() | (F.col("h2.place") >= F.col("h1.place")), F.col("h2.t"))
+    return df.withColumns({"h1": F.col("h1.t"), "h2": kept})
+
+
+def _heading(level: str, order: list[str]) -> Column:
+    """A heading that begins here, with its place, by which levels are told apart."""
+    return F.when(F.col(f"{level}_here").isNotNull(), F.struct(F.struct(*order).alias("place"), F.col(f"{level}_here").alias("t")))
 
 
 def heading_levels(elements: DataFrame, order: list[str], levels: tuple[str, ...] = ("h1", "h2", "h3")) -> DataFrame:
     """Adds each level's heading in force (from ``<level>_here``), which a new one of any higher level ends, section_title and parent_path."""
-    by_file = Window.partitionBy("source_file").orderBy(*order)
-    w = by_file.rowsBetween(Window.unboundedPreceding, 0)
-    df = elements.withColumn("__p", F.row_number().over(by_file))
-    for x in levels:
-        df = df.withColumn(f"__{x}", F.last(F.when(F.col(f"{x}_here").isNotNull(), F.struct("__p", F.col(f"{x}_here").alias("t"))), True).over(w))
-    for i, x in enumerate(levels):
-        above = [F.coalesce(F.col(f"__{y}.__p"), F.lit(0)) for y in levels[:i]]
-        df = df.withColumn(x, F.when(F.col(f"__{x}.__p") >= F.greatest(F.lit(0), F.lit(0), *above), F.col(f"__{x}.t")))
+    df = along(elements, order, upto={x: _heading(x, order) for x in levels})
+    above = [F.array_max(F.array(*[F.col(f"{y}.place") for y in levels[:i]])) if i else F.lit(None) for i in range(len(levels))]
+    df = df.withColumns({x: F.when(a.isNull() | (F.col(f"{x}.place") >= a), F.col(f"{x}.t")) for x, a in zip(levels, above)})
     there = F.filter(F.array(*levels), lambda h: T.blank(h) != "")
-    return df.withColumn("section_title", F.coalesce(F.try_element_at(there, F.lit(-1)), F.lit(""))).withColumn("parent_path", F.array_join(there, " > ")).drop("__p", *[f"__{x}" for x in levels])
+    return df.withColumn("section_title", F.coalesce(F.try_element_at(there, F.lit(-1)), F.lit(""))).withColumn("parent_path", F.array_join(there, " > "))
 
 
 #: Names under which elements leave for readers of the plain form, besides those that stay.
@@ -104,11 +101,8 @@ def drop_toc_chunks(chunks: DataFrame, text: str = "content") -> DataFrame:
 
 def snippets(elements: DataFrame, order: list[str], n: int = 400) -> DataFrame:
     """Adds preceding_text and following_text: the end of the nearest text before, the start of the nearest after."""
-    w = Window.partitionBy("source_file").orderBy(*order)
-    only = F.when(F.col("element_type") == "TEXT", F.col("content"))
-    before = F.last(only, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(only, True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return elements.withColumn("preceding_text", F.coalesce(T.last_chars(before, n), F.lit(""))).withColumn("following_text", F.coalesce(T.first_chars(after, n), F.lit("")))
+    end, start = (F.when(F.col("element_type") == "TEXT", cut(F.col("content"), n)) for cut in (T.last_chars, T.first_chars))
+    return along(elements, order, before={"preceding_text": end}, after={"following_text": start}).fillna("", ["preceding_text", "following_text"])
 
 
 def merge_sections(elements: DataFrame, order: list[str]) -> DataFrame:
@@ -116,21 +110,23 @@ def merge_sections(elements: DataFrame, order: list[str]) -> DataFrame:
 
     Gaps and islands: a new island begins at every table, after one, and where the parent changes or is empty.
     """
-    w = Window.partitionBy("source_file").orderBy(*order)
     parent = F.coalesce(F.nullif("h2", F.lit("")), F.nullif("h1", F.lit("")), F.lit(""))
-    df = elements.withColumn("section", parent)
-    same = (F.col("element_type") == "TEXT") & (F.lag("element_type").over(w) == "TEXT") & (F.col("section") == F.lag("section").over(w)) & (F.col("section") != "")
-    df = df.withColumn("__new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("__pos", F.row_number().over(w))
-    df = df.withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = along(elements.withColumn("section", parent), order, before={"__last": F.struct("element_type", "section")})
+    same = (F.col("element_type") == "TEXT") & (F.col("__last.element_type") == "TEXT") & (F.col("section") == F.col("__last.section")) & (F.col("section") != "")
+    df = along(df, order, sums={"island": F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)})
     page = "pdf_page_number" if "pdf_page_number" in df.columns else "page"
-    grouped = df.groupBy("source_file", "island").agg(F.first("section").alias("section"), F.first("element_type").alias("element_type"), F.min(page).alias("page"), F.max(page).alias("page_end"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("__pos", "content"))).alias("parts"))
+    grouped = df.groupBy("source_file", "island").agg(F.first("section").alias("section"), F.first("element_type").alias("element_type"), F.min(page).alias("page"), F.max(page).alias("page_end"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("place"), "content"))).alias("parts"))
     return grouped.withColumn("content", F.array_join(F.transform("parts", lambda x: x["content"]), "\n\n")).drop("parts")
 
 
-def sequence_ids(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """Adds sequence_id within each file: texts first, then table rows and fragments, then whole tables."""
+def sequence_ids(chunks: DataFrame, order: list[str], page: str | None = None) -> DataFrame:
+    """Adds sequence_id within each file: texts first, then table rows and fragments, then whole tables.
+
+    ``page`` is the number by which the order goes first; by default its first column.
+    """
     phase = F.when(F.col("element_type") == "TEXT", 0).when(F.col("element_type") == "TABLE_FULL", 2).otherwise(1)
-    return chunks.withColumn("sequence_id", F.row_number().over(Window.partitionBy("source_file").orderBy(phase, *order)))
+    df = along(chunks.withColumn("__phase", phase), ["__phase", *order], sums={"sequence_id": F.lit(1)}, block=F.struct("__phase", F.floor(F.col(page or order[0]) / BLOCK)))
+    return df.withColumn("sequence_id", F.col("sequence_id").cast("int")).drop("__phase")
 
 
 def split_recursively(text: str, size: int = vocab.PART_SIZE, overlap: int = vocab.PART_OVERLAP, separators: list[str] = vocab.SEPARATORS) -> list[str]:

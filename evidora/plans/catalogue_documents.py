@@ -23,16 +23,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_FILL = f"""e AS ({V.ELEMENTS}), p AS (SELECT *, row_number() OVER w AS pos FROM e WINDOW w AS (PARTITION BY source_file ORDER BY pdf_page_number)),
+def _fill_sql(pages: str) -> str:
+    return f"""e AS ({pages}), p AS (SELECT *, row_number() OVER w AS pos FROM e WINDOW w AS (PARTITION BY source_file ORDER BY pdf_page_number)),
  f AS (SELECT *, last_value(h1_here IGNORE NULLS) OVER u AS h1, last_value(CASE WHEN h1_here IS NOT NULL THEN pos END IGNORE NULLS) OVER u AS p1, last_value(h2_here IGNORE NULLS) OVER u AS hh2, last_value(CASE WHEN h2_here IS NOT NULL THEN pos END IGNORE NULLS) OVER u AS p2 FROM p WINDOW u AS (PARTITION BY source_file ORDER BY pdf_page_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
  h AS (SELECT *, CASE WHEN p1 IS NULL OR p2 >= p1 THEN hh2 END AS h2 FROM f)"""
 
 
-def _filled(spark, sf_dir) -> DataFrame:
-    return documents.heading_fill(V.view(spark, sf_dir, V.ELEMENTS), ORDER)
+def _filled(spark, sf_dir, pages: str = V.WHOLE_FILES) -> DataFrame:
+    return documents.heading_fill(V.view(spark, sf_dir, pages), ORDER)
 
 
-@query("heading_ffill", f"WITH {_FILL} SELECT source_file, pdf_page_number, h1, h2 FROM h")
+@query("heading_ffill", f"WITH {_fill_sql(V.WHOLE_FILES)} SELECT source_file, pdf_page_number, h1, h2 FROM h")
 def heading_ffill(spark, sf_dir):
     return _filled(spark, sf_dir).select("source_file", "pdf_page_number", "h1", "h2")
 
@@ -48,27 +49,28 @@ def snippet_prev_next(spark, sf_dir):
     return documents.snippets(V.view(spark, sf_dir, V.ELEMENTS), ORDER).select("source_file", "pdf_page_number", "preceding_text", "following_text")
 
 
-_ISLANDS = f"""WITH {_FILL}, s AS (SELECT *, coalesce(nullif(h2, ''), nullif(h1, ''), '') AS section FROM h), l AS (SELECT *, CASE WHEN element_type = 'TEXT' AND lag(element_type) OVER w = 'TEXT' AND section = lag(section) OVER w AND section <> '' THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY source_file ORDER BY pdf_page_number)),
+def _islands_sql(pages: str) -> str:
+    return f"""WITH {_fill_sql(pages)}, s AS (SELECT *, coalesce(nullif(h2, ''), nullif(h1, ''), '') AS section FROM h), l AS (SELECT *, CASE WHEN element_type = 'TEXT' AND lag(element_type) OVER w = 'TEXT' AND section = lag(section) OVER w AND section <> '' THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY source_file ORDER BY pdf_page_number)),
  i AS (SELECT *, sum(fresh) OVER (PARTITION BY source_file ORDER BY pdf_page_number) AS island FROM l), g AS (SELECT source_file, CAST(island AS BIGINT) AS island, any_value(section) AS section, any_value(element_type) AS element_type, min(pdf_page_number) AS page, max(pdf_page_number) AS page_end, count(*) AS n, string_agg(content, chr(10) || chr(10) ORDER BY pdf_page_number) AS content FROM i GROUP BY source_file, island)"""
 
 
-def _sections(spark, sf_dir) -> DataFrame:
-    return documents.merge_sections(_filled(spark, sf_dir), ORDER)
+def _sections(spark, sf_dir, pages: str = V.WHOLE_FILES) -> DataFrame:
+    return documents.merge_sections(_filled(spark, sf_dir, pages), ORDER)
 
 
-@query("merge_sections", _ISLANDS + " SELECT source_file, island, section, element_type, page, page_end, n, md5(content) AS digest FROM g")
+@query("merge_sections", _islands_sql(V.ELEMENTS) + " SELECT source_file, island, section, element_type, page, page_end, n, md5(content) AS digest FROM g")
 def merge_sections(spark, sf_dir):
-    return _sections(spark, sf_dir).select("source_file", "island", "section", "element_type", "page", "page_end", "n", F.md5("content").alias("digest"))
+    return _sections(spark, sf_dir, V.ELEMENTS).select("source_file", "island", "section", "element_type", "page", "page_end", "n", F.md5("content").alias("digest"))
 
 
-@query("sequence_ids", _ISLANDS + " SELECT source_file, island, CAST(row_number() OVER (PARTITION BY source_file ORDER BY CASE WHEN element_type = 'TEXT' THEN 0 ELSE 1 END, island) AS INTEGER) AS sequence_id FROM g")
+@query("sequence_ids", _islands_sql(V.ELEMENTS) + " SELECT source_file, island, CAST(row_number() OVER (PARTITION BY source_file ORDER BY CASE WHEN element_type = 'TEXT' THEN 0 ELSE 1 END, island) AS INTEGER) AS sequence_id FROM g")
 def sequence_ids(spark, sf_dir):
-    return documents.sequence_ids(_sections(spark, sf_dir), ["island"]).select("source_file", "island", "sequence_id")
+    return documents.sequence_ids(_sections(spark, sf_dir, V.ELEMENTS), ["island"]).select("source_file", "island", "sequence_id")
 
 
 @query("section_chunks")
 def section_chunks(spark, sf_dir):
-    return documents.section_chunks(_sections(spark, sf_dir)).select("source_file", "island", "part", "chunk_type", "page_info", "display")
+    return documents.section_chunks(_sections(spark, sf_dir, V.ELEMENTS)).select("source_file", "island", "part", "chunk_type", "page_info", "display")
 
 
 @query("page_split")
@@ -77,9 +79,9 @@ def page_split(spark, sf_dir):
     return documents.split_pages(pages)
 
 
-@query("asset_counts_pivot", _ISLANDS + " SELECT source_file, count(*) FILTER (WHERE element_type = 'TEXT') AS n_text, count(*) FILTER (WHERE element_type = 'TABLE') AS n_table, max(page_end) AS pages FROM g GROUP BY source_file")
+@query("asset_counts_pivot", _islands_sql(V.ELEMENTS) + " SELECT source_file, count(*) FILTER (WHERE element_type = 'TEXT') AS n_text, count(*) FILTER (WHERE element_type = 'TABLE') AS n_table, max(page_end) AS pages FROM g GROUP BY source_file")
 def asset_counts_pivot(spark, sf_dir):
-    return _sections(spark, sf_dir).groupBy("source_file").agg(F.count_if(F.col("element_type") == "TEXT").alias("n_text"), F.count_if(F.col("element_type") == "TABLE").alias("n_table"), F.max("page_end").alias("pages"))
+    return _sections(spark, sf_dir, V.ELEMENTS).groupBy("source_file").agg(F.count_if(F.col("element_type") == "TEXT").alias("n_text"), F.count_if(F.col("element_type") == "TABLE").alias("n_table"), F.max("page_end").alias("pages"))
 
 
 _LINES = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Intro ........... 12' || chr(10) || '.........' || chr(10) || '7' WHEN 1 THEN 'Guide' || chr(10) || '12' WHEN 2 THEN 'Cancel | Compute | Workspace' || chr(10) || '| a | b |' ELSE text END AS content FROM documents"
@@ -189,17 +191,27 @@ def widget_rows(spark, sf_dir):
     return spark.sql(_STATES).select("id", r["row_id"].alias("row_id"), r["row_label"].alias("row_label"))
 
 
-_CHUNKS = f"SELECT source_file, CAST(pdf_page_number AS INTEGER) AS sequence_id, CASE WHEN element_type = 'TEXT' THEN 'TEXT' ELSE 'TABLE_ROW' END AS asset_type, 'S' || CAST(CAST(floor(pdf_page_number / 7.0) AS BIGINT) AS STRING) AS section FROM ({V.ELEMENTS}) e"
-_HITS = f"SELECT * FROM ({_CHUNKS}) c WHERE sequence_id % 20 = 0"
+def _chunks_sql(pages: str) -> str:
+    return f"SELECT source_file, CAST(pdf_page_number AS INTEGER) AS sequence_id, CASE WHEN element_type = 'TEXT' THEN 'TEXT' ELSE 'TABLE_ROW' END AS asset_type, 'S' || CAST(CAST(floor(pdf_page_number / 7.0) AS BIGINT) AS STRING) AS section FROM ({pages}) e"
 
 
-def _chunks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return V.view(spark, sf_dir, _CHUNKS), V.view(spark, sf_dir, _HITS)
+def _hits_sql(chunks: str) -> str:
+    return f"SELECT * FROM ({chunks}) c WHERE sequence_id % 20 = 0"
+
+
+_CHUNKS = _chunks_sql(V.ELEMENTS)
+_HITS = _hits_sql(_CHUNKS)
+_WHOLE_CHUNKS = _chunks_sql(V.WHOLE_FILES)
+_WHOLE_HITS = _hits_sql(_WHOLE_CHUNKS)
+
+
+def _chunks(spark, sf_dir, chunks: str = _CHUNKS) -> tuple[DataFrame, DataFrame]:
+    return V.view(spark, sf_dir, chunks), V.view(spark, sf_dir, _hits_sql(chunks))
 
 
 @query("seq_neighbours_pm3", f"SELECT DISTINCT c.source_file, c.sequence_id FROM ({_CHUNKS}) c JOIN ({_HITS}) h ON c.source_file = h.source_file AND c.sequence_id BETWEEN h.sequence_id - 3 AND h.sequence_id + 3 WHERE c.sequence_id % 20 <> 0")
 def seq_neighbours_pm3(spark, sf_dir):
-    return context.neighbours(*_chunks(spark, sf_dir)).select("source_file", "sequence_id")
+    return context.neighbours(*_chunks(spark, sf_dir, _CHUNKS)).select("source_file", "sequence_id")
 
 
 @query("sequence_span", f"SELECT source_file, sequence_id FROM (SELECT c.*, row_number() OVER (PARTITION BY c.source_file ORDER BY sequence_id) AS r FROM ({_CHUNKS}) c JOIN (SELECT source_file, min(sequence_id) - 5 AS a, max(sequence_id) + 5 AS z FROM ({_HITS}) h GROUP BY source_file) s ON c.source_file = s.source_file AND sequence_id BETWEEN a AND z WHERE asset_type = 'TEXT') x WHERE r <= 50 AND sequence_id % 20 <> 0")
@@ -219,7 +231,7 @@ def table_siblings(spark, sf_dir):
 
 @query("context_union", f"SELECT DISTINCT c.source_file, c.sequence_id, c.sequence_id % 20 <> 0 AS is_extra FROM ({_CHUNKS}) c JOIN ({_HITS}) h ON c.source_file = h.source_file AND c.sequence_id BETWEEN h.sequence_id - 3 AND h.sequence_id + 3")
 def context_union(spark, sf_dir):
-    chunks, hits = _chunks(spark, sf_dir)
+    chunks, hits = _chunks(spark, sf_dir, _CHUNKS)
     return context.expand(chunks, hits, context.neighbours(chunks, hits)).select("source_file", "sequence_id", (F.col("side") == 1).alias("is_extra"))
 
 
