@@ -44,9 +44,9 @@ def _ends(x: str, side: str) -> str:
 
 
 @query("snippet_prev_next", f"""SELECT source_file, pdf_page_number, {_ends('a', 'right')} AS preceding_text, {_ends('z', 'left')} AS following_text FROM (SELECT source_file, pdf_page_number, last_value(CASE WHEN element_type = 'TEXT' THEN content END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a,
- first_value(CASE WHEN element_type = 'TEXT' THEN content END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS z FROM ({V.ELEMENTS}) e WINDOW w AS (PARTITION BY source_file ORDER BY pdf_page_number)) x""")
+ first_value(CASE WHEN element_type = 'TEXT' THEN content END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS z FROM ({V.WHOLE_FILES}) e WINDOW w AS (PARTITION BY source_file ORDER BY pdf_page_number)) x""")
 def snippet_prev_next(spark, sf_dir):
-    return documents.snippets(V.view(spark, sf_dir, V.ELEMENTS), ORDER).select("source_file", "pdf_page_number", "preceding_text", "following_text")
+    return documents.snippets(V.view(spark, sf_dir, V.WHOLE_FILES), ORDER).select("source_file", "pdf_page_number", "preceding_text", "following_text")
 
 
 def _islands_sql(pages: str) -> str:

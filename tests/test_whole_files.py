@@ -43,6 +43,13 @@ def test_heading_ffill(spark, long_files):
     assert [(x["h1"], x["h2"]) for x in r] == [("Part 41", "Topic 166")]  # page 493 has the part, page 499 the topic
 
 
+def test_snippet_prev_next(spark, long_files):
+    r = _of(*_rows(spark, long_files, "snippet_prev_next"), source_file="src7")
+    seen = {x["pdf_page_number"]: (x["preceding_text"], x["following_text"]) for x in r}
+    assert seen[499] == ("text 9947", "text 10007") and seen[501] == ("text 9967", "text 10027")  # page 500 is a table
+    assert seen[491] == ("", "text 9827") and seen[511] == ("text 10167", "")
+
+
 ROWS = "source_file string, page int, ord int, element_type string, content string, h1_here string, h2_here string, h3_here string"
 
 
