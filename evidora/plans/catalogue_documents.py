@@ -63,9 +63,9 @@ def merge_sections(spark, sf_dir):
     return _sections(spark, sf_dir, V.ELEMENTS).select("source_file", "island", "section", "element_type", "page", "page_end", "n", F.md5("content").alias("digest"))
 
 
-@query("sequence_ids", _islands_sql(V.ELEMENTS) + " SELECT source_file, island, CAST(row_number() OVER (PARTITION BY source_file ORDER BY CASE WHEN element_type = 'TEXT' THEN 0 ELSE 1 END, island) AS INTEGER) AS sequence_id FROM g")
+@query("sequence_ids", _islands_sql(V.WHOLE_FILES) + " SELECT source_file, island, CAST(row_number() OVER (PARTITION BY source_file ORDER BY CASE WHEN element_type = 'TEXT' THEN 0 ELSE 1 END, island) AS INTEGER) AS sequence_id FROM g")
 def sequence_ids(spark, sf_dir):
-    return documents.sequence_ids(_sections(spark, sf_dir, V.ELEMENTS), ["island"]).select("source_file", "island", "sequence_id")
+    return documents.sequence_ids(_sections(spark, sf_dir), ["island"]).select("source_file", "island", "sequence_id")
 
 
 @query("section_chunks")

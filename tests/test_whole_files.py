@@ -50,6 +50,11 @@ def test_snippet_prev_next(spark, long_files):
     assert seen[491] == ("", "text 9827") and seen[511] == ("text 10167", "")
 
 
+def test_sequence_ids(spark, long_files):
+    r = _of(*_rows(spark, long_files, "sequence_ids"), source_file="src7")
+    assert sorted(x["sequence_id"] for x in r) == list(range(1, len(r) + 1)) and sorted(x["island"] for x in r) == list(range(1, len(r) + 1))
+
+
 ROWS = "source_file string, page int, ord int, element_type string, content string, h1_here string, h2_here string, h3_here string"
 
 
