@@ -79,9 +79,9 @@ def page_split(spark, sf_dir):
     return documents.split_pages(pages)
 
 
-@query("asset_counts_pivot", _islands_sql(V.ELEMENTS) + " SELECT source_file, count(*) FILTER (WHERE element_type = 'TEXT') AS n_text, count(*) FILTER (WHERE element_type = 'TABLE') AS n_table, max(page_end) AS pages FROM g GROUP BY source_file")
+@query("asset_counts_pivot", _islands_sql(V.WHOLE_FILES) + " SELECT source_file, count(*) FILTER (WHERE element_type = 'TEXT') AS n_text, count(*) FILTER (WHERE element_type = 'TABLE') AS n_table, max(page_end) AS pages FROM g GROUP BY source_file")
 def asset_counts_pivot(spark, sf_dir):
-    return _sections(spark, sf_dir, V.ELEMENTS).groupBy("source_file").agg(F.count_if(F.col("element_type") == "TEXT").alias("n_text"), F.count_if(F.col("element_type") == "TABLE").alias("n_table"), F.max("page_end").alias("pages"))
+    return _sections(spark, sf_dir).groupBy("source_file").agg(F.count_if(F.col("element_type") == "TEXT").alias("n_text"), F.count_if(F.col("element_type") == "TABLE").alias("n_table"), F.max("page_end").alias("pages"))
 
 
 _LINES = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Intro ........... 12' || chr(10) || '.........' || chr(10) || '7' WHEN 1 THEN 'Guide' || chr(10) || '12' WHEN 2 THEN 'Cancel | Compute | Workspace' || chr(10) || '| a | b |' ELSE text END AS content FROM documents"

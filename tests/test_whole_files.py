@@ -55,6 +55,11 @@ def test_sequence_ids(spark, long_files):
     assert sorted(x["sequence_id"] for x in r) == list(range(1, len(r) + 1)) and sorted(x["island"] for x in r) == list(range(1, len(r) + 1))
 
 
+def test_asset_counts_pivot(spark, long_files):
+    columns, rows = _rows(spark, long_files, "asset_counts_pivot")
+    assert len(rows) == 20 and [(x["n_table"], x["pages"]) for x in _of(columns, rows, source_file="src7")] == [(4, 511)]
+
+
 ROWS = "source_file string, page int, ord int, element_type string, content string, h1_here string, h2_here string, h3_here string"
 
 
