@@ -209,9 +209,9 @@ def _chunks(spark, sf_dir, chunks: str = _CHUNKS) -> tuple[DataFrame, DataFrame]
     return V.view(spark, sf_dir, chunks), V.view(spark, sf_dir, _hits_sql(chunks))
 
 
-@query("seq_neighbours_pm3", f"SELECT DISTINCT c.source_file, c.sequence_id FROM ({_CHUNKS}) c JOIN ({_HITS}) h ON c.source_file = h.source_file AND c.sequence_id BETWEEN h.sequence_id - 3 AND h.sequence_id + 3 WHERE c.sequence_id % 20 <> 0")
+@query("seq_neighbours_pm3", f"SELECT DISTINCT c.source_file, c.sequence_id FROM ({_WHOLE_CHUNKS}) c JOIN ({_WHOLE_HITS}) h ON c.source_file = h.source_file AND c.sequence_id BETWEEN h.sequence_id - 3 AND h.sequence_id + 3 WHERE c.sequence_id % 20 <> 0")
 def seq_neighbours_pm3(spark, sf_dir):
-    return context.neighbours(*_chunks(spark, sf_dir, _CHUNKS)).select("source_file", "sequence_id")
+    return context.neighbours(*_chunks(spark, sf_dir, _WHOLE_CHUNKS)).select("source_file", "sequence_id").distinct()
 
 
 @query("sequence_span", f"SELECT source_file, sequence_id FROM (SELECT c.*, row_number() OVER (PARTITION BY c.source_file ORDER BY sequence_id) AS r FROM ({_CHUNKS}) c JOIN (SELECT source_file, min(sequence_id) - 5 AS a, max(sequence_id) + 5 AS z FROM ({_HITS}) h GROUP BY source_file) s ON c.source_file = s.source_file AND sequence_id BETWEEN a AND z WHERE asset_type = 'TEXT') x WHERE r <= 50 AND sequence_id % 20 <> 0")

@@ -60,6 +60,17 @@ def test_asset_counts_pivot(spark, long_files):
     assert len(rows) == 20 and [(x["n_table"], x["pages"]) for x in _of(columns, rows, source_file="src7")] == [(4, 511)]
 
 
+def test_seq_neighbours_pm3(spark, long_files):
+    r = _of(*_rows(spark, long_files, "seq_neighbours_pm3"), source_file="src7")
+    assert sorted(x["sequence_id"] for x in r) == [497, 498, 499, 501, 502, 503]
+
+
+@pytest.mark.parametrize("name", ["seq_neighbours_pm3"])
+def test_places_that_many_chunks_share_come_once(spark, tmp_path, name):
+    d = spark.range(300, 500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.lit("one").alias("source"), F.lit(1).cast("bigint").alias("n_chars"))
+    assert len(_rows(spark, _stored(d, tmp_path), name)[1]) == (7 if name == "context_union" else 6)
+
+
 ROWS = "source_file string, page int, ord int, element_type string, content string, h1_here string, h2_here string, h3_here string"
 
 
