@@ -229,10 +229,10 @@ def table_siblings(spark, sf_dir):
     return context.table_siblings(*_chunks(spark, sf_dir)).select("source_file", "sequence_id")
 
 
-@query("context_union", f"SELECT DISTINCT c.source_file, c.sequence_id, c.sequence_id % 20 <> 0 AS is_extra FROM ({_CHUNKS}) c JOIN ({_HITS}) h ON c.source_file = h.source_file AND c.sequence_id BETWEEN h.sequence_id - 3 AND h.sequence_id + 3")
+@query("context_union", f"SELECT DISTINCT c.source_file, c.sequence_id, c.sequence_id % 20 <> 0 AS is_extra FROM ({_WHOLE_CHUNKS}) c JOIN ({_WHOLE_HITS}) h ON c.source_file = h.source_file AND c.sequence_id BETWEEN h.sequence_id - 3 AND h.sequence_id + 3")
 def context_union(spark, sf_dir):
-    chunks, hits = _chunks(spark, sf_dir, _CHUNKS)
-    return context.expand(chunks, hits, context.neighbours(chunks, hits)).select("source_file", "sequence_id", (F.col("side") == 1).alias("is_extra"))
+    chunks, hits = _chunks(spark, sf_dir, _WHOLE_CHUNKS)
+    return context.expand(chunks, hits, context.neighbours(chunks, hits)).select("source_file", "sequence_id", (F.col("side") == 1).alias("is_extra")).distinct()
 
 
 _CAPPED = f"SELECT qid, CASE qid WHEN 1 THEN 'text_section' WHEN 2 THEN 'hybrid' ELSE 'table_full' END AS route, source_file, sequence_id, CASE WHEN sequence_id % 13 = 0 THEN 'TABLE_FULL' ELSE asset_type END AS asset_type, CAST((sequence_id * 37 + qid * 11) % 101 AS DOUBLE) AS score FROM ({_CHUNKS}) c CROSS JOIN (VALUES (1), (2), (3)) AS t(qid)"

@@ -65,7 +65,12 @@ def test_seq_neighbours_pm3(spark, long_files):
     assert sorted(x["sequence_id"] for x in r) == [497, 498, 499, 501, 502, 503]
 
 
-@pytest.mark.parametrize("name", ["seq_neighbours_pm3"])
+def test_context_union(spark, long_files):
+    r = _of(*_rows(spark, long_files, "context_union"), source_file="src7")
+    assert sorted((x["sequence_id"], x["is_extra"]) for x in r) == [(i, i != 500) for i in range(497, 504)]
+
+
+@pytest.mark.parametrize("name", ["seq_neighbours_pm3", "context_union"])
 def test_places_that_many_chunks_share_come_once(spark, tmp_path, name):
     d = spark.range(300, 500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.lit("one").alias("source"), F.lit(1).cast("bigint").alias("n_chars"))
     assert len(_rows(spark, _stored(d, tmp_path), name)[1]) == (7 if name == "context_union" else 6)
