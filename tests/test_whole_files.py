@@ -70,6 +70,11 @@ def test_context_union(spark, long_files):
     assert sorted((x["sequence_id"], x["is_extra"]) for x in r) == [(i, i != 500) for i in range(497, 504)]
 
 
+def test_heading_levels(spark, long_files):
+    r = _of(*_rows(spark, long_files, "heading_levels"), source_file="src7", pdf_page_number=501)
+    assert [(x["parent_path"], x["section_title"]) for x in r] == [("Part 41 > Topic 166 > Step 500", "Step 500")]
+
+
 @pytest.mark.parametrize("name", ["seq_neighbours_pm3", "context_union"])
 def test_places_that_many_chunks_share_come_once(spark, tmp_path, name):
     d = spark.range(300, 500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.lit("one").alias("source"), F.lit(1).cast("bigint").alias("n_chars"))
