@@ -17,7 +17,7 @@ def elements_of(pages: DataFrame) -> DataFrame:
     """(source_file, page, ord, element_type, content, h1, h2) of (source_file, page, markdown)."""
     head = lambda marks: F.nullif(T.strip(F.regexp_extract("content", rf"(?m)^{marks} (.*)$", 1)), F.lit(""))
     found = documents.split_pages(pages).withColumn("h1_here", head("#")).withColumn("h2_here", head("##"))
-    return documents.heading_fill(found, ["page", "ord"])
+    return documents.heading_fill(found, ["page", "ord"], blocks=False)
 
 
 def chunks_of(elements: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def chunks_of(elements: DataFrame) -> DataFrame:
     Texts by section; of every table, put together over pages, a chunk a row and one of the whole; of every part of a table as it stands
     on its page a fragment. Rows of widget matrices carry their conditions and widgets as columns.
     """
-    sections = documents.merge_sections(elements, ["page", "ord"])
+    sections = documents.merge_sections(elements, ["page", "ord"], blocks=False)
     text = documents.section_chunks(sections).select("source_file", F.lit("TEXT").alias("asset_type"), "chunk_type", "section", "page_info", "display", "embed_text", F.struct("island", "part", F.lit(0).alias("at")).alias("place"))
 
     parsed = tables.parse_table(sections.where((F.col("element_type") == "TABLE") & ~documents.is_screenshot_table(F.col("content"))), "content")
@@ -48,4 +48,4 @@ def chunks_of(elements: DataFrame) -> DataFrame:
 
     found = rows.unionByName(full, allowMissingColumns=True).unionByName(parts, allowMissingColumns=True).unionByName(text, allowMissingColumns=True)
     found = found.fillna("", ["table_type", "group_id", *ROW]).withColumn("element_type", F.col("asset_type"))
-    return documents.sequence_ids(found, ["place", "asset_type"], "place.island").drop("place", "element_type")
+    return documents.sequence_ids(found, ["place", "asset_type"], blocks=False).drop("place", "element_type")

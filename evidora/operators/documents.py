@@ -62,9 +62,9 @@ def split_pages(pages: DataFrame) -> DataFrame:
     return pages.select("source_file", "page", "markdown").mapInPandas(run, "source_file string, page bigint, ord int, element_type string, content string")
 
 
-def heading_fill(elements: DataFrame, order: list[str]) -> DataFrame:
-    """Adds h1, h2 (the headings in force) from h1_here and h2_here: a new h1 ends the h2 before it."""
-    df = along(elements, order, upto={x: _heading(x, order) for x in ("h1", "h2")})
+def heading_fill(elements: DataFrame, order: list[str], blocks: bool = True) -> DataFrame:
+    """Adds h1, h2 (the headings in force) from h1_here and h2_here: a new h1 ends the h2 before it. ``blocks``: see ``along``."""
+    df = along(elements, order, upto={x: _heading(x, order) for x in ("h1", "h2")}, blocks=blocks)
     kept = F.when(F.col("h1").isNull() | (F.col("h2.place") >= F.col("h1.place")), F.col("h2.t"))
     return df.withColumns({"h1": F.col("h1.t"), "h2": kept})
 
@@ -105,27 +105,24 @@ def snippets(elements: DataFrame, order: list[str], n: int = 400) -> DataFrame:
     return along(elements, order, before={"preceding_text": end}, after={"following_text": start}).fillna("", ["preceding_text", "following_text"])
 
 
-def merge_sections(elements: DataFrame, order: list[str]) -> DataFrame:
+def merge_sections(elements: DataFrame, order: list[str], blocks: bool = True) -> DataFrame:
     """Neighbouring texts under one parent heading become one: (source_file, section, element_type, page, page_end, n, content).
 
     Gaps and islands: a new island begins at every table, after one, and where the parent changes or is empty.
     """
     parent = F.coalesce(F.nullif("h2", F.lit("")), F.nullif("h1", F.lit("")), F.lit(""))
-    df = along(elements.withColumn("section", parent), order, before={"__last": F.struct("element_type", "section")})
+    df = along(elements.withColumn("section", parent), order, before={"__last": F.struct("element_type", "section")}, blocks=blocks)
     same = (F.col("element_type") == "TEXT") & (F.col("__last.element_type") == "TEXT") & (F.col("section") == F.col("__last.section")) & (F.col("section") != "")
-    df = along(df, order, sums={"island": F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)})
+    df = along(df, order, sums={"island": F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)}, blocks=blocks)
     page = "pdf_page_number" if "pdf_page_number" in df.columns else "page"
     grouped = df.groupBy("source_file", "island").agg(F.first("section").alias("section"), F.first("element_type").alias("element_type"), F.min(page).alias("page"), F.max(page).alias("page_end"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("place"), "content"))).alias("parts"))
     return grouped.withColumn("content", F.array_join(F.transform("parts", lambda x: x["content"]), "\n\n")).drop("parts")
 
 
-def sequence_ids(chunks: DataFrame, order: list[str], page: str | None = None) -> DataFrame:
-    """Adds sequence_id within each file: texts first, then table rows and fragments, then whole tables.
-
-    ``page`` is the number by which the order goes first; by default its first column.
-    """
+def sequence_ids(chunks: DataFrame, order: list[str], blocks: bool = True) -> DataFrame:
+    """Adds sequence_id within each file: texts first, then table rows and fragments, then whole tables. ``blocks``: see ``along``."""
     phase = F.when(F.col("element_type") == "TEXT", 0).when(F.col("element_type") == "TABLE_FULL", 2).otherwise(1)
-    df = along(chunks.withColumn("__phase", phase), ["__phase", *order], sums={"sequence_id": F.lit(1)}, block=F.struct("__phase", F.floor(F.col(page or order[0]) / BLOCK)))
+    df = along(chunks.withColumn("__phase", phase), ["__phase", *order], sums={"sequence_id": F.lit(1)}, block=F.struct("__phase", F.floor(F.col(order[0]) / BLOCK)) if blocks else None, blocks=blocks)
     return df.withColumn("sequence_id", F.col("sequence_id").cast("int")).drop("__phase")
 
 

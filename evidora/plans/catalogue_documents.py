@@ -30,7 +30,7 @@ def _fill_sql(pages: str) -> str:
 
 
 def _filled(spark, sf_dir, pages: str = V.WHOLE_FILES) -> DataFrame:
-    return documents.heading_fill(V.view(spark, sf_dir, pages), ORDER)
+    return documents.heading_fill(V.view(spark, sf_dir, pages), ORDER, blocks=pages == V.WHOLE_FILES)
 
 
 @query("heading_ffill", f"WITH {_fill_sql(V.WHOLE_FILES)} SELECT source_file, pdf_page_number, h1, h2 FROM h")
@@ -55,7 +55,7 @@ def _islands_sql(pages: str) -> str:
 
 
 def _sections(spark, sf_dir, pages: str = V.WHOLE_FILES) -> DataFrame:
-    return documents.merge_sections(_filled(spark, sf_dir, pages), ORDER)
+    return documents.merge_sections(_filled(spark, sf_dir, pages), ORDER, blocks=pages == V.WHOLE_FILES)
 
 
 @query("merge_sections", _islands_sql(V.ELEMENTS) + " SELECT source_file, island, section, element_type, page, page_end, n, md5(content) AS digest FROM g")

@@ -113,18 +113,18 @@ def _plain(rows: list[tuple]) -> dict:
     return out
 
 
-@pytest.mark.parametrize("block", [1, 3, 500])
+@pytest.mark.parametrize("block", [0, 1, 3, 500])
 def test_blocks_meet_like_whole_files(spark, monkeypatch, block):
-    monkeypatch.setattr(A, "BLOCK", block)
-    monkeypatch.setattr(documents, "BLOCK", block)
-    rows, order = _random_rows(block), ["page", "ord"]
+    monkeypatch.setattr(A, "BLOCK", block or 500)
+    monkeypatch.setattr(documents, "BLOCK", block or 500)
+    rows, order, blocks = _random_rows(block), ["page", "ord"], block > 0
     e, wanted = spark.createDataFrame(rows, ROWS).repartition(5), _plain(rows)
     of = lambda df, *names: {(r["source_file"], r["page"], r["ord"]): [r[n] for n in names] for r in df.collect()}
     assert of(documents.heading_levels(e, order), "h1", "h2", "h3") == {k: v[:3] for k, v in wanted.items()}
-    filled = documents.heading_fill(e, order)
+    filled = documents.heading_fill(e, order, blocks)
     assert of(filled, "h1", "h2") == {k: [v[0], v[3]] for k, v in wanted.items()}
     assert of(documents.snippets(e, order), "preceding_text", "following_text") == {k: v[4:6] for k, v in wanted.items()}
-    sections = documents.sequence_ids(documents.merge_sections(filled, order), ["island"]).collect()
+    sections = documents.sequence_ids(documents.merge_sections(filled, order, blocks), ["island"], blocks).collect()
     assert {(r["source_file"], r["island"], r["sequence_id"]) for r in sections} == {(k[0], v[6], v[7]) for k, v in wanted.items()}
     texts = {}
     for r in sorted(rows, key=lambda r: (str(r[0]), *r[1:3])):
