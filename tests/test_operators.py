@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from evidora.operators import answers, context, documents, lexical, tables, upsert, vectors
+from evidora.operators import answers, context, documents, lexical, routes, tables, upsert, vectors
 from evidora.plans import views as V
 from evidora.plans.engine import Engine
 from evidora.sources import files
@@ -124,3 +124,14 @@ def test_unit_vectors_equal_their_sql(spark, tmp_path):
     vecs = [[-1e-8, 1.0], [1e-8, -1.0], [-0.0, 2.0], [3.0, 4.0], [-5e-7, 1.0], [0.0, 0.0], [], None, [1e30, -1.0], [-0.5000005, 0.8660251]]
     pq.write_table(pa.table({"vec_id": pa.array(range(len(vecs)), pa.int64()), "embedding": pa.array(vecs, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
     check(spark, "l2_normalize", str(tmp_path), entry)
+
+
+def test_tables_are_completed_without_a_row_for_every_question(spark):
+    """Rows are counted off by table, before they meet the questions that hold it; hits beyond the cut and of no table stay."""
+    chunks = spark.range(40).selectExpr("concat('f', id % 2) AS source_file", "CAST(id AS int) AS sequence_id", "CASE WHEN id = 39 THEN 'TEXT' ELSE 'TABLE_ROW' END AS asset_type", "CASE WHEN id < 30 THEN concat('s', id % 4) END AS section")
+    hits = chunks.where("sequence_id IN (0, 28, 3, 39, 34)").crossJoin(spark.sql("SELECT explode(array(7, 8)) AS qid")).where("qid = 7 OR sequence_id > 30").selectExpr("*", "sequence_id / 100D AS score")
+    done = routes.complete_tables(chunks, hits, 3)
+    got = sorted((r["qid"], r["source_file"], r["sequence_id"], r["score"]) for r in done.collect())
+    assert got == [(7, "f0", 0, 0.0), (7, "f0", 4, 0.0), (7, "f0", 8, 0.0), (7, "f0", 28, 0.28), (7, "f0", 34, 0.34), (7, "f1", 3, 0.03), (7, "f1", 7, 0.0), (7, "f1", 11, 0.0), (7, "f1", 39, 0.39), (8, "f0", 34, 0.34), (8, "f1", 39, 0.39)]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Window" in x and "qid" in x]
