@@ -7,7 +7,7 @@ None, and ``comments(key)`` -> list. It is made anew wherever it is used, so opt
 Rows are (key, raw): the issue as JSON, with the answer of the comments call at ``fields.comment.comments`` if ``comments`` is true.
 A batch gives up to ``max_results`` issues of ``query``, or the one of ``key``, whose absence is an error. A stream has
 no cap; its offset is the token of a page and how many of that page's issues were read, so that a page that fills up later gives the rest. Its
-tasks fetch a page each; the driver follows tokens only.
+tasks fetch a page each, or where there are many some pages in a row; the driver follows tokens only.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 PAGE, MOST = 100, 200
+#: Tasks of a batch up to which every page is one of its own.
+TASKS = 200
 
 
 def connect(options: dict[str, str]):
@@ -54,10 +56,10 @@ class _Options:
 
 
 class PageRange(InputPartition):
-    """Issues of one page from ``begin`` to before ``end`` (None: its end)."""
+    """Issues of ``pages`` pages in a row, on the first from ``begin`` on, on the last to before ``end`` (None: its end)."""
 
-    def __init__(self, token: str | None, begin: int, end: int | None):
-        self.token, self.begin, self.end = token, begin, end
+    def __init__(self, token: str | None, begin: int, end: int | None, pages: int = 1):
+        self.token, self.begin, self.end, self.pages = token, begin, end, pages
 
 
 class IssueReader(DataSourceReader):
@@ -100,21 +102,27 @@ class IssueStreamReader(DataSourceStreamReader):
         return at
 
     def partitions(self, start: dict, end: dict) -> list[PageRange]:
-        a, out = self.asked, []
+        a, tokens = self.asked, []
         if start == end:
             return []
         for token, _ in pages(connect(a.options), a.query, a.size, start["token"]):
-            last = token == end["token"]
-            out.append(PageRange(token, start["read"] if token == start["token"] else 0, end["read"] if last else None))
-            if last:
-                return out
-        raise ValueError(f"the search no longer leads from {start} to {end}")
+            tokens.append(token)
+            if token == end["token"]:
+                break
+        else:
+            raise ValueError(f"the search no longer leads from {start} to {end}")
+        each = -(-len(tokens) // TASKS)
+        return [PageRange(tokens[i], 0 if i else start["read"], end["read"] if i + each >= len(tokens) else None, min(each, len(tokens) - i)) for i in range(0, len(tokens), each)]
 
     def read(self, partition: PageRange) -> Iterator[tuple[str, str]]:
         a = self.asked
         server = connect(a.options)
-        for issue in server.search(a.query, partition.token, a.size).get("issues", [])[partition.begin : partition.end]:
-            yield row(server, issue, a.comments)
+        for n, (_, issues) in enumerate(pages(server, a.query, a.size, partition.token), 1):
+            for issue in issues[partition.begin if n == 1 else 0 : partition.end if n == partition.pages else None]:
+                yield row(server, issue, a.comments)
+            if n == partition.pages:
+                return
+        raise ValueError(f"the search no longer leads on from {partition.token}")
 
     def commit(self, end: dict) -> None:
         pass

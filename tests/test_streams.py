@@ -4,12 +4,14 @@ import json
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from evidora.operators import lexical, segments
 from evidora.plans.engine import Engine
-from evidora.sources import files, paged_issues
+from evidora.sources import files, paged_issues, table_tracker
 from evidora.streaming import ingest, statistics
 
 
@@ -197,3 +199,24 @@ def test_issues_of_a_search_are_added_with_their_chunks(spark, tmp_path):
     assert e.records.count() == 5 and e.chunks.read().where("text LIKE '%about AB-3%'").count() > 0
     opened(tmp_path, 7)
     assert list(e.add_found(options | {"max_results": "6"}))[-1] == {"stage": "done", "records": 6, "new": 1}
+
+
+def test_many_pages_are_few_tasks(tmp_path):
+    opened(tmp_path, 1003)
+    reader = paged_issues.IssueStreamReader({"server": "tests.test_streams:Growing", "folder": str(tmp_path), "page": "2"})
+    start, end = {"token": "4", "read": 1}, reader.latestOffset()
+    parts = reader.partitions(start, end)
+    assert len(parts) <= paged_issues.TASKS and [k for p in parts for k, _ in reader.read(p)] == [f"AB-{i}" for i in range(5, 1003)]
+    middle = {"token": "996", "read": 1}
+    assert [k for a, z in ((start, middle), (middle, end)) for p in reader.partitions(a, z) for k, _ in reader.read(p)] == [f"AB-{i}" for i in range(5, 1003)]
+
+
+def test_a_walk_through_the_tracker_decodes_each_row_group_once(tmp_path, monkeypatch):
+    turns = [(k, t, "user", f"{k} says {t}") for k in range(300) for t in range(3)]
+    turns = turns[:500] + turns[501:] + turns[500:501]  # a turn away from the others of its conversation
+    pq.write_table(pa.table(dict(zip(("conv_id", "turn", "role", "text"), map(list, zip(*turns))))), tmp_path / "c.parquet", row_group_size=100)
+    whole, load = [], table_tracker._Table._load
+    monkeypatch.setattr(table_tracker._Table, "_load", lambda self, i: whole.append(i) or load(self, i))
+    tracker = table_tracker.Tracker({"table": str(tmp_path / "c.parquet")})
+    found = {i["key"]: [i["fields"]["summary"], *[c["body"] for c in tracker.comments(i["key"])]] for _, issues in paged_issues.pages(tracker, "", 7) for i in issues}
+    assert found == {f"CNV-{k}": [f"{k} says {t}" for t in range(3)] for k in range(300)} and sorted(whole) == list(range(9))
