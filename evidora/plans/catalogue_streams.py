@@ -74,23 +74,17 @@ _VERSIONS = ["SELECT doc_id, 1 AS version, CASE WHEN doc_id % 2 = 0 THEN text ||
              "SELECT doc_id, 2 AS version, text FROM documents WHERE doc_id % 6 = 0 UNION ALL SELECT doc_id, 0 AS version, 'staleonly words' AS text FROM documents WHERE doc_id % 7 = 0"]
 
 
-def _land(spark, sf_dir, texts: list[str]) -> str:
-    """The results of some SQL as files that came one after the other."""
-    V.register(spark, sf_dir, "documents", "events")
-    landing = shared_folder(spark)
-    for text in texts:
-        spark.sql(text).coalesce(1).write.mode("append").parquet(landing)
-    return landing
-
-
 @query("stream_term_statistics", f"""WITH tok AS (SELECT list_distinct({D.tokens("text")}) AS t FROM documents), size AS (SELECT count(*) AS n, round(avg(len(t))::DOUBLE, 6) AS avgdl FROM tok)
 SELECT term, count(*) AS df, n, avgdl FROM (SELECT unnest(t) AS term FROM tok) x CROSS JOIN size GROUP BY ALL""")
 def stream_term_statistics(spark, sf_dir):
     """Frequencies and sizes kept as state of a stream with changed, repeated and stale documents equal those of the final table."""
-    landing = _land(spark, sf_dir, _VERSIONS)
-    source = spark.readStream.schema("doc_id bigint, version int, text string").option("maxFilesPerTrigger", 1).parquet(landing)
+    V.register(spark, sf_dir, "documents")
+    landing, checkpoint = shared_folder(spark), shared_folder(spark)
     kept = statistics.TermStatistics(spark, shared_folder(spark))
-    kept.follow(source, "doc_id", "version", shared_folder(spark)).awaitTermination()
+    for text in _VERSIONS:  # each comes as files of many tasks, and the stream goes on from its checkpoint with those as a batch
+        spark.sql(text).write.mode("append").parquet(landing)
+        source = spark.readStream.schema("doc_id bigint, version int, text string").parquet(landing)
+        kept.follow(source, "doc_id", "version", checkpoint).awaitTermination()
     return kept.frequencies().crossJoin(F.broadcast(kept.size())).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))  # one row
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,38 +17,47 @@ DELTAS = "term string, df bigint, n bigint, total bigint"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups of keys that the state is dealt to; a checkpoint stays with the number that it began with.
+GROUPS = 1024
+
+
 class TermDeltas(StatefulProcessor):
     """Keeps the version and the distinct terms of each key; a newer version gives +1 for terms that came and -1 for those that went.
 
     Term '' carries the number of documents and of their distinct terms. Rows of a version that isn't newer change nothing, so
-    that a key that is added again counts once. State is one entry a key.
+    that a key that is added again counts once. State is one entry a key, in a map for each group of keys, so that Python is
+    called for a group and not for every key; changes of a group's batch are added up.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "version bigint, terms array<string>")
+        self._last = handle.getMapState("last", "key string", "version bigint, terms string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self._last.get() if self._last.exists() else None
-        newest, terms = (before[0], None) if before else (None, None)
+        df: Counter[str] = Counter()
+        n = total = 0
         for batch in rows:
-            for version, found in zip(batch["version"], batch["terms"]):
-                if newest is None or version > newest:
-                    newest, terms = int(version), found
-        if terms is None:
-            return
-        old, new = set(before[1]) if before else set(), set(terms)
-        self._last.update((newest, sorted(new)))
-        came, went = sorted(new - old), sorted(old - new)
-        yield pd.DataFrame({"term": ["", *came, *went], "df": [0] + [1] * len(came) + [-1] * len(went), "n": [int(before is None)] + [0] * (len(came) + len(went)), "total": [len(new) - len(old)] + [0] * (len(came) + len(went))})
+            for own, version, found in zip(batch["key"], batch["version"].tolist(), batch["terms"]):
+                before = self._last.getValue((own,))
+                if before is not None and version <= before[0]:
+                    continue
+                old, new = set(before[1].split(" ")) if before and before[1] else set(), set(found.split(" ")) if found else set()
+                self._last.updateValue((own,), (version, found))
+                df.update(new - old)
+                df.subtract(old - new)
+                n, total = n + (before is None), total + len(new) - len(old)
+        terms = sorted(t for t, by in df.items() if by)
+        if n or total or terms:
+            yield pd.DataFrame({"term": ["", *terms], "df": [0, *(df[t] for t in terms)], "n": [n] + [0] * len(terms), "total": [total] + [0] * len(terms)})
 
     def close(self) -> None:
         pass
 
 
 def deltas(source: DataFrame, key: str, version: str, text: str = "text") -> DataFrame:
-    """(term, df, n, total) changes of a stream of (key, version, text). Texts are cut into terms before they meet the state."""
-    terms = source.select(F.col(key).alias("key"), F.col(version).cast("bigint").alias("version"), F.array_distinct(tokens(F.col(text))).alias("terms"))
-    return terms.groupBy("key").transformWithStateInPandas(TermDeltas(), DELTAS, "Update", "None")
+    """(term, df, n, total) changes of a stream of (key, version, text). Texts are cut into terms, which hold no blanks, before they meet the state."""
+    own = F.to_json(F.struct(F.col(key).alias("k")))  # a null key is one too
+    terms = source.select(F.pmod(F.xxhash64(own), F.lit(GROUPS)).alias("group"), own.alias("key"), F.col(version).cast("bigint").alias("version"), F.array_join(F.array_distinct(tokens(F.col(text))), " ").alias("terms"))
+    return terms.groupBy("group").transformWithStateInPandas(TermDeltas(), DELTAS, "Update", "None")
 
 
 class TermStatistics:

@@ -4,6 +4,7 @@ import json
 import random
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -220,3 +221,31 @@ def test_a_walk_through_the_tracker_decodes_each_row_group_once(tmp_path, monkey
     tracker = table_tracker.Tracker({"table": str(tmp_path / "c.parquet")})
     found = {i["key"]: [i["fields"]["summary"], *[c["body"] for c in tracker.comments(i["key"])]] for _, issues in paged_issues.pages(tracker, "", 7) for i in issues}
     assert found == {f"CNV-{k}": [f"{k} says {t}" for t in range(3)] for k in range(300)} and sorted(whole) == list(range(9))
+
+
+class Held:
+    """State of one group of keys, for a processor that runs outside a stream."""
+
+    def __init__(self):
+        self.kept = {}
+
+    def getMapState(self, *_):
+        return self
+
+    def getValue(self, key):
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+
+
+def test_a_group_of_keys_is_one_call_and_one_row_a_term(spark):
+    deltas, held = statistics.TermDeltas(), Held()
+    deltas.init(held)
+    first = pd.DataFrame({"key": [f"k{i}" for i in range(1000)], "version": 1, "terms": [f"all own{i}" for i in range(1000)]})
+    (out,) = deltas.handleInputRows((0,), iter([first.head(300), first.tail(700)]), None)
+    assert len(out) == 1002 and out.head(2).values.tolist() == [["", 0, 1000, 2000], ["all", 1000, 0, 0]] and len(held.kept) == 1000
+    again = pd.DataFrame({"key": ["k1", "k1", "k1", "k2", "k3"], "version": [2, 3, 2, 1, 2], "terms": ["mid", "all", "mid", "stale", ""]})
+    (out,) = deltas.handleInputRows((0,), iter([again]), None)
+    assert out.values.tolist() == [["", 0, 0, -3], ["all", -1, 0, 0], ["own1", -1, 0, 0], ["own3", -1, 0, 0]]
+    assert list(deltas.handleInputRows((0,), iter([again]), None)) == []
